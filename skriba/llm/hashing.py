@@ -16,7 +16,16 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 CODES = np.random.Generator(np.random.PCG64(7001)).integers(1, 1 << 63, 256, dtype=U) | U(1)
 BASE, GRAM = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-_powers: dict[tuple[int, int], np.ndarray] = {}
+
+
+class _Local(dict):
+    """A cache that stays in its process: it is pickled empty."""
+
+    def __reduce__(self):
+        return _Local, ()
+
+
+_powers = _Local()
 
 
 def powers(base: int, n: int) -> np.ndarray:
