@@ -86,7 +86,31 @@ def learn_insults(texts: DataFrame) -> dict[str, float]:
     found = strong.orderBy(F.col("w") * F.sqrt("pos"), "entry", ascending=[False, True]).limit(MAX_ENTRIES).select("entry", "w").collect()
     weights = {r.entry: r.w for r in found}
     # A longer entry below a stem that is kept adds nothing.
-    return {e: w for e, w in weights.items() if not any(e[:k] + "*" in weights for k in STEM_LETTERS if k < len(e.rstrip("*")))}
+    weights = {e: w for e, w in weights.items() if not any(e[:k] + "*" in weights for k in STEM_LETTERS if k < len(e.rstrip("*")))}
+    order = list(weights)
+
+    def incidence(batches):
+        import pyarrow as pa
+
+        at = {e: k for k, e in enumerate(order)}
+        for batch in batches:
+            got = [sorted(at[f] for f in _features_of(t or "") if f in at) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.int32()))], ["entries"])
+
+    # Copies of one toxic text make all of its words stand out. So the strongest entries go
+    # first, and a later one must be met in enough texts that fewer than two have explained.
+    rows: dict[int, list[int]] = {}
+    met = texts.where("toxic = 1").select("text").mapInArrow(incidence, "entries array<int>").collect()
+    for k, r in enumerate(met):
+        for e in r.entries:
+            rows.setdefault(e, []).append(k)
+    explained, kept = np.zeros(len(met), int), {}
+    for k, e in enumerate(order):
+        own = np.array(rows.get(k, []), int)
+        if (explained[own] < 2).sum() >= max(LEAST_ROWS, LEAST_SHARE * bad):
+            kept[e] = weights[e]
+            explained[own] += 1
+    return kept
 
 
 class Grammar:
