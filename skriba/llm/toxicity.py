@@ -55,6 +55,14 @@ def _features_of(text: str) -> set[str]:
     return words | {w[:k] + "*" for w in words for k in STEM_LETTERS if len(w) > k}
 
 
+def _least_run(text: str) -> int:
+    """The least hash of three words in a row: near copies mostly share it."""
+    import zlib
+
+    words = WORD.findall(text.lower())
+    return min((zlib.crc32(" ".join(words[k : k + 3]).encode()) for k in range(max(1, len(words) - 2))), default=0)
+
+
 def learn_insults(texts: DataFrame) -> dict[str, float]:
     """Insult entries with their weights from (text, toxic) rows: words and stems that
     are far more frequent in toxic documents than chance allows, weighed by their
@@ -94,20 +102,23 @@ def learn_insults(texts: DataFrame) -> dict[str, float]:
 
         at = {e: k for k, e in enumerate(order)}
         for batch in batches:
-            got = [sorted(at[f] for f in _features_of(t or "") if f in at) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.int32()))], ["entries"])
+            texts = batch.column(0).to_pylist()
+            got = [sorted(at[f] for f in _features_of(t or "") if f in at) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.int32())), pa.array([_least_run(t or "") for t in texts], pa.int64())], ["entries", "run"])
 
-    # Copies of one toxic text make all of its words stand out. So the strongest entries go
-    # first, and a later one must be met in enough texts that fewer than two have explained.
+    # Copies of one toxic text make all of its words stand out. So an entry must be met in
+    # texts of which most differ by their least run of three words; or, the strongest
+    # entries going first, in enough texts that fewer than two others have explained.
     rows: dict[int, list[int]] = {}
-    met = texts.where("toxic = 1").select("text").mapInArrow(incidence, "entries array<int>").collect()
+    met = texts.where("toxic = 1").select("text").mapInArrow(incidence, "entries array<int>, run long").collect()
     for k, r in enumerate(met):
         for e in r.entries:
             rows.setdefault(e, []).append(k)
-    explained, kept = np.zeros(len(met), int), {}
+    explained, kept, least = np.zeros(len(met), int), {}, max(LEAST_ROWS, LEAST_SHARE * bad)
+    runs = np.array([r.run for r in met])
     for k, e in enumerate(order):
         own = np.array(rows.get(k, []), int)
-        if (explained[own] < 2).sum() >= max(LEAST_ROWS, LEAST_SHARE * bad):
+        if len(np.unique(runs[own])) >= max(least, 0.6 * len(own)) or (explained[own] < 2).sum() >= least:
             kept[e] = weights[e]
             explained[own] += 1
     return kept
