@@ -94,7 +94,7 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     Each round links every node's larger neighbours to its smallest one, then its
     smaller ones likewise (large star, small star): the number of rounds grows
     with the logarithm of the longest path, the links never grow in number."""
-    at, kept, last = 0, [], None
+    at, kept = 0, []
     now = store(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), folder, f"{name}-0")
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -109,12 +109,13 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
         at += 1
         small = store(small, folder, f"{name}-{at}")
-        stats = small.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         for part in kept:
             remove(edges.sparkSession, f"{folder}/{part}")
         kept = [f"{name}-{at - 1}", f"{name}-{at - 1}-m", f"{name}-{at - 1}-l", f"{name}-{at - 1}-s"]
-        if last == stats:
+        # Done when the links are stars: one centre for each node, and no centre linked on.
+        centres = small.select(F.col("v").alias("u")).distinct()
+        if small.groupBy("u").count().where("count > 1").isEmpty() and small.join(centres, "u", "left_semi").isEmpty():
             break
-        last, now = stats, small
+        now = small
     roots = small.select(F.col("v").alias("u")).distinct().select("u", F.col("u").alias("v"))
     return small.union(roots).select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -91,9 +91,15 @@ def learn_insults(texts: DataFrame) -> dict[str, float]:
     # once in other texts for every five times in toxic ones.
     error = F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
     strong = counts.where((F.col("pos") >= max(LEAST_ROWS, LEAST_SHARE * bad)) & (F.col("neg") * 5 <= F.col("pos"))).withColumn("w", odds).where((F.col("w") > 2.0) & (F.col("w") / error > 2.5))
-    found = strong.orderBy(F.col("w") * F.sqrt("pos"), "entry", ascending=[False, True]).limit(MAX_ENTRIES).select("entry", "w").collect()
-    weights = {r.entry: r.w for r in found}
-    # A longer entry below a stem that is kept adds nothing.
+    found = strong.orderBy(F.col("w") * F.sqrt("pos"), "entry", ascending=[False, True]).limit(MAX_ENTRIES).select("entry", "w", "pos").collect()
+    # Of a stem and a longer entry below it that is met as often, the longer one says more;
+    # below a stem that is kept, a longer entry adds nothing.
+    longer: dict[str, int] = {}
+    for r in found:
+        for k in STEM_LETTERS:
+            if k < len(r.entry.rstrip("*")):
+                longer[r.entry[:k] + "*"] = max(r.pos, longer.get(r.entry[:k] + "*", 0))
+    weights = {r.entry: r.w for r in found if longer.get(r.entry, 0) < 0.98 * r.pos}
     weights = {e: w for e, w in weights.items() if not any(e[:k] + "*" in weights for k in STEM_LETTERS if k < len(e.rstrip("*")))}
     order = list(weights)
 
