@@ -18,7 +18,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skriba.llm.shared import remove, store, work_dir
+from skriba.llm.shared import store, work_dir
 
 #: Patterns the network may have; more are refused, never dropped.
 MAX_PATTERNS = 20_000
@@ -215,4 +215,14 @@ def mix_sources(docs: DataFrame, targets_of=by_weight) -> DataFrame:
     return rows.join(F.broadcast(told), rows.source.eqNullSafe(told.source)).drop(told.source).select("doc_id", "source", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"))
 
 
-__all__ = ["by_weight", "min_cost_flow", "mix", "mix_sources", "quotas", "remove", "word_count"]
+__all__ = ["by_weight", "min_cost_flow", "mix", "mix_sources", "mixed_documents", "quotas", "word_count"]
+
+
+def mixed_documents(docs: DataFrame, targets_of=by_weight) -> DataFrame:
+    """The mix itself: every row of `docs` as often as it is taken, its columns as they
+    are. Rows that repeat a doc_id are taken alike."""
+    columns = docs.columns
+    chosen = mix(docs, F.array("source"), targets_of).groupBy("doc_id").agg(F.max("times").alias("_times"))
+    taken = store(chosen.where("_times > 0").withColumnRenamed("doc_id", "_id"), work_dir(docs.sparkSession, "mix"), "taken")
+    rows = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("_id")))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*columns)
