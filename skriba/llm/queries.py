@@ -94,10 +94,10 @@ WITH RECURSIVE w AS (
   SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2
 ), links AS (
   SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)
-), both AS (
+), sides AS (
   SELECT a, b FROM links UNION ALL SELECT b, a FROM links
 ), reach(doc_id, at) AS (
-  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, b.b FROM reach r JOIN both b ON b.a = r.at
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, b.b FROM reach r JOIN sides b ON b.a = r.at
 ), least_ AS (
   SELECT doc_id, min(at) AS component_id FROM reach GROUP BY doc_id
 )
