@@ -96,10 +96,10 @@ WITH RECURSIVE w AS (
   SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)
 ), sides AS (
   SELECT a, b FROM links UNION ALL SELECT b, a FROM links
-), reach(doc_id, at) AS (
-  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, b.b FROM reach r JOIN sides b ON b.a = r.at
+), reach(doc_id, node) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, b.b FROM reach r JOIN sides b ON b.a = r.node
 ), least_ AS (
-  SELECT doc_id, min(at) AS component_id FROM reach GROUP BY doc_id
+  SELECT doc_id, min(node) AS component_id FROM reach GROUP BY doc_id
 )
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, l.component_id, d.doc_id = l.component_id AS kept
 FROM documents d JOIN least_ l ON l.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
