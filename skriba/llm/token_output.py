@@ -249,7 +249,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, folder: str, sha
 
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
     """Read shards back, document by document: doc_id, start, n_tokens, ids_crc32 and
-    the shard's path. Every frame is held against its checksum."""
+    the shard's number in its name. Every frame is held against its checksum."""
 
     def read(batches):
         import pyarrow as pa
@@ -263,7 +263,7 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
                     for k in range(len(reader)):
                         ids = reader.document(k)
                         doc_id = int(reader.ids[reader.firsts[k]])
-                        out.append((None if doc_id == -(1 << 63) else doc_id, start, len(ids) // 4, zlib.crc32(ids), path.rsplit("/", 1)[-1]))
+                        out.append((None if doc_id == -(1 << 63) else doc_id, start, len(ids) // 4, zlib.crc32(ids), path.rsplit("/", 1)[-1][:14]))
                         start += len(ids) // 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()])], ["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
 
