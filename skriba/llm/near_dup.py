@@ -9,16 +9,17 @@ sets agree in most tokens, so they meet in some child of most nodes; independent
 raise the recall.
 
 A node with few documents is compared exhaustively by sketches (one byte of every
-token); pairs whose sketches agree enough are confirmed on full sets. A larger node
-compares every document with a pivot, and then branches. Both leave out what is known
-to be connected: links found so far give every document a component, a node whose
+token); documents whose sketches agree enough are compared on full sets. A larger node
+compares every document with a pivot, and then branches. First each document is
+compared with its smallest similar one of a node, then with all others that this has not
+connected it with: links found so far give every document a component, a node whose
 documents are all of one component is done, and pairs inside a component are never
 made. So a large group of near copies costs its own size at every level, not its
 square, and nothing is capped: a node that has used all its coordinates is compared
 in blocks.
 
 Every pair of sets that reach the similarity meets in the first level of the trees
-with a chance of 1 - (1 - J)^(TREES * BRANCHES), 1 - 7e-12 at 0.8; its sketches
+with a chance of 1 - (1 - J)^(TREES * BRANCHES), 1 - 3e-6 at 0.8; its sketches
 then agree enough (four standard deviations of slack) with one of 1 - 3e-5.
 """
 
@@ -29,14 +30,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skriba.llm.hashing import grams, mix, word_hashes
-from skriba.llm.shared import components, keep_listed, remove, store, work_dir
+from skriba.llm.shared import batch_rows, components, keep_listed, remove, store, work_dir
 
 U = np.uint64
-COORDINATES, TREES, BRANCHES, LEVELS = 128, 8, 2, 12
+COORDINATES, TREES, BRANCHES, LEVELS = 128, 4, 2, 12
 #: Documents of a node that are compared exhaustively.
 SMALL_NODE = 128
+#: Large nodes are finished in blocks as soon as that takes at most so many pairs a document.
+PAIRS_PER_DOC = 1_000
 #: A large node is dense if it has this share of its parent's documents; documents of a part of it.
-DENSE, DENSE_PART = 0.5, 1024
+DENSE, DENSE_PART = 0.5, 512
+#: Rows with texts or full sets that a Python worker gets at once.
+WIDE_ROWS = 1_000
 _random = np.random.Generator(np.random.PCG64(4111))
 FACTORS = _random.integers(1, 1 << 32, COORDINATES, dtype=np.uint32) | np.uint32(1)
 SHIFTS = _random.integers(0, 1 << 32, COORDINATES, dtype=np.uint32)
@@ -162,59 +167,52 @@ def branch(nodes: DataFrame, reps: DataFrame, level: int) -> DataFrame:
 
 
 def compare_blocks(blocks: DataFrame, percent: int, crossing: bool) -> DataFrame:
-    """Candidate pairs (a < b) inside blocks of (block, doc, n, sketch, label) rows.
+    """What sketches say about the documents of a block, from rows (block, doc, n, sketch,
+    label); blocks are bounded, and read one at a time from rows sorted by block.
 
-    Not `crossing`: each document's pair with its smallest similar one. `crossing`: all
-    similar pairs of different labels. Blocks are bounded, and read one at a time from
-    rows sorted by block."""
+    Not `crossing`: (a, b), each document's pair with its smallest similar one. `crossing`:
+    (block, doc, label) of the documents that are similar to one of another label."""
     needed = percent / 100 - 4 * (percent / 100 * (1 - percent / 100) / COORDINATES) ** 0.5
 
+    def alike(docs, sizes, sketches, labels):
+        # Two unequal tokens share their byte once in 256.
+        for i in range(len(docs)):
+            agree = ((sketches == sketches[i]).mean(axis=1) * 256 - 1) / 255
+            near = (agree >= needed) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])) & (labels != labels[i])
+            yield np.flatnonzero(near)
+
+    def judge(held):
+        held.sort(key=lambda h: h[1])
+        docs, sizes, labels = (np.array([h[k] for h in held], np.int64) for k in (1, 2, 4))
+        sketches = np.frombuffer(b"".join(h[3] for h in held), np.uint8).reshape(-1, COORDINATES)
+        if crossing:
+            found = [i for i, near in enumerate(alike(docs, sizes, sketches, labels)) if len(near)]
+            return [held[0][0]] * len(found), docs[found].tolist(), labels[found].tolist()
+        pairs = {(min(i, near[0]), max(i, near[0])) for i, near in enumerate(alike(docs, sizes, sketches, labels)) if len(near)}
+        return [int(docs[i]) for i, _ in pairs], [int(docs[j]) for _, j in pairs]
+
+    names = ["block", "doc", "label"] if crossing else ["a", "b"]
+
     def scan(batches):
         import pyarrow as pa
 
-        def pairs(docs, sizes, sketches, labels):
-            order = np.argsort(docs)
-            docs, sizes, sketches, labels = docs[order], sizes[order], sketches[order], labels[order]
-            a_out, b_out = [], []
-            for i in range(len(docs) if not crossing else len(docs) - 1):
-                to = slice(i + 1, None) if crossing else slice(None)
-                agree = (sketches[to] == sketches[i]).mean(axis=1)
-                # Two unequal tokens share their byte once in 256.
-                alike = (agree * 256 - 1) / 255 >= needed
-                alike &= 100 * np.minimum(sizes[to], sizes[i]) >= percent * np.maximum(sizes[to], sizes[i])
-                alike &= labels[to] != labels[i]
-                near = np.flatnonzero(alike)
-                if crossing:
-                    a_out.append(np.full(len(near), docs[i]))
-                    b_out.append(docs[i + 1 + near])
-                elif len(near):
-                    a_out.append(docs[[min(i, near[0])]])
-                    b_out.append(docs[[max(i, near[0])]])
-            return (np.concatenate(a_out), np.concatenate(b_out)) if a_out else (docs[:0], docs[:0])
+        def told(found):
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names)
 
         held: list = []
-
-        def flush():
-            docs = np.array([h[1] for h in held], np.int64)
-            sizes = np.array([h[2] for h in held], np.int64)
-            labels = np.array([h[4] for h in held], np.int64)
-            sketches = np.frombuffer(b"".join(h[3] for h in held), np.uint8).reshape(-1, COORDINATES)
-            return pairs(docs, sizes, sketches, labels)
-
         for batch in batches:
-            found = []
             for row in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 if held and held[0][0] != row[0]:
-                    found.append(flush())
+                    if len(held) > 1:
+                        yield told(judge(held))
                     held = []
                 held.append(row)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], ["a", "b"])
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in flush()], ["a", "b"])
+        if len(held) > 1:
+            yield told(judge(held))
 
     rows = blocks.select("block", "doc", "n", "sketch", "label").repartition("block").sortWithinPartitions("block")
-    return rows.mapInArrow(scan, "a long, b long").distinct()
+    found = rows.mapInArrow(scan, ", ".join(f"{n} long" for n in names))
+    return found if crossing else found.distinct()
 
 
 def sketches_of(reps: DataFrame) -> DataFrame:
@@ -263,6 +261,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     that repeat a doc_id are one document (the one whose set is largest, then of the
     greatest digest); rows without a doc_id are left out. Extra columns are ignored, an
     empty table gives an empty result."""
+    with batch_rows(docs.sparkSession, WIDE_ROWS):
+        return _near_duplicates(docs, shingle_words, percent)
+
+
+def _near_duplicates(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     folder = work_dir(spark, "near")
     table = store(features(docs, shingle_words), folder, "features")
@@ -301,17 +304,25 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
         for crossing in (False, True):
             open_ = store(_open_nodes(nodes, labels, folder, f"{level}-{crossing}"), folder, f"open-{level}-{crossing}")
             rows = _with_few(open_) if crossing else _with_pivot(open_, level)
-            pairs = store(compare_blocks(rows.join(sketches, "doc"), percent, crossing), folder, f"pairs-{level}-{crossing}")
-            if not pairs.isEmpty():
-                need(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{level}-{crossing}")
-                connect(confirm(pairs, sets, percent), f"{level}-{crossing}")
+            near = store(compare_blocks(rows.join(sketches, "doc"), percent, crossing), folder, f"near-{level}-{crossing}")
+            if near.isEmpty():
+                continue
+            if crossing:
+                need(near.select(F.col("doc").alias("doc_id")).distinct(), f"{level}-{crossing}")
+                connect(compare_sets(near, sets, percent), f"{level}-{crossing}")
+            else:
+                need(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{level}-{crossing}")
+                connect(confirm(near, sets, percent), f"{level}-{crossing}")
         large = open_.where(F.col("few") > SMALL_NODE)
-        dense = _block_pairs(large if level == LEVELS else large.where("dense"))
-        if not dense.isEmpty():
+        # What is left may be little enough to be compared at once: then no more levels.
+        work = large.agg(F.sum(F.col("size").cast("double"))).first()[0] or 0.0
+        last = level == LEVELS or work <= PAIRS_PER_DOC * reps.count()
+        dense = _block_pairs(large if last else large.where("dense"))
+        if work and not dense.isEmpty():
             need(dense.select(F.col("doc").alias("doc_id")).distinct(), f"{level}-dense")
             connect(compare_sets(dense, sets, percent), f"{level}-dense")
         large = large.where("NOT dense")
-        if level == LEVELS or large.isEmpty():
+        if last or large.isEmpty():
             break
         remove(spark, f"{folder}/nodes-{level}")
         nodes = store(branch(large.select("node", "doc", "size"), reps, level + 1), folder, f"nodes-{level + 1}")
@@ -369,21 +380,25 @@ def _block_pairs(open_: DataFrame) -> DataFrame:
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of every two sets: a product of the matrix that has a
-    row for each set and a column for each item that two sets share."""
-    items, where, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    shared = counts[where] > 1
-    column = (np.cumsum(counts > 1) - 1)[where[shared]]
-    rows = rows[shared]
+    row for each set and a column for each item that two sets share, made in slices
+    of the items' range so that long sets need little room."""
     out = np.zeros((len(sets), len(sets)), np.float32)
-    order = np.argsort(column, kind="stable")
-    column, rows = column[order], rows[order]
-    width = 4096
-    for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        span = slice(np.searchsorted(column, first), np.searchsorted(column, first + width))
-        block = np.zeros((len(sets), width), np.float32)
-        block[rows[span], column[span] - first] = 1
-        out += block @ block.T
+    slices = 1 + sum(len(s) for s in sets) // 400_000
+    edges = [U((1 << 64) * k // slices) for k in range(slices)]
+    cuts = [np.append(np.searchsorted(s, np.array(edges, U)), len(s)) for s in sets]
+    for k in range(slices):
+        parts = [s[c[k] : c[k + 1]] for s, c in zip(sets, cuts)]
+        _, where, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        rows = np.repeat(np.arange(len(sets)), [len(p) for p in parts])
+        shared = counts[where] > 1
+        column, rows = (np.cumsum(counts > 1) - 1)[where[shared]], rows[shared]
+        order = np.argsort(column, kind="stable")
+        column, rows = column[order], rows[order]
+        for first in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            span = slice(np.searchsorted(column, first), np.searchsorted(column, first + 4096))
+            block = np.zeros((len(sets), 4096), np.float32)
+            block[rows[span], column[span] - first] = 1
+            out += block @ block.T
     return out
 
 
@@ -395,7 +410,8 @@ def compare_sets(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         order = np.argsort(docs)
         sizes = np.array([len(items[k]) for k in order])
         common = common_counts([items[k] for k in order])
-        alike = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+        # Sizes are far below 2**24, where float32 is exact; the comparison is made in float64.
+        alike = np.array([100.0 * row.astype(float) >= percent * (size + sizes - row) for row, size in zip(common, sizes)])
         up: dict = {}
 
         def top(x):
