@@ -18,12 +18,13 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skriba.llm.shared import remove, store, work_dir
+from skriba.llm.shared import batch_rows, store, work_dir
 
 # Fixed values of the seekable zstandard format.
 SEEK_MAGIC, SKIP_SEEK, SKIP_IDS = 0x8F92EAB1, 0x184D2A5E, 0x184D2A5D
@@ -33,7 +34,11 @@ FRAME_BYTES = 1 << 26
 #: Bytes of text that one shard aims at.
 SHARD_BYTES = 1 << 25
 #: Entries of a task's chunk cache; it is emptied when it is full.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 500_000
+#: Rows that an encoding worker gets at once.
+BATCH_ROWS = 1_000
+#: Sentence punctuation, which ends chunks.
+PUNCTUATION = ".,;:!?"
 
 
 def filesystem(uri: str):
@@ -47,31 +52,71 @@ class ChunkEncoder:
     """Encodes texts chunk by chunk, keeping the ids of chunks seen before.
 
     The vocabulary's normaliser and pre-tokenizer never join characters across a
-    space or a line feed, so ids of a text are those of its chunks in a row. A text
-    that holds a special token's string is encoded as a whole."""
+    space or a line feed, so ids of a text are those of its chunks in a row; and they
+    part letters from the punctuation behind them and fold case, so "Word," is the ids
+    of "word" and of ",". A text that holds a special token's string is encoded as a whole."""
 
     def __init__(self, path: str):
+        import os
+
+        # Spark's tasks are the threads; a pool in each would stand in the others' way.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {"": b""}
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if any(s in text for s in self.special):
-            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        chunks = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.cache.__getitem__, chunks))
-        except KeyError:
-            if len(self.cache) > CACHE_CHUNKS:
-                self.cache = {"": b""}
-            new = [c for c in dict.fromkeys(chunks) if c not in self.cache]
-            for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                self.cache[c] = np.asarray(e.ids, "<u4").tobytes()
-            return b"".join(map(self.cache.__getitem__, chunks))
+    @staticmethod
+    def parts(chunk: str) -> tuple[str, str]:
+        """A chunk's core, folded where that is certain to be what the vocabulary does, and
+        the sentence punctuation behind it."""
+        core = chunk.rstrip(PUNCTUATION)
+        if not core or not core[-1].lower().isalpha():
+            core = chunk
+        tail = chunk[len(core) :]
+        return (core.lower() if core.isascii() else core), tail
+
+    def learn(self, chunks) -> None:
+        """Bring chunks into the cache."""
+        if len(self.cache) > CACHE_CHUNKS:
+            self.cache = {"": b""}
+        cache = self.cache
+        split = {c: self.parts(c) for c in chunks if c not in cache}
+        new = list({p for two in split.values() for p in two if p not in cache})
+        # Lines of many chunks cost far less than calls for each; offsets tell whose the ids are.
+        lines = [new[k : k + 512] for k in range(0, len(new), 512)]
+        for line, e in zip(lines, self.tokenizer.encode_batch([" ".join(x) for x in lines], add_special_tokens=False)):
+            starts = np.cumsum([0] + [len(c) + 1 for c in line])
+            cuts = np.searchsorted([o[0] for o in e.offsets], starts) * 4
+            ids = array("I", e.ids).tobytes()
+            for k, c in enumerate(line):
+                cache[c] = ids[cuts[k] : cuts[k + 1]]
+        for c, (core, tail) in split.items():
+            cache[c] = cache[core] + cache[tail]
+
+    def encode_all(self, texts) -> list[bytes]:
+        """Ids of every text (null: none)."""
+        out: list = [b""] * len(texts)
+        split = []
+        for k, text in enumerate(texts):
+            if not text:
+                continue
+            if "<" in text and any(s in text for s in self.special):
+                out[k] = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            else:
+                split.append((k, text.replace("\n", " ").split(" ")))
+        missing = {c for _, chunks in split for c in chunks}
+        missing.difference_update(self.cache)
+        if missing:
+            before = self.cache
+            self.learn(missing)
+            if self.cache is not before:
+                self.learn({c for _, chunks in split for c in chunks})
+        find = self.cache.__getitem__
+        for k, chunks in split:
+            out[k] = b"".join(map(find, chunks))
+        return out
 
 
 def write_shard(out, frames) -> list[tuple]:
@@ -192,8 +237,8 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, folder: str, sha
             to = first_shards[np.searchsorted(first_cells, cells, side="right") - 1]
             columns = [[], [], [], [], [], [], [], []]
             room = 0
-            for doc_id, shard, text in zip(ids, to.tolist(), batch.column(1).to_pylist()):
-                raw = encoder.encode(text) + end
+            for doc_id, shard, raw in zip(ids, to.tolist(), encoder.encode_all(batch.column(1).to_pylist())):
+                raw += end
                 for part, (frame, size, check) in enumerate(compress(raw, zipper)):
                     for column, value in zip(columns, (shard, doc_id, zlib.crc32(raw), part, frame, size, check, len(raw) // 4)):
                         column.append(value)
@@ -241,7 +286,8 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, folder: str, sha
 
     filesystem(folder)[0].create_dir(filesystem(folder)[1], recursive=True)
     dealt = frames.repartitionById(count, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "crc", "part")
-    manifest = store(dealt.mapInArrow(write, "shard int, path string, bytes long, documents long, tokens long"), folder, "manifest")
+    with batch_rows(spark, BATCH_ROWS):
+        manifest = store(dealt.mapInArrow(write, "shard int, path string, bytes long, documents long, tokens long"), folder, "manifest")
     # One row a shard: the running total is over files, not documents.
     before = F.coalesce(F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return manifest.withColumn("start", before)
@@ -280,4 +326,4 @@ def token_table(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     return read_tokens(manifest, folder)
 
 
-__all__ = ["ChunkEncoder", "ShardReader", "read_tokens", "remove", "token_table", "write_shard", "write_tokens"]
+__all__ = ["ChunkEncoder", "ShardReader", "read_tokens", "token_table", "write_shard", "write_tokens"]
