@@ -16,7 +16,10 @@ Ids are little-endian unsigned 32-bit integers.
 
 from __future__ import annotations
 
+import re
 import struct
+import sys
+import types
 import zlib
 from array import array
 
@@ -33,12 +36,13 @@ CHECKSUMS = 0x80
 FRAME_BYTES = 1 << 26
 #: Bytes of text that one shard aims at.
 SHARD_BYTES = 1 << 25
-#: Entries of a task's chunk cache; it is emptied when it is full.
-CACHE_CHUNKS = 500_000
+#: Entries of a worker's chunk cache; it is emptied when it is full.
+CACHE_CHUNKS = 800_000
 #: Rows that an encoding worker gets at once.
 BATCH_ROWS = 1_000
 #: Sentence punctuation, which ends chunks.
 PUNCTUATION = ".,;:!?"
+_SET_OFF = re.compile(r"(?<=[^\W\d_])([.,;:!?]+)(?=[ \n]|$)")
 
 
 def filesystem(uri: str):
@@ -53,8 +57,8 @@ class ChunkEncoder:
 
     The vocabulary's normaliser and pre-tokenizer never join characters across a
     space or a line feed, so ids of a text are those of its chunks in a row; and they
-    part letters from the punctuation behind them and fold case, so "Word," is the ids
-    of "word" and of ",". A text that holds a special token's string is encoded as a whole."""
+    part letters from the punctuation behind them and fold case, so the ids of "Word," are
+    those of "word" and of ",". A text that holds a special token's string is encoded as a whole."""
 
     def __init__(self, path: str):
         import os
@@ -65,35 +69,30 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {"": b""}
+        # A worker process runs many tasks: they share what it has learned.
+        kept = sys.modules.setdefault("_skriba_chunks", types.ModuleType("_skriba_chunks"))
+        self.cache: dict[str, bytes] = kept.__dict__.setdefault(path, {"": b""})
 
     @staticmethod
-    def parts(chunk: str) -> tuple[str, str]:
-        """A chunk's core, folded where that is certain to be what the vocabulary does, and
-        the sentence punctuation behind it."""
-        core = chunk.rstrip(PUNCTUATION)
-        if not core or not core[-1].lower().isalpha():
-            core = chunk
-        tail = chunk[len(core) :]
-        return (core.lower() if core.isascii() else core), tail
+    def simplify(text: str) -> str:
+        """The text in lower case with its sentence punctuation set off, if all of it is
+        Latin-1, where that is certain to leave the ids as they are."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        return _SET_OFF.sub(r" \1", text.lower())
 
     def learn(self, chunks) -> None:
-        """Bring chunks into the cache."""
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache = {"": b""}
-        cache = self.cache
-        split = {c: self.parts(c) for c in chunks if c not in cache}
-        new = list({p for two in split.values() for p in two if p not in cache})
-        # Lines of many chunks cost far less than calls for each; offsets tell whose the ids are.
+        """Bring chunks into the cache; lines of many cost far less than calls for each,
+        and the offsets tell whose the ids are."""
+        new = list(chunks)
         lines = [new[k : k + 512] for k in range(0, len(new), 512)]
         for line, e in zip(lines, self.tokenizer.encode_batch([" ".join(x) for x in lines], add_special_tokens=False)):
             starts = np.cumsum([0] + [len(c) + 1 for c in line])
-            cuts = np.searchsorted([o[0] for o in e.offsets], starts) * 4
+            cuts = (np.searchsorted([o[0] for o in e.offsets], starts) * 4).tolist()
             ids = array("I", e.ids).tobytes()
-            for k, c in enumerate(line):
-                cache[c] = ids[cuts[k] : cuts[k + 1]]
-        for c, (core, tail) in split.items():
-            cache[c] = cache[core] + cache[tail]
+            self.cache.update(zip(line, [ids[x:y] for x, y in zip(cuts, cuts[1:])]))
 
     def encode_all(self, texts) -> list[bytes]:
         """Ids of every text (null: none)."""
@@ -105,14 +104,12 @@ class ChunkEncoder:
             if "<" in text and any(s in text for s in self.special):
                 out[k] = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
             else:
-                split.append((k, text.replace("\n", " ").split(" ")))
-        missing = {c for _, chunks in split for c in chunks}
-        missing.difference_update(self.cache)
-        if missing:
-            before = self.cache
-            self.learn(missing)
-            if self.cache is not before:
-                self.learn({c for _, chunks in split for c in chunks})
+                split.append((k, self.simplify(text).replace("\n", " ").split(" ")))
+        met = set().union(*(chunks for _, chunks in split))
+        if len(self.cache) + len(met) > CACHE_CHUNKS:
+            self.cache.clear()
+            self.cache[""] = b""
+        self.learn(met.difference(self.cache))
         find = self.cache.__getitem__
         for k, chunks in split:
             out[k] = b"".join(map(find, chunks))
