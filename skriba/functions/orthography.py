@@ -102,12 +102,12 @@ def suffix_class(name: Column, stem: Column) -> Column:
 
 def convert_suffix(suffix: Column, kind: Column, whole_caps: Column) -> Column:
     """A suffix behind a stem of this class; raised if the whole word is in capitals."""
-    out = F.lit(None).cast("string")
-    for name, letter, result in SENTINELS:
-        small = F.substring(native(F.concat(F.lit(letter), F.lower(suffix)), False), len(result) + 1, 1 << 20)
-        cased = F.substring(native(F.concat(F.lit(letter), suffix)), len(result) + 1, 1 << 20)
-        out = F.when(kind == name, F.when(whole_caps, F.upper(small)).otherwise(cased)).otherwise(out)
-    return out
+    letter, length = F.lit(""), F.lit(0)
+    for name, sentinel, result in SENTINELS:
+        letter = F.when(kind == name, sentinel).otherwise(letter)
+        length = F.when(kind == name, len(result)).otherwise(length)
+    small = F.upper(native(F.concat(letter, F.lower(suffix)), False))
+    return F.substring(F.when(whole_caps, small).otherwise(native(F.concat(letter, suffix))), length + 1, F.lit(1 << 20))
 
 
 def raise_first(text: Column) -> Column:

@@ -1,13 +1,235 @@
-"""Registered queries of the text engine and their SQL counterparts."""
+"""Registered queries of the text engine and their SQL counterparts.
 
+The tables hold no Cyrillic or Greek, so texts are respelt first, alike in both engines.
+SQL has no lookbehind: its side explodes letters and looks at the one before.
+"""
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def queries():
-    return {}
+from skriba.functions import greek as G
+from skriba.functions import orthography as O
+from skriba.functions import phonetics as P
+from skriba.operators import lexicon as L
+from skriba.operators import wiki as W
+from skriba.plans import fixtures as X
 
+LEXICON = "cyrillic_stem string, latin_stem string, mode string, case_mode string, match_case string, suffix_context string"
 
-def oracle_sql():
-    return {}
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", O.pseudo_cyrillic(F.col("text")).alias("t"))
+
+
+def _words(spark, sf_dir) -> DataFrame:
+    return _docs(spark, sf_dir).select(F.explode(F.regexp_extract_all("t", F.lit("[а-яё]+"), F.lit(0))).alias("word")).distinct()
+
+
+def _pairs(spark, text: str) -> DataFrame:
+    return spark.createDataFrame(X.pairs(text), "input string, expected string").select("input")
+
+
+def _stems(spark, sf_dir) -> DataFrame:
+    """A lexicon of the first five letters of frequent words: every one is a prefix of many."""
+    words = _docs(spark, sf_dir).select(F.explode(F.regexp_extract_all("t", F.lit("[а-яё]{5,}"), F.lit(0))).alias("word"))
+    top = words.groupBy(F.left("word", F.lit(5)).alias("cyrillic_stem")).agg(F.count("*").alias("n")).where("n >= 20")
+    return top.select("cyrillic_stem", F.concat(F.lit("X"), F.length("cyrillic_stem").cast("string")).alias("latin_stem"), F.lit("stem").alias("mode"), F.lit("auto").alias("case_mode"), F.lit("any").alias("match_case"), F.lit(None).cast("string").alias("suffix_context"))
+
+
+def _dictionary(spark) -> DataFrame:
+    return L.valid(L.normalise(spark.createDataFrame(X.ROWS, LEXICON)))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, respelt in Cyrillic, converted to Latin letters."""
+    return _docs(spark, sf_dir).select("doc_id", O.convert_text(F.col("t")).alias("latin"))
+
+
+def q_tokens(spark, sf_dir):
+    """Word tokens with their position among all tokens."""
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(O.tokens(F.col("t"))).alias("pos", "token"))
+
+
+def q_word_count(spark, sf_dir):
+    """Words by language."""
+    return _docs(spark, sf_dir).groupBy("lang").agg(F.sum(F.regexp_count("t", F.lit("[а-яё]+"))).cast("long").alias("words"))
+
+
+def q_native_words(spark, sf_dir):
+    """Distinct words, converted."""
+    return _words(spark, sf_dir).select("word", O.convert_word(F.col("word")).alias("latin"))
+
+
+def q_native_case(spark, sf_dir):
+    """Distinct words in capitals, and with a capital first letter."""
+    w = _words(spark, sf_dir)
+    return w.select("word", O.convert_word(F.upper("word")).alias("caps"), O.convert_word(O.raise_first(F.col("word"))).alias("title"))
+
+
+def q_fixture_native(spark, sf_dir):
+    return _pairs(spark, X.NATIVE).select("input", O.convert_word(F.col("input")).alias("latin"))
+
+
+def q_fixture_loans(spark, sf_dir):
+    words = _pairs(spark, X.LOANS).withColumnRenamed("input", "word")
+    return L.convert_words(words, _dictionary(spark)).select(F.col("word").alias("input"), "latin")
+
+
+def q_lexicon_rank(spark, sf_dir):
+    """Entries in the order the match prefers them."""
+    ranked = L.ranked(_dictionary(spark)).select("cyrillic_stem", "mode", "rank.length", "rank.stem")
+    return ranked.select("cyrillic_stem", "mode", (-F.col("length")).alias("letters"), F.col("stem").alias("is_stem"))
+
+
+def q_prefix_match(spark, sf_dir):
+    """Each distinct word's longest stem."""
+    return L.match_words(_words(spark, sf_dir), _stems(spark, sf_dir)).select("word", "cyrillic_stem")
+
+
+def q_lexicon_coverage(spark, sf_dir):
+    """Distinct words with and without a stem."""
+    got = q_prefix_match(spark, sf_dir)
+    return got.agg(F.count("*").alias("words"), F.count("cyrillic_stem").alias("matched"))
+
+
+def q_prefix_conflicts(spark, sf_dir):
+    return L.prefix_conflicts(_dictionary(spark)).select("shorter", "longer")
+
+
+def q_russian_reading(spark, sf_dir):
+    """What distinct words sound like."""
+    return _words(spark, sf_dir).select("word", P.reading(F.col("word")).alias("reading"), P.reading(F.col("word"), False).alias("consonants"))
+
+
+def q_sound_match(spark, sf_dir):
+    rows = spark.createDataFrame(X.pairs(X.SOUNDS + " " + X.UNLIKE), "cyr string, source string")
+    return rows.select("cyr", "source", P.sounds_like(P.reading(F.col("cyr")), F.col("source")).alias("ok"))
+
+
+def q_consonant_match(spark, sf_dir):
+    rows = spark.createDataFrame(X.pairs(X.CONSONANTS + " " + X.UNLIKE), "cyr string, source string")
+    return rows.select("cyr", "source", P.consonants_like(P.reading(F.col("cyr"), False), F.col("source")).alias("ok"))
+
+
+def q_trim_stem(spark, sf_dir):
+    rows = spark.createDataFrame([r[:2] for r in X.TRIMMED], "cyr string, source string")
+    return rows.select("cyr", "source", P.trimmed_stem(P.reading(F.col("cyr")), F.col("source"))["stem"].alias("stem"))
+
+
+def _greek(mode):
+    def run(spark, sf_dir):
+        return _pairs(spark, X.GREEK[mode]).select("input", getattr(G, f"romanise_{mode}")("input").alias("latin"))
+
+    run.__doc__ = f"Greek pairs, {mode}."
+    return run
+
+
+def q_greek_stem(spark, sf_dir):
+    return _pairs(spark, X.STEMS).select("input", G.romanise_classical(G.greek_stem("input")).alias("latin"))
+
+
+def q_greek_docs(spark, sf_dir):
+    """Whole documents, respelt in Greek, romanised."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", G.romanise_alalc(G.pseudo_greek(F.col("text"))).alias("latin"))
+
+
+def q_compact_spaces(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", W.compact_spaces(F.col("text")).alias("text"))
+
+
+def q_markup_strip(spark, sf_dir):
+    """Plain text of the pages' markup."""
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", W.markup_stripped("html").alias("text"))
+
+
+def q_crawl_rows(spark, sf_dir):
+    pages = spark.createDataFrame(X.page_rows(), "seq int, title string, content string")
+    return W.crawl_rows(pages).where("disposition = 'accepted'").select("title", "cyrillic_stem", "latin_stem", "matched_russian_reading")
+
+
+def q_dispositions(spark, sf_dir):
+    pages = spark.createDataFrame(X.page_rows(), "seq int, title string, content string")
+    return W.crawl_rows(pages).groupBy("disposition").agg(F.count("*").alias("n"))
+
+
+def q_dedup_first(spark, sf_dir):
+    """Of documents with equal first words the first."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.regexp_extract("text", "^[^ ]*", 0).alias("word"))
+    return L.first_wins(docs, ["word"], "doc_id")
+
+
+def q_limit(spark, sf_dir):
+    """The first hundred documents in order."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(100).select("doc_id", "lang")
+
+
+def queries() -> dict:
+    own = (q_tokens, q_word_count, q_native_words, q_native_case, q_fixture_native, q_fixture_loans, q_lexicon_rank, q_prefix_match, q_lexicon_coverage, q_prefix_conflicts, q_russian_reading, q_sound_match, q_consonant_match, q_trim_stem, q_greek_stem, q_greek_docs, q_compact_spaces, q_markup_strip, q_crawl_rows, q_dispositions, q_dedup_first, q_limit)
+    return {"q_native_docs": flagship} | {f.__name__: f for f in own} | {f"q_greek_{m}": _greek(m) for m in X.GREEK}
+
+
+def _text(value) -> str:
+    return "NULL" if value is None else "true" if value is True else "false" if value is False else str(value) if isinstance(value, int) else "'" + value.replace("'", "''") + "'"
+
+
+def _values(rows, names: str) -> str:
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_text, r)) + ')' for r in rows)}) t({names})"
+
+
+def _respelt(column: str = "text") -> str:
+    out = f"lower({column})"
+    for a, b in O.RESPELLING:
+        out = f"replace({out}, '{a}', '{b}')"
+    return f"translate({out}, '{O.LATIN_LETTERS}', '{O.CYRILLIC_LETTERS}')"
+
+
+_WORDS = f"SELECT DISTINCT unnest(regexp_extract_all({_respelt()}, '[а-яё]+')) AS word FROM documents"
+
+
+def _native(rows: str) -> str:
+    """(k, latin) of (k, t): small letters, each by the class of the one before."""
+    paired, hard, soft = (f"prev IN ({', '.join(repr(c) for c in letters)})" for letters in (O.PAIRED, O.HARD, O.SOFT))
+    jot = " ".join(f"WHEN c = '{a}' THEN CASE WHEN {paired} THEN 'e{b}' WHEN {hard} OR {soft} OR prev = 'й' THEN '{b}' ELSE 'j{b}' END" for a, b in O.JOTATED)
+    digraphs = " ".join(f"WHEN c = '{a}' THEN '{b}'" for a, b in O.DIGRAPHS)
+    return f"""
+WITH src AS (SELECT k, regexp_replace(t, '(с)з|(з)с', chr(57344) || '\\1\\2', 'g') AS t FROM ({rows})),
+letters AS (SELECT k, unnest(range(1, length(t) + 1)) AS pos, unnest(string_split(t, '')) AS c FROM src WHERE t <> ''),
+seen AS (SELECT k, pos, c, lag(c) OVER (PARTITION BY k ORDER BY pos) AS prev FROM letters),
+made AS (SELECT k, pos, CASE
+  WHEN c = chr(57344) THEN '' WHEN prev = chr(57344) THEN CASE c WHEN 'с' THEN 'zz' ELSE 'ss' END
+  WHEN c = 'э' THEN CASE WHEN regexp_matches(prev, '^[а-яё]$') THEN 'ae' ELSE 'e' END
+  WHEN c = 'и' THEN CASE WHEN {paired} THEN 'ei' WHEN prev IN ('ь', 'ъ') THEN 'ji' ELSE 'i' END
+  WHEN c = 'е' THEN CASE WHEN {paired} THEN 'ee' WHEN {hard} THEN 'ae' WHEN {soft} OR prev = 'й' THEN 'e' ELSE 'je' END
+  {jot} WHEN c = 'ь' THEN CASE WHEN {paired} THEN 'e' ELSE '' END WHEN c = 'ъ' THEN '' {digraphs}
+  ELSE translate(c, '{O.ONE_TO_ONE[0]}', '{O.ONE_TO_ONE[1]}') END AS o FROM seen)
+SELECT s.k, coalesce(m.latin, '') AS latin FROM src s LEFT JOIN (SELECT k, string_agg(o, '' ORDER BY pos) AS latin FROM made GROUP BY k) m ON m.k = s.k"""
+
+
+def oracle_sql() -> dict:
+    """SQL, or the expected rows themselves for fixtures."""
+    native = _native(f"SELECT word AS k, word AS t FROM ({_WORDS})")
+    stems = f"SELECT left(word, 5) AS stem FROM (SELECT unnest(regexp_extract_all({_respelt()}, '[а-яё]{{5,}}')) AS word FROM documents) GROUP BY 1 HAVING count(*) >= 20"
+    matched = f"SELECT w.word, s.stem AS cyrillic_stem FROM ({_WORDS}) w LEFT JOIN ({stems}) s ON starts_with(w.word, s.stem)"
+    return {
+        "q_native_docs": f"SELECT k AS doc_id, latin FROM ({_native(f'SELECT doc_id AS k, {_respelt()} AS t FROM documents')})",
+        "q_tokens": f"SELECT doc_id, CAST(unnest(range(len(x))) AS INTEGER) AS pos, unnest(x) AS token FROM (SELECT doc_id, regexp_extract_all({_respelt()}, '[а-яёА-ЯЁ]+|[^а-яёА-ЯЁ]+') AS x FROM documents)",
+        "q_word_count": f"SELECT lang, CAST(sum(len(regexp_extract_all({_respelt()}, '[а-яё]+'))) AS BIGINT) AS words FROM documents GROUP BY lang",
+        "q_native_words": f"SELECT k AS word, latin FROM ({native})",
+        "q_fixture_native": _values(X.pairs(X.NATIVE), "input, latin"),
+        "q_fixture_loans": _values(X.pairs(X.LOANS), "input, latin"),
+        "q_lexicon_rank": _values([(r[0], r[2], len(r[0]), r[2] == "stem") for r in X.ROWS], "cyrillic_stem, mode, letters, is_stem"),
+        "q_prefix_match": matched,
+        "q_lexicon_coverage": f"SELECT count(*) AS words, count(cyrillic_stem) AS matched FROM ({matched})",
+        "q_prefix_conflicts": _values([("жюл", "жюль")], "shorter, longer"),
+        "q_sound_match": _values([(*p, True) for p in X.pairs(X.SOUNDS)] + [(*p, False) for p in X.pairs(X.UNLIKE)], "cyr, source, ok"),
+        "q_consonant_match": _values([(*p, True) for p in X.pairs(X.CONSONANTS)] + [(*p, False) for p in X.pairs(X.UNLIKE)], "cyr, source, ok"),
+        "q_trim_stem": _values(X.TRIMMED, "cyr, source, stem"),
+        "q_greek_stem": _values(X.pairs(X.STEMS), "input, latin"),
+        "q_compact_spaces": "SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM documents",
+        "q_crawl_rows": _values([(p[0], *p[3:]) for p in X.PAGES if p[3]], "title, cyrillic_stem, latin_stem, matched_russian_reading"),
+        "q_dedup_first": "SELECT regexp_extract(text, '^[^ ]*', 0) AS word, min(doc_id) AS doc_id FROM documents GROUP BY 1",
+        "q_limit": "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 100",
+    } | {f"q_greek_{m}": _values(X.pairs(X.GREEK[m]), "input, latin") for m in X.GREEK}

@@ -6,17 +6,8 @@ from pyspark.sql import functions as F
 from skriba.functions import greek, phonetics
 from skriba.functions.orthography import convert_text, convert_word
 from skriba.operators import lexicon as L
-
-NATIVE = """Я=Ja ЖУК=ZSUK Женя=Zsaenea жена=zsaena жизнь=zsizne мажь=mazs вражий=vrazsij вражьи=vrazsji шина=szina шея=szaeja щука=szeuka чай=czaj ночь=nocz вечный=veecznij
-русский=russkeij сзади=zzadei французский=frantzusskeij подъезд=podjezd семья=seemeja Марья=Mareja Мариа=Mareia Мария=Mareija поэт=poaet поёт=pojot поит=poit эй=ej ёж=jozs ел=jel ель=jele
-это=eto эхо=exo мэр=maer тя=tea те=tee тё=teo ти=tei тю=teu ть=te юг=jug мой=moj мои=moi цена=tzaena цирк=tzirk царь=tzare щи=szei вещь=veesze борщ=borsze семя=seemea вьюга=vejuga
-дьявол=dejavol диавол=deiavol сз=zz зс=ss сзывать=zzivate госзаказ=gozzakaz кавказский=kavkasskeij зсз=ssz сзс=zzs шёл=szol мышь=misz божьи=bozsji Евангелие=Jevangeeleije"""
-ROWS = [("шин", "Schien", "stem", "preserve", "any", None), ("поэт", "poët", "stem", "auto", "any", None), ("зевс", "Zevs", "stem", "auto", "capitalized", None), ("евангелие", "Evangelije", "word", "auto", "any", None), ("жюль", "Jule", "word", "auto", "capitalized", None), ("жюл", "Jule", "stem", "auto", "capitalized", "soft")]
-LOANS = "шина=Schiena шины=Schieni поэт=poët поэта=poëta Зевса=Zevsa зевса=zeevsa Евангелие=Evangelije Жюль=Jule Жюля=Julea жюля=zsulea ШИНа=SCHIENa"
-
-
-def pairs(text):
-    return [tuple(x.split("=")) for x in text.split()]
+from skriba.operators.wiki import crawl_rows, template_calls
+from skriba.plans.fixtures import CONSONANTS, GREEK, LOANS, NATIVE, PAGES, READINGS, ROWS, SOUNDS, STEMS, TRIMMED, UNLIKE, page_rows, pairs
 
 
 def dictionary(spark):
@@ -71,11 +62,6 @@ def test_first_wins_and_conflicts(spark):
     assert [tuple(r) for r in L.prefix_conflicts(dictionary(spark)).collect()] == [("жюл", "жюль")]
 
 
-SOUNDS = "фактор=factor фаз=phas бренди=brandy абрикос=abrikoos ахиллес=Achilleas ёлк=yolk фальш=fals ж=zh дж=g эй=ui ау=ui у=oe ку=cu кв=qu ск=sc ш=sc щ=sc йолк=yolk ай=i айова=Iowa этика=etica сыр=sir евангел=ευαγγελ философ=φιλοσοφ"
-CONSONANTS = "х=x кс=x з=x х=ch ч=ch ш=ch к=qu кв=qu б=b в=b ш=sch с=sch ж=sch п=ph л=ll онор=honor г=h й=j дж=j ц=ts ц=tz ц=cz ч=cz с=ç ж=zh дж=g кв=cu к=cu ск=sc ш=sc щ=sc фаз=phase фальш=fals ахиллес=Achilleas"
-UNLIKE = "агиограф=graph факсимиле=facere фалда=Falte"
-
-
 def test_sounds(spark):
     for text, function, vowels, expected in ((SOUNDS, phonetics.sounds_like, True, True), (CONSONANTS, phonetics.consonants_like, False, True), (UNLIKE, phonetics.sounds_like, True, False), (UNLIKE, phonetics.consonants_like, False, False)):
         rows = spark.createDataFrame(pairs(text), "c string, s string").withColumn("r", phonetics.reading(F.col("c"), vowels))
@@ -84,24 +70,16 @@ def test_sounds(spark):
 
 
 def test_readings(spark):
-    rows = spark.createDataFrame(pairs("ахиллес=ахилес агиограф=агиограф ёлка=елка йолка=йолка жюль=жул этика=етика сыр=сир"), "c string, e string")
+    rows = spark.createDataFrame(pairs(READINGS), "c string, e string")
     assert all(r.g == r.e for r in rows.withColumn("g", phonetics.reading(F.col("c"))).collect())
 
 
-@pytest.mark.parametrize("cyr,latin,stem", [("фактор", "factor", "factor"), ("факсимиле", "facere", None), ("фаз", "phase", "phas"), ("фалда", "Falte", None), ("бренди", "brandywein", "brandy"), ("фальшь", "falsus", "fals"), ("фальшак", "falsus", None), ("ёлк", "yolk", "yolk"), ("гиперборе", "Hyperborēī", "Hyperborē"), ("ев", "Eu", "Eu"), ("ев", "Eva", "Ev"), ("исав", "Hesau", "Esau"), ("ев", "eavesdropper", None)])
+@pytest.mark.parametrize("cyr,latin,stem", TRIMMED)
 def test_trimmed_stems(spark, cyr, latin, stem):
     row = spark.createDataFrame([(cyr, latin)], "c string, l string").select(phonetics.trimmed_stem(phonetics.reading(F.col("c")), F.col("l")).alias("t")).first()
     assert row.t.stem == stem
 
 
-GREEK = {
-    "classical": "ου=u αυ=au ευ=eu υι=ui ῃ=ei ηυ=eu ῳ=oi ωυ=ou ᾳ=ai ᾱυ=au ᾰυ=au Εὔα=Eva εὐαγγέλιον=evangelion Βαβυλών=Babylon Κύρος=Cyros ἄγκυρα=ancyra",
-    "alalc": "ου=ou αυ=au ευ=eu υι=ui ηυ=ēu ωυ=ōu Βαβυλών=Babylōn Κύρος=Kyros Γκιζίκης=Gkizikēs Γκέτεμποργκ=Gketemporgk Ουάσιγκτον=Ouasinkton ἄγκυρα=ankyra Μπραντ=Brant Πιτ=Pit Ντίνι=Dini Λαμπέρτο=Lamperto",
-    "plain": "Βαβυλών=Babylon Κύρος=Kyros",
-    "rich": "Ἄνδρα=Ắndră μοι=moi ἔννεπε=énnepe Μοῦσα=Moûsă πολύτροπον=polý̆tropon ὃς=hós μάλα=mắlă πολλὰ=pollắ",
-}
-
-
 @pytest.mark.parametrize("mode", GREEK)
 def test_greek(spark, mode):
     import unicodedata
@@ -112,6 +90,16 @@ def test_greek(spark, mode):
 
 
 def test_greek_stems(spark):
-    rows = spark.createDataFrame(pairs("εὐαγγέλιον=evangeli εὐαγγελίου=evangeli εὐαγγελίῳ=evangeli πρόβλημα=problem Ἀχιλλεύς=Achill Ἀπόλλων=Apollon"), "g string, e string")
+    rows = spark.createDataFrame(pairs(STEMS), "g string, e string")
     got = rows.withColumn("r", greek.romanise_classical(greek.greek_stem("g"))).collect()
     assert [(r.g, r.r) for r in got] == [(r.g, r.e) for r in got]
+
+
+def test_pages(spark):
+    got = crawl_rows(spark.createDataFrame(page_rows(), "seq int, title string, content string"))
+    rows = {r.title: (r.cyrillic_stem, r.latin_stem, r.matched_russian_reading) for r in got.collect()}
+    assert rows == {p[0]: p[3:] for p in PAGES}
+
+
+def test_nested_templates():
+    assert template_calls("{{a|{{b|c|d}}|[[e]]}} {{x") == [["b", "c", "d"], ["a", "{{b|c|d}}", "[[e]]"]]
