@@ -1,0 +1,326 @@
+"""The training-data operators against brute force, round trips and held-out labels."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from skriba.llm import decontam, lm_score, media, mixing, near_dup, pii, substring_dedup, token_output, toxicity, url_filter
+from skriba.llm.hashing import grams, word_hashes
+from skriba.llm.queries import vocabulary
+
+SCHEMA = "doc_id long, text string, lang string, source string, score string"
+
+
+def corpus(seed=1, n=120):
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(400)] + ["The", "of", "ñandú", "Äpfel,"]
+    passage = " ".join(rng.choice(words) for _ in range(60))
+    rows = []
+    for k in range(n):
+        if rows and rng.random() < 0.15:
+            text = rng.choice(rows)[1]
+        elif rows and rng.random() < 0.2:
+            parts = (rng.choice(rows)[1] or "").split(" ")
+            parts[rng.randrange(len(parts))] = "changed"
+            text = " ".join(parts)
+        else:
+            text = " ".join(rng.choice(words) for _ in range(rng.randrange(0, 120)))
+        if rng.random() < 0.1:
+            text = f"{text} {passage}"
+        rows.append((k * 3 + 1, text, "en", rng.choice(["a", "b", None]), "x"))
+    rows += [(1000, None, "en", "a", "x"), (1001, "", "en", None, "x"), (1002, "one", None, "c", "x"), (1003, "long " * 5000, "en", "a", "x")]
+    return rows + [rows[0]]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def texts():
+    return {r[0]: r[1] for r in corpus()}
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_word_hashes_agree_with_split():
+    texts = ["a b  c", None, "", " x\ty\x0bz ", "Ä A", "q" * 5_000_000 + " end", "b a b"]
+    seen = {}
+    for first, last, hashes, at in word_hashes(texts, True):
+        for k in range(first, last):
+            words = (texts[k] or "").encode().lower().split()
+            own = hashes[at[k - first] : at[k - first + 1]]
+            assert len(own) == len(words)
+            for w, h in zip(words, own):
+                assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+    two = grams(np.array([1, 2, 3, 1, 2], np.uint64), 2)
+    assert two[0] == two[3] and len(set(two.tolist())) == 3
+
+
+def test_token_output(spark, docs, texts):
+    from tokenizers import Tokenizer
+
+    encode = Tokenizer.from_file(vocabulary()).encode
+    got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_output.token_table(docs, vocabulary(), 2).collect())
+    start, expected = 0, []
+    for doc_id, text, *_ in sorted(corpus(), key=lambda r: r[0]):
+        ids = encode(text or "", add_special_tokens=False).ids + [2]
+        expected.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert got == expected
+    assert token_output.token_table(empty(spark), vocabulary(), 2).count() == 0
+
+
+def test_shard_reads_one_document(tmp_path):
+    import zstandard
+
+    zipper = zstandard.ZstdCompressor()
+    contents = {5: b"abcd" * 10, 7: b"", 9: b"wxyz" * 1000}
+    path = tmp_path / "s.zst"
+    with open(path, "wb") as out:
+        token_output.write_shard(out, [(d, False, *f) for d, c in contents.items() for f in token_output.compress(c, zipper)])
+    with open(path, "rb") as handle:
+        reader = token_output.ShardReader(handle, path.stat().st_size)
+        assert {d: reader.find(d) for d in contents} == contents
+    broken = bytearray(path.read_bytes())
+    broken[-9 - 4 - 12] ^= 1
+    path.write_bytes(bytes(broken))
+    with open(path, "rb") as handle, pytest.raises(Exception):
+        token_output.ShardReader(handle, path.stat().st_size).find(7)
+
+
+def test_toxicity(spark):
+    rng = random.Random(4)
+    clean = [" ".join(rng.choice("the red house stands near some old river you not said".split()) for _ in range(30)) for _ in range(300)]
+    rude = [f"{c}. You are a {rng.choice(['zorgly', 'zorgs', 'blarf'])} {rng.choice(['zorg', 'blarf'])}. {c}" for c in clean[:80]]
+    rows = [(k, t, 0) for k, t in enumerate(clean[80:])] + [(1000 + k, t, 1) for k, t in enumerate(rude)]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows] + [(5000, None), (5001, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
+    assert all(got[k].predicted == y for k, _, y in rows if got[k].held_out)
+    assert got[5000].predicted == got[5001].predicted == 0
+    assert all(r.held_out == (zlib.crc32(str(k).encode()) % 3 == 1) for k, r in got.items())
+    kept = {r.doc_id for r in toxicity.keep_civil(docs, labels).collect()}
+    assert kept == {k for k, r in got.items() if not r.predicted}
+    nothing = toxicity.toxicity(docs, labels.limit(0)).collect()
+    assert len(nothing) == len(rows) + 2 and not any(r.predicted for r in nothing)
+
+
+EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def base_spans(text):
+    out = [("email", *m.span()) for m in EMAIL.finditer(text)]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    out += [("card", *m.span()) for m in CARD.finditer(text) if 13 <= len(digits(m)) <= 19 and pii.luhn(digits(m))]
+    return out + [("phone", *m.span()) for m in PHONE.finditer(text) if 9 <= len(digits(m)) <= 15]
+
+
+def test_pii_fuzz():
+    rng, anchors = random.Random(9), pii.automaton()
+    for _ in range(20_000):
+        letters = rng.choice(["a.@-", "019. -+", "0123+() .-", "@a.b ", "4 -1@.+", "+1 a(", "4111 -"])
+        text = "".join(rng.choice(letters) for _ in range(rng.randrange(40)))
+        assert [s for s in pii.find_spans(text, anchors) if s[0] in pii.BASE_KINDS] == base_spans(text)
+
+
+def test_pii_rows(spark):
+    rows = [(1, "mail a.b@c.de, card 4111 1111 1111 1111 and +1 (262) 555-3752 at 10.0.0.1"), (2, None), (3, ""), (None, "x@y.zz"), (4, "IBAN DE89 3704 0044 0532 0130 00; 12 Main Street; account no: 123456789")]
+    got = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].n_email, got[1].n_card, got[1].n_phone, got[1].n_ip) == (1, 1, 1, 1)
+    assert got[2].spans == got[3].spans == "" and got[None].n_email == 1
+    kinds = {s.split(":")[0] for s in got[4].spans.split(",")}
+    assert {"iban", "address", "account"} <= kinds
+
+
+def near_brute(rows, n):
+    sets = {}
+    for i, t in rows.items():
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
+    up = {i: i for i in sets}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(sets)
+    for x, i in enumerate(ids):
+        for j in ids[x + 1 :]:
+            c = len(sets[i] & sets[j])
+            if c and 100 * c >= 80 * (len(sets[i]) + len(sets[j]) - c):
+                a, b = sorted((top(i), top(j)))
+                up[b] = a
+    return {i: (len(sets[i]), top(i)) for i in ids}
+
+
+def test_near_duplicates(docs, texts):
+    for n in (4, 5):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs, n, 80).collect()}
+        assert got == near_brute(texts, n)
+
+
+def test_near_duplicates_of_large_groups(spark):
+    """A dense family, some of it linked and some just below: nodes beyond SMALL_NODE."""
+    rng = random.Random(3)
+    base = [f"b{k}" for k in range(60)]
+    rows = {}
+    for k in range(400):
+        words = list(base)
+        for at in rng.sample(range(60), rng.choice([1, 1, 2, 3, 4])):
+            words[at] = f"x{rng.randrange(2000)}"
+        rows[k] = " ".join(words)
+    got = near_dup.near_duplicates(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), 4, 80)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == near_brute(rows, 4)
+    kept = near_dup.drop_near_duplicates(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (None, "a")], "doc_id long, text string"), 5, 80)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "None"]
+    assert near_dup.near_duplicates(empty(spark), 4, 80).count() == 0
+
+
+def test_media(docs, texts):
+    rows = media.media_table(docs).collect()
+    assert len(rows) == len(corpus())
+    for r in rows:
+        raw = (texts[r.doc_id] or "").encode()
+        padded = raw + b" " * (-len(raw) % 192 if raw else 192)
+        image = media.to_png(padded)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(image), hashlib.sha256(image).hexdigest(), media.feature(padded))
+        assert media.from_png(image) == padded
+
+
+def test_min_cost_flow_prefers_first_copies():
+    flow = mixing.min_cost_flow({("a",): 10, ("a", "b"): 10, ("b",): 5}, {"a": 15, "b": 12}, 2)
+    assert sum(v for (p, s), v in flow.items() if s == "a") == 15 and sum(v for (p, s), v in flow.items() if s == "b") == 12
+    used = collections.Counter()
+    for (p, _), v in flow.items():
+        used[p] += v
+    assert sum(max(0, v - c) for (p, c), v in zip({("a",): 10, ("a", "b"): 10, ("b",): 5}.items(), [used[("a",)], used[("a", "b")], used[("b",)]])) == 2
+
+
+def test_mixing(spark, docs):
+    first = sorted(map(tuple, mixing.mix_sources(docs).collect()), key=str)
+    again = sorted(map(tuple, mixing.mix_sources(docs.repartition(2)).collect()), key=str)
+    assert first == again
+    taken, target = collections.Counter(), {}
+    for r in mixing.mix_sources(docs).collect():
+        assert r.taken <= 2 * r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(abs(taken[s] - target[s]) <= max(130, 0.02 * target[s]) for s in target if s != "a")
+    assert mixing.mix_sources(empty(spark)).count() == 0
+
+
+def test_decontamination(spark, docs, texts):
+    benchmark = [(1, texts[1] or "w1 w2"), (2, "w5"), (3, None), (4, " ".join((texts[1003] or "").split()[:40])), (5, "no such words here at all in any document of this corpus ever")]
+    table = spark.createDataFrame(benchmark, "item_id long, text string")
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    windows = collections.defaultdict(set)
+    for item, text in benchmark:
+        w = word.findall(low(text))
+        for k in range(max(1, len(w) - 12)) if w else ():
+            windows[tuple(w[k : k + 13])].add(str(item))
+    for r in decontam.decontaminate(docs, table).collect():
+        w = word.findall(low(texts[r.doc_id]))
+        hit, items = set(), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in windows:
+                    items |= windows[tuple(w[k : k + n])]
+                    hit |= set(range(k, k + n))
+        assert (r.n_words, r.n_hit, list(r.items)) == (len(w), len(hit), sorted(items))
+        assert r.contaminated == (bool(hit) and 20 * len(hit) >= len(w))
+    assert decontam.decontaminate(docs, table.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_decontamination_beyond_a_broadcast(spark, docs, monkeypatch):
+    table = spark.createDataFrame([(1, "w5"), (2, "w7")], "item_id long, text string")
+    expected = sorted((r.doc_id, r.n_hit) for r in decontam.decontaminate(docs, table).collect())
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 0)
+    assert sorted((r.doc_id, r.n_hit) for r in decontam.decontaminate(docs, table).collect()) == expected
+
+
+def test_substring_dedup(docs, texts):
+    seen, expected = set(), {}
+    for i in sorted(texts):
+        w = (texts[i] or "").encode().split()
+        gone = set()
+        for k in range(len(w) - 19):
+            s = tuple(w[k : k + 20])
+            if s in seen:
+                gone |= set(range(k, k + 20))
+            seen.add(s)
+        kept = [x for k, x in enumerate(w) if k not in gone]
+        expected[i] = (len(w), len(gone), hashlib.sha256(b" ".join(kept)).hexdigest())
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup(docs).collect()}
+    assert got == expected
+
+
+def test_url_verdicts(spark):
+    urls = ["http://a.com/x", "https://EXAMPLE.com/en/1", "http://www.example.com/en/1", "http://b.net/es/1", "http://b.net/de/1", None, "nothing", "http://c.org", "http://spam.org/x?y#z", "http://notcom/x"]
+    pages = spark.createDataFrame([(k, u, '<a href="http://blocked.org/">' if u and "spam" in u else None) for k, u in enumerate(urls)], "page_id long, url string, html string")
+    rules = (*url_filter.RULES, ("block", "blocked.org", "/"))
+    pages = pages.union(spark.createDataFrame([(99, "http://blocked.org/", "")], "page_id long, url string, html string"))
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.url_verdicts(pages, rules).collect()}
+    assert got[0] == ("a.com", "/x", "com/", "allow") and got[1][2:] == ("example.com/en/", "block") and got[2][2:] == ("www.example.com/en/", "allow")
+    assert got[3][2:] == ("net/es/", "block") and got[4][2:] == (None, "allow")
+    assert got[5] == got[6] == ("", "", None, "allow") and got[7] == ("c.org", "", None, "allow")
+    assert got[8] == ("spam.org", "/x", None, "block") and got[9][2] is None
+
+
+def test_language_scores(docs, texts):
+    counts = collections.Counter()
+    words = {i: (t or "").encode().lower().split() + [None] for i, t in texts.items()}
+    rows = [r[0] for r in corpus()]
+    for i in rows:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            counts.update(words[i])
+    n, v = sum(counts.values()), len(counts)
+    got = lm_score.language_model_scores(docs).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        base = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words[r.doc_id])
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(words[r.doc_id]), sum(w in counts for w in words[r.doc_id]), n)
+        assert abs(r.base_score - base) < 1e-6 * abs(base) and r.score < 0
+    held = [r for r in got if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_predictive_probabilities_sum_to_one():
+    rng = np.random.Generator(np.random.PCG64(0))
+    words, contexts = 30, lm_score.CONTEXTS + 1
+    grid = np.zeros((words, contexts), np.int64)
+    grid[:, :3] = rng.poisson(2.0, (words, 3))
+    vocabulary = int((grid.sum(1) > 0).sum())
+    settings = {"base": 1 / (vocabulary + 1), "customers": grid.sum(0).tolist()}
+    every = np.arange(words * contexts)
+    seating = lm_score.Seating(words, every // contexts, every % contexts, grid.ravel(), settings, 5)
+    seating.sweep(seating.totals())
+    totals = seating.totals()
+    p = seating.predictive(totals).reshape(words, contexts)[grid.sum(1) > 0]
+    new = (lm_score.PARENT_STRENGTH + lm_score.PARENT_DISCOUNT * totals[-1]) * settings["base"] / (lm_score.PARENT_STRENGTH + totals[:-1].sum())
+    unseen = (lm_score.STRENGTH + lm_score.DISCOUNT * totals[:-1]) / (lm_score.STRENGTH + grid.sum(0)) * new
+    assert np.allclose(p.sum(0) + unseen, 1)
+
+
+def test_pipeline_keeps_columns(spark, docs):
+    import corpus_pipeline
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "mixing", "token_output"]
+    assert mixing.mixed_documents(docs).columns == docs.columns
+    assert near_dup.drop_near_duplicates(docs).columns == docs.columns
+    assert decontam.clean_documents(docs, spark.createDataFrame([(1, "w5 w6")], "item_id long, text string")).columns == docs.columns
