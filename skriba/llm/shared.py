@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -31,6 +32,18 @@ def store(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """While it holds, Python workers get at most so many rows at once: for wide rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared store through Hadoop's file system."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -87,15 +100,41 @@ def keep_listed(table: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return keyed.mapInArrow(probable, keyed.schema).drop("_slot").join(ids, column)
 
 
+#: Links that one task joins by itself, 3 MB of them; more are joined in rounds.
+LOCAL_LINKS = 200_000
+
+
+def _joined(batches):
+    """Union-find over all (u, v) links of a task: (node, component)."""
+    import pyarrow as pa
+
+    up: dict[int, int] = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = sorted((top(u), top(v)))
+            up[b] = a
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], ["node", "component"])
+
+
 def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     """Connected components of (a, b) links: rows (node, component), component being
     the smallest node reachable; only nodes with links appear.
 
-    Each round links every node's larger neighbours to its smallest one, then its
+    Few links are joined by one task. Else each round links every node's larger neighbours to its smallest one, then its
     smaller ones likewise (large star, small star): the number of rounds grows
     with the logarithm of the longest path, the links never grow in number."""
     at, kept = 0, []
     now = store(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), folder, f"{name}-0")
+    if now.count() <= LOCAL_LINKS:
+        return now.coalesce(1).mapInArrow(_joined, "node long, component long")
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

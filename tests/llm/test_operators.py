@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pytest
 
-from skriba.llm import decontam, lm_score, media, mixing, near_dup, pii, substring_dedup, token_output, toxicity, url_filter
+from skriba.llm import decontam, lm_score, media, mixing, near_dup, pii, shared, substring_dedup, token_output, toxicity, url_filter
 from skriba.llm.hashing import grams, word_hashes
 from skriba.llm.queries import vocabulary
 
@@ -190,6 +190,16 @@ def test_near_duplicates_of_large_groups(spark):
     assert near_dup.near_duplicates(empty(spark), 4, 80).count() == 0
 
 
+def test_components_in_rounds(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(400, 460)]
+    table = spark.createDataFrame(links, "a long, b long")
+    expected = {tuple(r) for r in shared.components(table, tmp_path.as_uri(), "one").collect()}
+    monkeypatch.setattr(shared, "LOCAL_LINKS", 0)
+    assert {tuple(r) for r in shared.components(table, tmp_path.as_uri(), "rounds").collect()} == expected
+    assert (430, 400) in expected
+
+
 def test_media(docs, texts):
     rows = media.media_table(docs).collect()
     assert len(rows) == len(corpus())
