@@ -42,7 +42,7 @@ CACHE_CHUNKS = 800_000
 BATCH_ROWS = 1_000
 #: Sentence punctuation, which ends chunks.
 PUNCTUATION = ".,;:!?"
-_SET_OFF = re.compile(r"(?<=[^\W\d_])([.,;:!?]+)(?=[ \n]|$)")
+_SET_OFF = re.compile(r"([.,;:!?](?<=[^\W\d_].)[.,;:!?]*)(?=[ \n]|$)")
 
 
 def filesystem(uri: str):
@@ -144,7 +144,9 @@ class ShardReader:
     """Random access to a shard: reads its tail first, then only the frames asked for."""
 
     def __init__(self, handle, size: int):
-        self.handle = handle
+        import zstandard
+
+        self.handle, self.unzip = handle, zstandard.ZstdDecompressor()
         handle.seek(size - 9)
         frames, flags, magic = struct.unpack("<IBI", handle.read(9))
         if magic != SEEK_MAGIC or flags != CHECKSUMS:
@@ -166,14 +168,13 @@ class ShardReader:
     def document(self, k: int) -> bytes:
         """Ids of the k-th document, every frame held against its checksum."""
         import xxhash
-        import zstandard
 
         last = self.firsts[k + 1] if k + 1 < len(self.firsts) else len(self.ids)
         out = []
         for f in range(self.firsts[k], last):
             self.handle.seek(int(self.starts[f]))
             size = int(self.sizes[f])
-            part = zstandard.ZstdDecompressor().decompress(self.handle.read(int(self.packed[f])), max_output_size=size) if size else b""
+            part = self.unzip.decompress(self.handle.read(int(self.packed[f])), max_output_size=size) if size else b""
             if len(part) != size or xxhash.xxh64_intdigest(part) & 0xFFFFFFFF != self.checks[f]:
                 raise ValueError(f"frame {f} does not match its checksum")
             out.append(part)
