@@ -36,8 +36,8 @@ CHECKSUMS = 0x80
 FRAME_BYTES = 1 << 26
 #: Bytes of text that one shard aims at.
 SHARD_BYTES = 1 << 25
-#: Entries of a worker's chunk cache; it is emptied when it is full.
-CACHE_CHUNKS = 800_000
+#: Entries of a worker's chunk cache; it is emptied, but for short ones, when it is full.
+CACHE_CHUNKS, SHORT_CHUNK = 1_000_000, 9
 #: Rows that an encoding worker gets at once.
 BATCH_ROWS = 1_000
 #: Sentence punctuation, which ends chunks.
@@ -107,8 +107,10 @@ class ChunkEncoder:
                 split.append((k, self.simplify(text).replace("\n", " ").split(" ")))
         met = set().union(*(chunks for _, chunks in split))
         if len(self.cache) + len(met) > CACHE_CHUNKS:
+            # Short chunks are the frequent ones; they stay as far as they fill half of it.
+            short = {c: ids for c, ids in self.cache.items() if len(c) <= SHORT_CHUNK}
             self.cache.clear()
-            self.cache[""] = b""
+            self.cache.update(short if len(short) <= CACHE_CHUNKS // 2 else {"": b""})
         self.learn(met.difference(self.cache))
         find = self.cache.__getitem__
         for k, chunks in split:
