@@ -21,6 +21,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skriba.llm.shared import batch_rows
+
 # Closed word classes in English, German, French and Spanish.
 TARGETS = "you your yours he she they him her them his their du dich dir dein deine ihr euch sie er tu toi vous votre ta ton il elle ils elles lui tú tu usted ustedes vosotros él ella ellos".split()
 NEGATIONS = "not no never nobody nor neither isn't aren't wasn't don't doesn't nicht kein keine keinen nie niemals niemand ne pas jamais aucun aucune ni personne nunca jamás ningún ninguna nadie tampoco".split()
@@ -33,6 +35,8 @@ PRIOR = (1.0, 1.0, 0.8, 0.8)
 LEAST_SHARE, LEAST_ROWS = 0.01, 3
 #: Rows that the grammar is fitted on at most: those whose hashed ids come first.
 TRAIN_ROWS = 20_000
+#: Texts that a fitting worker gets at once.
+BATCH_ROWS = 500
 #: Insult entries kept at most, and letters of a stem.
 MAX_ENTRIES, STEM_LETTERS = 2_000, (4, 5, 6, 7)
 #: A document is rejected from this score on.
@@ -73,33 +77,43 @@ def learn_insults(texts: DataFrame) -> dict[str, float]:
     if not bad or not good:
         return {}
 
-    def count(batches):
-        from collections import Counter
+    least = max(LEAST_ROWS, LEAST_SHARE * bad)
 
-        import pyarrow as pa
+    def counted(rows, wanted):
+        def count(batches):
+            from collections import Counter
 
-        pos, neg = Counter(), Counter()
-        for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                (pos if toxic else neg).update(_features_of(text or ""))
-        words = list(pos)
-        yield pa.RecordBatch.from_arrays([pa.array(words + [w for w in neg if w not in pos], pa.string()), pa.array([pos[w] for w in words] + [0] * sum(w not in pos for w in neg), pa.int64()), pa.array([neg[w] for w in words] + [neg[w] for w in neg if w not in pos], pa.int64())], ["entry", "pos", "neg"])
+            import pyarrow as pa
+
+            for batch in batches:
+                n: Counter = Counter()
+                for text in batch.column(0).to_pylist():
+                    met = _features_of(text or "")
+                    n.update(met if wanted is None else met & wanted)
+                yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["entry", "n"])
 
-    counts = texts.select("text", "toxic").mapInArrow(count, "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    odds = F.log((F.col("pos") + 0.5) / (bad + 1)) - F.log((F.col("neg") + 0.5) / (good + 1))
+        return rows.select("text").mapInArrow(count, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+
+    # Only what toxic texts hold often enough is looked for in the others.
+    pos = {r.entry: r.n for r in counted(texts.where("toxic = 1"), None).where(F.col("n") >= least).collect()}
+    neg = {r.entry: r.n for r in counted(texts.where("toxic = 0"), frozenset(pos)).collect()}
     # An entry's log odds must be over 2 and 2.5 of their standard errors, and it may be met
     # once in other texts for every five times in toxic ones.
-    error = F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
-    strong = counts.where((F.col("pos") >= max(LEAST_ROWS, LEAST_SHARE * bad)) & (F.col("neg") * 5 <= F.col("pos"))).withColumn("w", odds).where((F.col("w") > 2.0) & (F.col("w") / error > 2.5))
-    found = strong.orderBy(F.col("w") * F.sqrt("pos"), "entry", ascending=[False, True]).limit(MAX_ENTRIES).select("entry", "w", "pos").collect()
+    strong = []
+    for entry, n in pos.items():
+        m = neg.get(entry, 0)
+        w = math.log((n + 0.5) / (bad + 1)) - math.log((m + 0.5) / (good + 1))
+        if m * 5 <= n and w > 2.0 and w > 2.5 * math.sqrt(1 / (n + 0.5) + 1 / (m + 0.5)):
+            strong.append((-w * math.sqrt(n), entry, w, n))
+    found = [(entry, w, n) for _, entry, w, n in sorted(strong)[:MAX_ENTRIES]]
     # Of a stem and a longer entry below it that is met as often, the longer one says more;
     # below a stem that is kept, a longer entry adds nothing.
     longer: dict[str, int] = {}
-    for r in found:
+    for entry, _, n in found:
         for k in STEM_LETTERS:
-            if k < len(r.entry.rstrip("*")):
-                longer[r.entry[:k] + "*"] = max(r.pos, longer.get(r.entry[:k] + "*", 0))
-    weights = {r.entry: r.w for r in found if longer.get(r.entry, 0) < 0.98 * r.pos}
+            if k < len(entry.rstrip("*")):
+                longer[entry[:k] + "*"] = max(n, longer.get(entry[:k] + "*", 0))
+    weights = {entry: w for entry, w, n in found if longer.get(entry, 0) < 0.98 * n}
     weights = {e: w for e, w in weights.items() if not any(e[:k] + "*" in weights for k in STEM_LETTERS if k < len(e.rstrip("*")))}
     order = list(weights)
 
@@ -120,7 +134,7 @@ def learn_insults(texts: DataFrame) -> dict[str, float]:
     for k, r in enumerate(met):
         for e in r.entries:
             rows.setdefault(e, []).append(k)
-    explained, kept, least = np.zeros(len(met), int), {}, max(LEAST_ROWS, LEAST_SHARE * bad)
+    explained, kept = np.zeros(len(met), int), {}
     runs = np.array([r.run for r in met])
     for k, e in enumerate(order):
         own = np.array(rows.get(k, []), int)
@@ -225,6 +239,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Grammar:
     """Learn the grammar from the training fold. Without toxic or without other labelled
     rows nothing is learned and every text scores as the share of toxic labels."""
+    with batch_rows(docs.sparkSession, BATCH_ROWS):
+        return _fit(docs, labels, rows)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, rows: int) -> Grammar:
     spark = docs.sparkSession
     known = training_rows(labels, rows)
     if not known:
