@@ -45,6 +45,13 @@ CLAUSE_END = re.compile(r"[.!?;:\n]")
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 
 
+def _slices(batches):
+    """Batches of BATCH_ROWS rows at most, whatever the session's setting."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(at, BATCH_ROWS)
+
+
 def training_rows(labels: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[int, int]]:
     """(doc_id, toxic) of the training fold: crc32 of the id as text modulo 3 is not 1.
     At most `rows` of them, by the order of a hash of their ids."""
@@ -284,7 +291,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, grammar: Grammar | None = None)
         import pyarrow as pa
 
         anchors = grammar.anchors()
-        for batch in batches:
+        for batch in _slices(batches):
             got = [grammar.clauses(t, anchors) for t in batch.column(1).to_pylist()]
             arrays = [batch.column(0), pa.array([grammar.score(g) for g in got], pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array([g[k] for g in got], pa.float64()) for k in range(1 + len(READINGS))], ["doc_id", "score", "clauses", *READINGS])
@@ -304,7 +311,7 @@ def keep_civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         anchors = grammar.anchors()
-        for batch in batches:
+        for batch in _slices(batches):
             texts = batch.column(columns.index("text")).to_pylist()
             kept = batch.filter(pa.array([grammar.score(grammar.clauses(t, anchors)) < REJECT for t in texts], pa.bool_()))
             if kept.num_rows:
