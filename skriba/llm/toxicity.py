@@ -20,6 +20,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import ArrowUDFType
 
 from skriba.llm.shared import batch_rows
 
@@ -303,21 +304,22 @@ def toxicity(docs: DataFrame, labels: DataFrame, grammar: Grammar | None = None)
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of `docs` whose text scores below REJECT, all columns as they are."""
+    """Rows of `docs` whose text scores below REJECT, all columns as they are.
+
+    Only texts go to the Python workers, and only a mark for each comes back."""
     grammar = fit(docs, labels)
-    columns = docs.columns
 
-    def keep(batches):
+    def civil(columns):
         import pyarrow as pa
 
         anchors = grammar.anchors()
-        for batch in _slices(batches):
-            texts = batch.column(columns.index("text")).to_pylist()
-            kept = batch.filter(pa.array([grammar.score(grammar.clauses(t, anchors)) < REJECT for t in texts], pa.bool_()))
-            if kept.num_rows:
-                yield kept
+        for column in columns:
+            kept: list[bool] = []
+            for at in range(0, len(column), BATCH_ROWS):
+                kept.extend(grammar.score(grammar.clauses(t, anchors)) < REJECT for t in column.slice(at, BATCH_ROWS).to_pylist())
+            yield pa.array(kept, pa.bool_())
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.where(F.arrow_udf(civil, "boolean", ArrowUDFType.SCALAR_ITER)("text"))
 
 
 __all__ = ["Grammar", "fit", "keep_civil", "toxicity", "training_rows"]
