@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skriba.llm.hashing import grams, mix, word_hashes
-from skriba.llm.shared import batch_rows, components, keep_listed, remove, store, work_dir
+from skriba.llm.shared import batch_rows, components, keep_listed, lean, remove, store, work_dir
 
 U = np.uint64
 COORDINATES, TREES, BRANCHES, LEVELS = 128, 4, 2, 12
@@ -85,7 +85,7 @@ def features(docs: DataFrame, n: int) -> DataFrame:
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()])], ["doc_id", "n", "d1", "d2", "tokens"])
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(scan, "doc_id long, n long, d1 long, d2 long, tokens binary")
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(lean(scan), "doc_id long, n long, d1 long, d2 long, tokens binary")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -111,7 +111,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
             yield found.filter(found.column(1).is_valid())
 
     rows = keep_listed(docs.select("doc_id", "text"), ids, "doc_id")
-    return rows.select("doc_id", "text", "d1", "d2").mapInArrow(scan, "doc_id long, items binary")
+    return rows.select("doc_id", "text", "d1", "d2").mapInArrow(lean(scan), "doc_id long, items binary")
 
 
 def child_rows(path: int, level: int, tokens: np.ndarray) -> list[int]:
@@ -143,7 +143,7 @@ def roots(reps: DataFrame) -> DataFrame:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array(names.ravel()), pa.array(np.repeat(ids, len(chosen)))], ["node", "doc"])
 
-    rows = reps.select("doc_id", "tokens").mapInArrow(scan, "node long, doc long")
+    rows = reps.select("doc_id", "tokens").mapInArrow(lean(scan), "node long, doc long")
     return rows.withColumn("up", F.lit(1 << 60))
 
 
@@ -163,7 +163,7 @@ def branch(nodes: DataFrame, reps: DataFrame, level: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["node", "doc", "up"])
 
     with_tokens = nodes.join(reps.select(F.col("doc_id").alias("doc"), "tokens"), "doc").select("node", "doc", "size", "tokens")
-    return with_tokens.mapInArrow(scan, "node long, doc long, up long").distinct()
+    return with_tokens.mapInArrow(lean(scan), "node long, doc long, up long").distinct()
 
 
 def compare_blocks(blocks: DataFrame, percent: int, crossing: bool) -> DataFrame:
@@ -211,7 +211,7 @@ def compare_blocks(blocks: DataFrame, percent: int, crossing: bool) -> DataFrame
             yield told(judge(held))
 
     rows = blocks.select("block", "doc", "n", "sketch", "label").repartition("block").sortWithinPartitions("block")
-    found = rows.mapInArrow(scan, ", ".join(f"{n} long" for n in names))
+    found = rows.mapInArrow(lean(scan), ", ".join(f"{n} long" for n in names))
     return found if crossing else found.distinct()
 
 
@@ -227,7 +227,7 @@ def sketches_of(reps: DataFrame) -> DataFrame:
             low = ((tokens * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in low], pa.binary())], ["doc", "n", "sketch"])
 
-    return reps.select("doc_id", "n", "tokens").mapInArrow(scan, "doc long, n long, sketch binary")
+    return reps.select("doc_id", "n", "tokens").mapInArrow(lean(scan), "doc long, n long, sketch binary")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -248,7 +248,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(scan, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(lean(scan), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -449,7 +449,7 @@ def compare_sets(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield told(flush())
 
     rows = blocks.join(sets.withColumnRenamed("doc_id", "doc"), "doc").select("block", "doc", "label", "items")
-    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(scan, "a long, b long").distinct()
+    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(lean(scan), "a long, b long").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:

@@ -44,6 +44,43 @@ def batch_rows(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
+def relieve() -> None:
+    """Give back to the system what this process has freed but its allocators keep."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+#: Bytes of batches after which a worker gives back what it has freed.
+RELIEF_BYTES = 1 << 24
+
+
+def lean(scan):
+    """`scan` over batches (or columns), giving freed memory back now and then and at its
+    end: worker processes outlive their tasks, and many idle ones add up."""
+
+    def run(batches):
+        def counted():
+            passed = 0
+            for batch in batches:
+                yield batch
+                passed += batch.nbytes
+                del batch
+                if passed > RELIEF_BYTES:
+                    relieve()
+                    passed = 0
+
+        yield from scan(counted())
+        relieve()
+
+    return run
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared store through Hadoop's file system."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -97,7 +134,7 @@ def keep_listed(table: DataFrame, ids: DataFrame, column: str) -> DataFrame:
             if kept.num_rows:
                 yield kept
 
-    return keyed.mapInArrow(probable, keyed.schema).drop("_slot").join(ids, column)
+    return keyed.mapInArrow(lean(probable), keyed.schema).drop("_slot").join(ids, column)
 
 
 #: Links that one task joins by itself, 3 MB of them; more are joined in rounds.

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import ArrowUDFType
 
-from skriba.llm.shared import batch_rows
+from skriba.llm.shared import batch_rows, lean
 
 # Closed word classes in English, German, French and Spanish.
 TARGETS = "you your yours he she they him her them his their du dich dir dein deine ihr euch sie er tu toi vous votre ta ton il elle ils elles lui tú tu usted ustedes vosotros él ella ellos".split()
@@ -100,7 +100,7 @@ def learn_insults(texts: DataFrame) -> dict[str, float]:
                     n.update(met if wanted is None else met & wanted)
                 yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["entry", "n"])
 
-        return rows.select("text").mapInArrow(count, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+        return rows.select("text").mapInArrow(lean(count), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
 
     # Only what toxic texts hold often enough is looked for in the others.
     pos = {r.entry: r.n for r in counted(texts.where("toxic = 1"), None).where(F.col("n") >= least).collect()}
@@ -138,7 +138,7 @@ def learn_insults(texts: DataFrame) -> dict[str, float]:
     # texts of which most differ by their least run of three words; or, the strongest
     # entries going first, in enough texts that fewer than two others have explained.
     rows: dict[int, list[int]] = {}
-    met = texts.where("toxic = 1").select("text").mapInArrow(incidence, "entries array<int>, run long").collect()
+    met = texts.where("toxic = 1").select("text").mapInArrow(lean(incidence), "entries array<int>, run long").collect()
     for k, r in enumerate(met):
         for e in r.entries:
             rows.setdefault(e, []).append(k)
@@ -269,7 +269,7 @@ def _fit(docs: DataFrame, labels: DataFrame, rows: int) -> Grammar:
             yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.float64()) for k in range(1 + len(READINGS))] + [batch.column(1)], ["clauses", *READINGS, "toxic"])
 
     schema = "clauses double, " + ", ".join(f"{r} double" for r in READINGS) + ", toxic int"
-    got = texts.mapInArrow(features, schema).collect()
+    got = texts.mapInArrow(lean(features), schema).collect()
     # In one order whatever the tasks': sums of floats then agree between runs.
     data = np.array(sorted(tuple(r) for r in got), float).reshape(-1, len(READINGS) + 2)
     share = (data[:, -1].sum() + 0.5) / (len(data) + 1)
@@ -299,7 +299,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, grammar: Grammar | None = None)
 
     schema = "doc_id long, score double, clauses double, " + ", ".join(f"{r} double" for r in READINGS)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(True))
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scores, schema)
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(scores), schema)
     return rows.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= REJECT, 1).otherwise(0).alias("predicted"), "clauses", *READINGS)
 
 
@@ -319,7 +319,7 @@ def keep_civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 kept.extend(grammar.score(grammar.clauses(t, anchors)) < REJECT for t in column.slice(at, BATCH_ROWS).to_pylist())
             yield pa.array(kept, pa.bool_())
 
-    return docs.where(F.arrow_udf(civil, "boolean", ArrowUDFType.SCALAR_ITER)("text"))
+    return docs.where(F.arrow_udf(lean(civil), "boolean", ArrowUDFType.SCALAR_ITER)("text"))
 
 
 __all__ = ["Grammar", "fit", "keep_civil", "toxicity", "training_rows"]
