@@ -18,7 +18,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skriba.llm.shared import store, work_dir
+from skriba.llm.shared import driver_rows, store, work_dir
 
 #: Patterns the network may have; more are refused, never dropped.
 MAX_PATTERNS = 20_000
@@ -118,7 +118,7 @@ def _take(rows: DataFrame, wanted: DataFrame, folder: str) -> DataFrame:
     state = {r.pattern: (0, 0, r.words) for r in wanted.collect()}
     final: dict = {}
     while state:
-        table = spark.createDataFrame([(p, lo, bits) for p, (lo, bits, _) in state.items()], "pattern int, lo long, bits int")
+        table = driver_rows(spark, [(p, lo, bits) for p, (lo, bits, _) in state.items()], "pattern int, lo long, bits int")
         inside = rows.join(F.broadcast(table), "pattern").where("shiftright(h, 60 - bits) = lo")
         histogram = inside.groupBy("pattern", F.expr(f"shiftright(h, 60 - bits - {STEP_BITS})").alias("cell")).agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()
         cells: dict = {}
@@ -144,7 +144,7 @@ def _take(rows: DataFrame, wanted: DataFrame, folder: str) -> DataFrame:
                     room -= line[end][2]
                 final[p] = (line[k][0] << shift, (line[end][0] + 1) << shift, left)
         state = following
-    return spark.createDataFrame([(p, *x) for p, x in final.items()], "pattern int, cut long, until long, fits long")
+    return driver_rows(spark, [(p, *x) for p, x in final.items()], "pattern int, cut long, until long, fits long")
 
 
 def mix(docs: DataFrame, sources, targets_of, seed: int = 11, repeats: int = REPEATS, size=None) -> DataFrame:
@@ -179,7 +179,7 @@ def mix(docs: DataFrame, sources, targets_of, seed: int = 11, repeats: int = REP
     for (p, _), words in flow.items():
         amounts[p] += words
     plan = [(list(p), numbers[p], amounts[p] // patterns[p] if patterns[p] else 0, amounts[p] % patterns[p] if patterns[p] else 0) for p in patterns]
-    lookup = spark.createDataFrame(plan, "sources array<string>, pattern int, whole int, words long") if plan else None
+    lookup = driver_rows(spark, plan, "sources array<string>, pattern int, whole int, words long") if plan else None
     if lookup is None:
         return rows.select("doc_id", "size", "sources", F.lit(0).alias("times"))
     # Null-safe on arrays: null members compare as equal.
@@ -210,7 +210,7 @@ def mix_sources(docs: DataFrame, targets_of=by_weight) -> DataFrame:
     chosen = store(chosen, folder, "chosen")
     totals = {r.s: r.n for r in chosen.groupBy(F.col("sources")[0].alias("s")).agg(F.sum("size").alias("n")).collect()}
     targets = targets_of(totals)
-    told = docs.sparkSession.createDataFrame([(s, int(n), float(targets[s])) for s, n in totals.items()], "source string, source_size long, target double")
+    told = driver_rows(docs.sparkSession, [(s, int(n), float(targets[s])) for s, n in totals.items()], "source string, source_size long, target double")
     rows = chosen.select("doc_id", F.col("sources")[0].alias("source"), "size", "times")
     return rows.join(F.broadcast(told), rows.source.eqNullSafe(told.source)).drop(told.source).select("doc_id", "source", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"))
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skriba.llm.hashing import grams, mix, word_hashes
-from skriba.llm.shared import batch_rows, components, keep_listed, lean, remove, store, work_dir
+from skriba.llm.shared import batch_rows, components, driver_rows, id_filter, lean, probable, remove, slot_of, store, work_dir
 
 U = np.uint64
 COORDINATES, TREES, BRANCHES, LEVELS = 128, 4, 2, 12
@@ -90,7 +90,11 @@ def features(docs: DataFrame, n: int) -> DataFrame:
 
 def full_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     """Sorted shingle hashes (8 bytes each) of the listed (doc_id, d1, d2) documents; a row
-    that repeats a doc_id with another set is not the listed one."""
+    that repeats a doc_id with another set is not the listed one.
+
+    Sets are made of what the id filter lets pass, before the join that makes it exact:
+    one Python worker a task."""
+    bits = docs.sparkSession.sparkContext.broadcast(id_filter(ids, "doc_id"))
 
     def scan(batches):
         import hashlib
@@ -98,20 +102,20 @@ def full_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            doc_ids = batch.column(0)
-            listed = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()))
-            out: list = [None] * batch.num_rows
+            batch = batch.filter(pa.array(probable(batch.column(2).to_numpy(zero_copy_only=False), bits.value)))
+            ones, twos, out = [], [], []
             for first, last, hashes, at in word_hashes(batch.column(1).to_pylist(), True):
-                for k in range(first, last):
-                    raw = shingle_set(hashes[at[k - first] : at[k - first + 1]], n).tobytes()
+                for k in range(last - first):
+                    raw = shingle_set(hashes[at[k] : at[k + 1]], n).tobytes()
                     digest = hashlib.md5(raw).digest()
-                    if (int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)) == listed[k]:
-                        out[k] = raw
-            found = pa.RecordBatch.from_arrays([doc_ids, pa.array(out, pa.binary())], ["doc_id", "items"])
-            yield found.filter(found.column(1).is_valid())
+                    ones.append(int.from_bytes(digest[:8], "big", signed=True))
+                    twos.append(int.from_bytes(digest[8:], "big", signed=True))
+                    out.append(raw)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "d1", "d2", "items"])
 
-    rows = keep_listed(docs.select("doc_id", "text"), ids, "doc_id")
-    return rows.select("doc_id", "text", "d1", "d2").mapInArrow(lean(scan), "doc_id long, items binary")
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", slot_of("doc_id").alias("slot"))
+    made = rows.mapInArrow(lean(scan), "doc_id long, d1 long, d2 long, items binary")
+    return made.join(ids, ["doc_id", "d1", "d2"]).select("doc_id", "items")
 
 
 def child_rows(path: int, level: int, tokens: np.ndarray) -> list[int]:
@@ -275,8 +279,8 @@ def _near_duplicates(docs: DataFrame, shingle_words: int, percent: int) -> DataF
     heads = classes.select(F.col("class_id").alias("doc_id"), "n", "d1", "d2")
     reps = store(heads.join(table, ["doc_id", "n", "d1", "d2"]).select("doc_id", "n", "tokens").dropDuplicates(["doc_id"]), folder, "reps")
     sketches = store(sketches_of(reps), folder, "sketches")
-    links = spark.createDataFrame([], "a long, b long")
-    labels = spark.createDataFrame([], "doc long, label long")
+    links = driver_rows(spark, [], "a long, b long")
+    labels = driver_rows(spark, [], "doc long, label long")
     sets = have = None
 
     def need(ids, name):

@@ -44,6 +44,17 @@ def batch_rows(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
+def driver_rows(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A small table from rows of the driver, sent as Arrow: no Python worker reads it."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    wanted = StructType.fromDDL(ddl)
+    schema = to_arrow_schema(wanted)
+    return spark.createDataFrame(pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema), wanted)
+
+
 def relieve() -> None:
     """Give back to the system what this process has freed but its allocators keep."""
     import ctypes
@@ -100,9 +111,8 @@ FILTER_BITS = 1 << 25
 def id_filter(ids: DataFrame, column: str) -> np.ndarray:
     """A one-hash Bloom filter of the ids, always FILTER_BITS large: it only saves
     shuffling rows that a later join would drop, so being full loses nothing."""
-    slot = F.pmod(F.xxhash64(F.col(column)), F.lit(FILTER_BITS))
     rows = (
-        ids.select((slot + 1).alias("s"))
+        ids.select((slot_of(column) + 1).alias("s"))
         .select(F.bitmap_bucket_number("s").alias("b"), F.bitmap_bit_position("s").alias("p"))
         .groupBy("b")
         .agg(F.bitmap_construct_agg("p").alias("bits"))
@@ -114,6 +124,16 @@ def id_filter(ids: DataFrame, column: str) -> np.ndarray:
     return out.reshape(-1)
 
 
+def probable(slots: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which slots of an id filter are set."""
+    return ((bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def slot_of(column: str):
+    """The slot of an id in the filter."""
+    return F.pmod(F.xxhash64(F.col(column)), F.lit(FILTER_BITS))
+
+
 def keep_listed(table: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """Rows of `table` whose `column` is in `ids` (distinct, already stored).
 
@@ -121,20 +141,18 @@ def keep_listed(table: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     shuffled; the join makes it exact."""
     spark = table.sparkSession
     bits = spark.sparkContext.broadcast(id_filter(ids, column))
-    keyed = table.where(F.col(column).isNotNull()).withColumn("_slot", F.pmod(F.xxhash64(F.col(column)), F.lit(FILTER_BITS)))
+    keyed = table.where(F.col(column).isNotNull()).withColumn("_slot", slot_of(column))
 
-    def probable(batches):
+    def keep(batches):
         import pyarrow as pa
 
         have = bits.value
         for batch in batches:
-            slot = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
-            hit = (have[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
-            kept = batch.filter(pa.array(hit.astype(bool)))
+            kept = batch.filter(pa.array(probable(batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False), have)))
             if kept.num_rows:
                 yield kept
 
-    return keyed.mapInArrow(lean(probable), keyed.schema).drop("_slot").join(ids, column)
+    return keyed.mapInArrow(lean(keep), keyed.schema).drop("_slot").join(ids, column)
 
 
 #: Links that one task joins by itself, 3 MB of them; more are joined in rounds.

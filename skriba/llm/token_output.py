@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skriba.llm.shared import batch_rows, store, work_dir
+from skriba.llm.shared import batch_rows, lean, store, work_dir
 
 # Fixed values of the seekable zstandard format.
 SEEK_MAGIC, SKIP_SEEK, SKIP_IDS = 0x8F92EAB1, 0x184D2A5E, 0x184D2A5D
@@ -252,7 +252,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, folder: str, sha
 
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
     names = ["shard", "doc_id", "crc", "part", "frame", "size", "checksum", "tokens"]
-    frames = rows.mapInArrow(encode, "shard int, doc_id long, crc long, part int, frame binary, size long, checksum long, tokens long")
+    frames = rows.mapInArrow(lean(encode), "shard int, doc_id long, crc long, part int, frame binary, size long, checksum long, tokens long")
 
     def write(batches):
         import uuid
@@ -287,7 +287,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, folder: str, sha
     filesystem(folder)[0].create_dir(filesystem(folder)[1], recursive=True)
     dealt = frames.repartitionById(count, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "crc", "part")
     with batch_rows(spark, BATCH_ROWS):
-        manifest = store(dealt.mapInArrow(write, "shard int, path string, bytes long, documents long, tokens long"), folder, "manifest")
+        manifest = store(dealt.mapInArrow(lean(write), "shard int, path string, bytes long, documents long, tokens long"), folder, "manifest")
     # One row a shard: the running total is over files, not documents.
     before = F.coalesce(F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return manifest.withColumn("start", before)
@@ -316,7 +316,7 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
     # About one shard a task: a manifest row stands for a whole file.
     files = max(1, manifest.count())
     listed = manifest.select("path", "bytes", "start", "shard").repartitionById(files, F.col("shard")).select("path", "bytes", "start")
-    return listed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard string")
+    return listed.mapInArrow(lean(read), "doc_id long, start long, n_tokens long, ids_crc32 long, shard string")
 
 
 def token_table(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:

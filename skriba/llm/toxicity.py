@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import ArrowUDFType
 
-from skriba.llm.shared import batch_rows, lean
+from skriba.llm.shared import batch_rows, driver_rows, lean
 
 # Closed word classes in English, German, French and Spanish.
 TARGETS = "you your yours he she they him her them his their du dich dir dein deine ihr euch sie er tu toi vous votre ta ton il elle ils elles lui tú tu usted ustedes vosotros él ella ellos".split()
@@ -256,7 +256,7 @@ def _fit(docs: DataFrame, labels: DataFrame, rows: int) -> Grammar:
     known = training_rows(labels, rows)
     if not known:
         return Grammar({}, np.array([0.0] * (1 + len(READINGS)) + [-3.0]))
-    table = F.broadcast(spark.createDataFrame(known, "doc_id long, toxic int"))
+    table = F.broadcast(driver_rows(spark, known, "doc_id long, toxic int"))
     texts = docs.select("doc_id", "text").join(table, "doc_id").select("text", "toxic")
     grammar = Grammar(learn_insults(texts))
 
