@@ -2,7 +2,8 @@
 
 Hosts are joined by the links of their pages. Personalised PageRank starts from the
 hosts that rules allow (trust), and on the reversed graph from the hosts that rules
-block (distrust: who links to a blocked host is suspect itself). A host whose
+block (distrust: who links to a blocked host is suspect itself). Every host with a page
+that a rule decides starts walks, by the share of such pages. A host whose
 distrust outweighs its trust is blocked. DataFrame operations only.
 """
 
@@ -21,9 +22,15 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-DAMPING, ROUNDS = 0.85, 12
+DAMPING = 0.85
+#: Ranks are settled when this many rounds add less than SETTLED to the sum of all ranks
+#: (at most 1 for trust and 1 for distrust); DAMPING bounds the rounds that this takes.
+STEPS, ROUNDS, SETTLED = 4, 120, 1e-5
 #: A host is blocked if its distrust is over this many times its trust.
 BLOCK_RATIO = 1.0
+#: Hosts that belong to no site (addresses), and domains of two labels that many owners share.
+NO_SITE = r"^\[|(^|\.)[0-9]+(:[0-9]*)?$"
+SUFFIX = r"^(co|com|net|org|edu|gov|gob|ac|or|ne|go|nom|mil|sch|ltd|plc)\.[a-z]{2}(:[0-9]*)?$"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -59,28 +66,45 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def site_edges(hosts: DataFrame) -> DataFrame:
-    """Ties inside a site: a host and its parent domain, as far as the parent has pages.
+    """Ties inside a site: a host and the nearest domain above it, up to that of two labels.
 
-    Subdomains share an owner; one tie each way carries trust along it."""
-    parent = F.regexp_replace("host", "^[^.]*\\.", "")
-    ties = hosts.select("host", parent.alias("up")).where("up <> host AND instr(up, '.') > 0").join(hosts.select(F.col("host").alias("up")), "up")
+    Subdomains share an owner; one tie each way carries trust along it. A domain is a
+    node if two hosts or more are its own or below it, whether or not it has pages, so
+    siblings are tied through it. Public suffixes, addresses and single labels are no site."""
+
+    def ups(first):
+        labels = F.split("host", "\\.")
+        each = F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+        return F.explode(F.slice(each, first, F.size(each)))
+
+    named = hosts.where((F.size(F.split("host", "\\.")) > 1) & ~F.col("host").rlike(NO_SITE))
+    shared = named.select(ups(1).alias("up")).where(~F.col("up").rlike(SUFFIX)).groupBy("up").agg(F.count("*").alias("n")).where("n > 1").select("up")
+    nodes = named.select("host").union(shared.select("up")).distinct()
+    ties = nodes.select("host", ups(2).alias("up")).join(shared, "up").groupBy("host").agg(F.max_by("up", F.length("up")).alias("up"))
     return ties.select(F.col("host").alias("src"), F.col("up").alias("dst"), F.lit(1.0).alias("weight")).union(ties.select(F.col("up").alias("src"), F.col("host").alias("dst"), F.lit(1.0).alias("weight")))
 
 
-def personalised_rank(edges: DataFrame, seeds: DataFrame, folder: str, name: str) -> DataFrame:
-    """Rank (host, rank) of random walks over (src, dst, share) that start from, and
-    return to, the seeds (host, start); walks end at hosts without links.
+def personalised_rank(edges: DataFrame, seeds: DataFrame, folder: str) -> DataFrame:
+    """Rank (walk, host, rank) of random walks over (walk, src, dst, share) that start from,
+    and return to, the seeds (walk, host, start); walks end at hosts without links.
 
-    The state is one row a host, written after every round."""
+    The state is one row a walk and host, written after every STEPS rounds. Ranks only
+    grow from round to round, so what they grow by in sum says whether they settle."""
     spark = edges.sparkSession
-    rank, last = seeds.select("host", F.col("start").alias("rank")), None
-    for k in range(ROUNDS):
-        sent = edges.join(rank, edges.src == rank.host).groupBy(edges.dst.alias("host")).agg((F.sum(F.col("rank") * F.col("share")) * DAMPING).alias("r"))
-        begun = seeds.select("host", (F.col("start") * (1 - DAMPING)).alias("r"))
-        rank = store(sent.union(begun).groupBy("host").agg(F.sum("r").alias("rank")), folder, f"{name}-{k}")
-        if last:
-            remove(spark, last)
-        last = f"{folder}/{name}-{k}"
+    begun = store(seeds.select("walk", "host", (F.col("start") * (1 - DAMPING)).alias("rank")), folder, "rank-0")
+    rank, before = begun, 0.0
+    for k in range(STEPS, ROUNDS + STEPS, STEPS):
+        for _ in range(STEPS):
+            at = rank.select("walk", F.col("host").alias("src"), "rank")
+            sent = edges.join(at, ["walk", "src"]).select("walk", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * DAMPING).alias("rank"))
+            rank = sent.union(begun).groupBy("walk", "host").agg(F.sum("rank").alias("rank"))
+        rank = store(rank, folder, f"rank-{k}")
+        if k > STEPS:
+            remove(spark, f"{folder}/rank-{k - STEPS}")
+        mass = rank.agg(F.sum("rank")).first()[0] or 0.0
+        if mass - before <= SETTLED:
+            break
+        before = mass
     return rank
 
 
@@ -98,26 +122,26 @@ def url_verdicts(pages: DataFrame, rules=RULES, edges: DataFrame | None = None)
     judged = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     judged = store(judged.withColumns({"rule": rule, "said": verdict}), folder, "judged")
     hosts = store(judged.where("host <> ''").groupBy("host").agg(F.count_if(F.col("said") == "allow").alias("good"), F.count_if(F.col("said") == "block").alias("bad"), F.count("*").alias("n")), folder, "hosts")
-    links = edges if edges is not None else host_edges(pages).union(site_edges(hosts))
+    links = edges if edges is not None else host_edges(pages).union(site_edges(hosts.select("host")))
     links = store(links.groupBy("src", "dst").agg(F.sum("weight").alias("weight")), folder, "links")
 
-    def seeds(column):
-        # A rule on some paths says little about a host: its rules decide most of its pages.
-        chosen = hosts.where(2 * F.col(column) > F.col("n"))
-        return chosen.select("host", (F.lit(1.0) / F.lit(max(1, chosen.count()))).alias("start"))
-
-    def shared(table, name):
-        sums = table.groupBy("src").agg(F.sum("weight").alias("all"))
-        sums = store(sums, folder, f"{name}-sums")
-        return store(table.join(sums, "src").select("src", "dst", (F.col("weight") / F.col("all")).alias("share")), folder, name)
-
-    back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    trust = personalised_rank(shared(links, "forward"), seeds("good"), folder, "trust")
-    distrust = personalised_rank(shared(back, "backward"), seeds("bad"), folder, "distrust")
-    scores = trust.select("host", F.col("rank").alias("trust")).join(distrust.select("host", F.col("rank").alias("distrust")), "host", "full")
-    scores = store(scores.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")), folder, "scores")
-    rows = judged.join(scores, "host", "left").na.fill(0.0, ["trust", "distrust"])
-    own = F.when((F.col("distrust") > 0) & (F.col("distrust") > BLOCK_RATIO * F.col("trust")), "block").otherwise("allow")
+    # Trust walks along links, distrust against them; both over ties.
+    back = links.select(F.lit("bad").alias("walk"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    both = links.select(F.lit("good").alias("walk"), "src", "dst", "weight").union(back)
+    sums = both.groupBy("walk", "src").agg(F.sum("weight").alias("all"))
+    shares = store(both.join(sums, ["walk", "src"]).select("walk", "src", "dst", (F.col("weight") / F.col("all")).alias("share")), folder, "shares")
+    ruled = hosts.agg(*[F.sum(F.col(c) / F.col("n")).alias(c) for c in ("good", "bad")]).first()
+    starts = [hosts.where(F.col(c) > 0).select(F.lit(c).alias("walk"), "host", (F.col(c) / F.col("n") / (ruled[c] or 1.0)).alias("start"), (2 * F.col(c) > F.col("n")).alias("most")) for c in ("good", "bad")]
+    seeds = store(starts[0].union(starts[1]), folder, "seeds")
+    ranks = personalised_rank(shares, seeds, folder)
+    # A rule on some paths says little about the host's other pages: its own start counts
+    # for them only if rules decide most of its pages; what arrives over links and ties always does.
+    counted = F.col("rank") - F.when(F.coalesce("most", F.lit(True)), 0.0).otherwise(F.col("start") * (1 - DAMPING))
+    told = ranks.join(seeds, ["walk", "host"], "left").withColumn("counted", counted)
+    of = lambda walk, column: F.sum(F.when(F.col("walk") == walk, F.col(column)).otherwise(0.0))
+    scores = store(told.groupBy("host").agg(of("good", "rank").alias("trust"), of("bad", "rank").alias("distrust"), of("good", "counted").alias("pro"), of("bad", "counted").alias("con")), folder, "scores")
+    rows = judged.join(scores, "host", "left").na.fill(0.0, ["trust", "distrust", "pro", "con"])
+    own = F.when((F.col("con") > 0) & (F.col("con") > BLOCK_RATIO * F.col("pro")), "block").otherwise("allow")
     return rows.select("page_id", "host", "path", "rule", F.coalesce("said", own).alias("verdict"), "trust", "distrust")
 
 

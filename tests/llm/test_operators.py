@@ -292,6 +292,20 @@ def test_url_verdicts(spark):
     assert got[8] == ("spam.org", "/x", None, "block") and got[9][2] is None
 
 
+def test_url_verdicts_reach_siblings(spark):
+    """A host of which rules block a minority of the pages speaks about its site, which has no pages itself."""
+    urls = ["http://a.site.net/es/1", "http://a.site.net/de/1", "http://a.site.net/de/2", "http://www.b.site.net/x", "http://c.other.net/x", "http://d.other.net/x", "http://alone.single.net/es/1", "http://alone.single.net/x", "http://a.co.uk/", "http://b.co.uk/", "http://10.0.0.1/", "http://11.0.0.1/"]
+    rules = (*url_filter.RULES, ("block", "a.co.uk", "/"), ("block", "10.0.0.1", "/"))
+    pages = spark.createDataFrame([(k, u, None) for k, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_filter.url_verdicts(pages, rules).collect()}
+    assert [got[k].verdict for k in range(len(urls))] == ["block", "block", "block", "block", "allow", "allow", "block", "allow", "block", "allow", "block", "allow"]
+    # Settled: the ranks solve the walk's equation, with the site between its two hosts.
+    start = (1 / 3) / (1 / 3 + 1 / 2 + 1 + 1) * (1 - url_filter.DAMPING)
+    half = url_filter.DAMPING**2 / 2
+    a = start * (1 - half) / (1 - 2 * half)
+    assert abs(got[0].distrust - a) < 1e-5 and abs(got[3].distrust - (a - start)) < 1e-5
+
+
 def test_language_scores(docs, texts):
     counts = collections.Counter()
     words = {i: (t or "").encode().lower().split() + [None] for i, t in texts.items()}
