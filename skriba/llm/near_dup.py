@@ -3,24 +3,30 @@
 A document's set is its distinct word shingles. Documents with equal sets are one
 class, and only a class's smallest document takes part. Its minwise tokens (the
 least value of the set under each of COORDINATES hash functions) are the material of
-the paths: every node of a tree chooses a few coordinates by hashing its own path, and
-a document goes on to one child per chosen coordinate, named by its token there. Similar
-sets agree in most tokens, so they meet in some child of most nodes; independent trees
-raise the recall.
+the paths. The roots of the TREES choose BRANCHES coordinates each, no two the same one,
+and a document goes on to one child per chosen coordinate, named by its token there;
+a node further down chooses coordinates by hashing its own path, and names its
+children by the tokens' bytes in the sketch. Similar sets agree in most tokens, so they
+meet in some child of most nodes; every coordinate is a hash function of its own, so trees
+miss a pair independently.
 
 A node with few documents is compared exhaustively by sketches (one byte of every
-token); documents whose sketches agree enough are compared on full sets. A larger node
-compares every document with a pivot, and then branches. First each document is
-compared with its smallest similar one of a node, then with all others that this has not
-connected it with: links found so far give every document a component, a node whose
+token); documents whose sketches agree enough are compared on their texts' full sets. A
+larger node compares every document with a pivot, and then branches. First each document
+is compared with its smallest similar one of a node, then with all others that this has
+not connected it with: links found so far give every document a component, a node whose
 documents are all of one component is done, and pairs inside a component are never
 made. So a large group of near copies costs its own size at every level, not its
-square, and nothing is capped: a node that has used all its coordinates is compared
-in blocks.
+square, and nothing is capped: a node that has used all its levels is compared
+in blocks, by sketches first like any other.
+
+What travels is a sketch for each document and eight bytes for each node it is in; texts
+travel only for documents with a similar sketch. Tables of a level are deleted when the
+next one stands on its own.
 
 Every pair of sets that reach the similarity meets in the first level of the trees
 with a chance of 1 - (1 - J)^(TREES * BRANCHES), 1 - 3e-6 at 0.8; its sketches
-then agree enough (four standard deviations of slack) with one of 1 - 3e-5.
+then agree enough (six standard deviations of slack) with one of 1 - 1e-8.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skriba.llm.hashing import grams, mix, word_hashes
-from skriba.llm.shared import batch_rows, components, driver_rows, id_filter, lean, probable, remove, slot_of, store, work_dir
+from skriba.llm.shared import batch_rows, components, driver_rows, drop_listed, lean, likely, remove, store, work_dir
 
 U = np.uint64
 COORDINATES, TREES, BRANCHES, LEVELS = 128, 4, 2, 12
@@ -40,11 +46,15 @@ SMALL_NODE = 128
 PAIRS_PER_DOC = 1_000
 #: A large node is dense if it has this share of its parent's documents; documents of a part of it.
 DENSE, DENSE_PART = 0.5, 512
-#: Rows with texts or full sets that a Python worker gets at once.
+#: Documents that are held against one in a task.
+STAR_PART = 512
+#: Rows with texts that a Python worker gets at once.
 WIDE_ROWS = 1_000
 _random = np.random.Generator(np.random.PCG64(4111))
 FACTORS = _random.integers(1, 1 << 32, COORDINATES, dtype=np.uint32) | np.uint32(1)
 SHIFTS = _random.integers(0, 1 << 32, COORDINATES, dtype=np.uint32)
+#: The coordinates that the trees' roots choose.
+CHOSEN = np.random.Generator(np.random.PCG64(97)).permutation(COORDINATES)[: TREES * BRANCHES]
 
 
 def shingle_set(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -65,8 +75,14 @@ def minwise(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketch_of(tokens: np.ndarray) -> np.ndarray:
+    """One byte of each minwise token; the highest of a minimum is mostly zero, so mix first."""
+    return ((tokens * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
+
+
 def features(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, size of the set, its 128-bit digest (two longs) and its minwise tokens."""
+    """doc_id, size of the set, its 128-bit digest (two longs), a hash of the text, the
+    sketch and the tokens that the trees' roots choose."""
 
     def scan(batches):
         import hashlib
@@ -74,81 +90,58 @@ def features(docs: DataFrame, n: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            ids = batch.column(0).to_pylist()
             out = [[], [], [], [], []]
-            for first, last, hashes, at in word_hashes(batch.column(1).to_pylist(), True):
+            for first, last, hashes, at in word_hashes(batch.column(2).to_pylist(), True):
                 for k in range(first, last):
                     s = shingle_set(hashes[at[k - first] : at[k - first + 1]], n)
                     digest = hashlib.md5(s.tobytes()).digest()
-                    row = (ids[k], len(s), int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), minwise(s).tobytes() if len(s) else None)
+                    tokens = minwise(s) if len(s) else None
+                    row = (len(s), int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True))
+                    row += (sketch_of(tokens).tobytes(), tokens[CHOSEN].tobytes()) if len(s) else (None, None)
                     for column, value in zip(out, row):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()])], ["doc_id", "n", "d1", "d2", "tokens"])
+            made = [pa.array(c, t) for c, t in zip(out, [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made[:3], batch.column(1), *made[3:]], ["doc_id", "n", "d1", "d2", "t", "sketch", "chosen"])
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(lean(scan), "doc_id long, n long, d1 long, d2 long, tokens binary")
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("t"), "text")
+    return rows.mapInArrow(lean(scan), "doc_id long, n long, d1 long, d2 long, t long, sketch binary, chosen binary")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """Sorted shingle hashes (8 bytes each) of the listed (doc_id, d1, d2) documents; a row
-    that repeats a doc_id with another set is not the listed one.
+def text_hash():
+    return F.xxhash64("text")
 
-    Sets are made of what the id filter lets pass, before the join that makes it exact:
-    one Python worker a task."""
-    bits = docs.sparkSession.sparkContext.broadcast(id_filter(ids, "doc_id"))
 
-    def scan(batches):
-        import hashlib
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc and text of the listed (doc_id, t) documents; a row that repeats a doc_id with
+    another text is not the listed one. The id filter runs before the join's exchange."""
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("t"), "text")
+    found = rows.where(likely(rows, ids, "doc_id")).join(ids, ["doc_id", "t"])
+    return found.groupBy(F.col("doc_id").alias("doc")).agg(F.first("text").alias("text"))
 
-        import pyarrow as pa
 
-        for batch in batches:
-            batch = batch.filter(pa.array(probable(batch.column(2).to_numpy(zero_copy_only=False), bits.value)))
-            ones, twos, out = [], [], []
-            for first, last, hashes, at in word_hashes(batch.column(1).to_pylist(), True):
-                for k in range(last - first):
-                    raw = shingle_set(hashes[at[k] : at[k + 1]], n).tobytes()
-                    digest = hashlib.md5(raw).digest()
-                    ones.append(int.from_bytes(digest[:8], "big", signed=True))
-                    twos.append(int.from_bytes(digest[8:], "big", signed=True))
-                    out.append(raw)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "d1", "d2", "items"])
-
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", slot_of("doc_id").alias("slot"))
-    made = rows.mapInArrow(lean(scan), "doc_id long, d1 long, d2 long, items binary")
-    return made.join(ids, ["doc_id", "d1", "d2"]).select("doc_id", "items")
-
-
-def child_rows(path: int, level: int, tokens: np.ndarray) -> list[int]:
-    """Names of the children that a document with these tokens goes to from a node."""
-    out = []
+def children(paths: np.ndarray, level: int, sketches: np.ndarray) -> np.ndarray:
+    """Names of the children that documents with these sketches go to from these nodes."""
+    out = np.empty((len(paths), BRANCHES), U)
     for b in range(BRANCHES):
-        seed = (path * 0x9E3779B97F4A7C15 + level * 0xD6E8FEB86659FD93 + b * 0xA0761D6478BD642F) & 0xFFFFFFFFFFFFFFFF
-        seed ^= seed >> 29
-        coordinate = (seed * 0xBF58476D1CE4E5B9 >> 40) % COORDINATES
-        name = (seed * 0x94D049BB133111EB + int(tokens[coordinate]) * 0x2545F4914F6CDD1D) & 0xFFFFFFFFFFFFFFFF
-        name ^= name >> 31
-        name = name * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
-        name ^= name >> 29
-        out.append(name - (1 << 64) if name >> 63 else name)
+        seed = mix(paths + U(level) * U(0xD6E8FEB86659FD93) + U(b + 1) * U(0xA0761D6478BD642F))
+        token = sketches[np.arange(len(paths)), (seed >> U(40)).astype(np.int64) % COORDINATES]
+        out[:, b] = mix(seed ^ (token.astype(U) + U(1)) * U(0x2545F4914F6CDD1D))
     return out
 
 
 def roots(reps: DataFrame) -> DataFrame:
-    """First level: (node, doc) of every tree's children."""
+    """First level: (node, doc, up) of every tree's children."""
 
     def scan(batches):
         import pyarrow as pa
 
-        # One choice of TREES * BRANCHES different coordinates for all documents.
-        chosen = np.random.Generator(np.random.PCG64(97)).permutation(COORDINATES)[: TREES * BRANCHES]
         for batch in batches:
-            tokens = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, COORDINATES)
-            names = mix(tokens[:, chosen].astype(U) + (np.arange(1, len(chosen) + 1).astype(U) << U(32))[None, :]).view(np.int64)
+            tokens = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, len(CHOSEN))
+            names = mix(tokens.astype(U) + (np.arange(1, len(CHOSEN) + 1).astype(U) << U(32))[None, :]).view(np.int64)
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(names.ravel()), pa.array(np.repeat(ids, len(chosen)))], ["node", "doc"])
+            yield pa.RecordBatch.from_arrays([pa.array(names.ravel()), pa.array(np.repeat(ids, len(CHOSEN)))], ["node", "doc"])
 
-    rows = reps.select("doc_id", "tokens").mapInArrow(lean(scan), "node long, doc long")
-    return rows.withColumn("up", F.lit(1 << 60))
+    return reps.select("doc", "chosen").mapInArrow(lean(scan), "node long, doc long").withColumn("up", F.lit(1 << 60))
 
 
 def branch(nodes: DataFrame, reps: DataFrame, level: int) -> DataFrame:
@@ -158,41 +151,39 @@ def branch(nodes: DataFrame, reps: DataFrame, level: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            out: list = [[], [], []]
-            for node, doc, size, raw in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                for name in child_rows(node, level, np.frombuffer(raw, np.uint32)):
-                    out[0].append(name)
-                    out[1].append(doc)
-                    out[2].append(size)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["node", "doc", "up"])
+            if batch.num_rows:
+                node, doc, size = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+                sketches = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, COORDINATES)
+                names = children(node.view(U), level, sketches).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(names.ravel()), pa.array(np.repeat(doc, BRANCHES)), pa.array(np.repeat(size, BRANCHES))], ["node", "doc", "up"])
 
-    with_tokens = nodes.join(reps.select(F.col("doc_id").alias("doc"), "tokens"), "doc").select("node", "doc", "size", "tokens")
-    return with_tokens.mapInArrow(lean(scan), "node long, doc long, up long").distinct()
+    with_sketch = nodes.join(reps.select("doc", "sketch"), "doc").select("node", "doc", "size", "sketch")
+    return with_sketch.mapInArrow(lean(scan), "node long, doc long, up long").distinct()
 
 
-def compare_blocks(blocks: DataFrame, percent: int, crossing: bool) -> DataFrame:
-    """What sketches say about the documents of a block, from rows (block, doc, n, sketch,
-    label); blocks are bounded, and read one at a time from rows sorted by block.
+def compare_blocks(blocks: DataFrame, reps: DataFrame, percent: int, crossing: bool) -> DataFrame:
+    """What sketches say about the documents of a block, from rows (block, doc, label);
+    blocks are bounded, and read one at a time from rows sorted by block.
 
     Not `crossing`: (a, b), each document's pair with its smallest similar one. `crossing`:
     (block, doc, label) of the documents that are similar to one of another label."""
-    needed = percent / 100 - 4 * (percent / 100 * (1 - percent / 100) / COORDINATES) ** 0.5
+    needed = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / COORDINATES) ** 0.5
 
-    def alike(docs, sizes, sketches, labels):
+    def alike(sizes, sketches, labels):
         # Two unequal tokens share their byte once in 256.
-        for i in range(len(docs)):
+        for i in range(len(sizes)):
             agree = ((sketches == sketches[i]).mean(axis=1) * 256 - 1) / 255
             near = (agree >= needed) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])) & (labels != labels[i])
             yield np.flatnonzero(near)
 
     def judge(held):
         held.sort(key=lambda h: h[1])
-        docs, sizes, labels = (np.array([h[k] for h in held], np.int64) for k in (1, 2, 4))
-        sketches = np.frombuffer(b"".join(h[3] for h in held), np.uint8).reshape(-1, COORDINATES)
+        docs, labels, sizes = (np.array([h[k] for h in held], np.int64) for k in (1, 2, 3))
+        sketches = np.frombuffer(b"".join(h[4] for h in held), np.uint8).reshape(-1, COORDINATES)
         if crossing:
-            found = [i for i, near in enumerate(alike(docs, sizes, sketches, labels)) if len(near)]
+            found = [i for i, near in enumerate(alike(sizes, sketches, labels)) if len(near)]
             return [held[0][0]] * len(found), docs[found].tolist(), labels[found].tolist()
-        pairs = {(min(i, near[0]), max(i, near[0])) for i, near in enumerate(alike(docs, sizes, sketches, labels)) if len(near)}
+        pairs = {(min(i, near[0]), max(i, near[0])) for i, near in enumerate(alike(sizes, sketches, labels)) if len(near)}
         return [int(docs[i]) for i, _ in pairs], [int(docs[j]) for _, j in pairs]
 
     names = ["block", "doc", "label"] if crossing else ["a", "b"]
@@ -214,45 +205,45 @@ def compare_blocks(blocks: DataFrame, percent: int, crossing: bool) -> DataFrame
         if len(held) > 1:
             yield told(judge(held))
 
-    rows = blocks.select("block", "doc", "n", "sketch", "label").repartition("block").sortWithinPartitions("block")
-    found = rows.mapInArrow(lean(scan), ", ".join(f"{n} long" for n in names))
+    rows = blocks.join(reps.select("doc", "n", "sketch"), "doc").select("block", "doc", "label", "n", "sketch")
+    found = rows.repartition("block").sortWithinPartitions("block").mapInArrow(lean(scan), ", ".join(f"{n} long" for n in names))
     return found if crossing else found.distinct()
 
 
-def sketches_of(reps: DataFrame) -> DataFrame:
-    """One byte of each minwise token, in which sets are compared first."""
-
-    def scan(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            tokens = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, COORDINATES)
-            # The highest byte of a minimum is mostly zero; mix before taking one.
-            low = ((tokens * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in low], pa.binary())], ["doc", "n", "sketch"])
+def sets_of(texts, n: int):
+    """The sets of many texts, one after the other."""
+    for first, last, hashes, at in word_hashes(texts, True):
+        for k in range(last - first):
+            yield shingle_set(hashes[at[k] : at[k + 1]], n)
 
-    return reps.select("doc_id", "n", "tokens").mapInArrow(lean(scan), "doc long, n long, sketch binary")
 
-
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets reach the similarity."""
+def confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full sets reach the similarity. Every `a` meets its partners, at
+    most about STAR_PART of them, in one task: its set is held, theirs pass by."""
 
     def scan(batches):
         import pyarrow as pa
 
+        at = centre = None
         for batch in batches:
             out: list = [[], []]
-            for a, b, x, y in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * common >= percent * (len(x) + len(y) - common):
-                    out[0].append(a)
-                    out[1].append(b)
+            block, role, doc = (batch.column(k).to_pylist() for k in range(3))
+            for k, s in enumerate(sets_of(batch.column(3).to_pylist(), n)):
+                if not role[k]:
+                    at, centre = doc[k], s
+                else:
+                    common = len(np.intersect1d(centre, s, assume_unique=True))
+                    if 100 * common >= percent * (len(centre) + len(s) - common):
+                        out[0].append(at)
+                        out[1].append(doc[k])
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b"])
 
-    left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(lean(scan), "a long, b long")
+    parts = F.ceil(F.col("k") / F.lit(STAR_PART)).cast("int")
+    sized = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("k")), "a")
+    dealt = sized.select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), parts)).alias("block"))
+    rows = dealt.select("block", F.lit(1).alias("role"), F.col("b").alias("doc")).union(dealt.select("block", F.lit(0).alias("role"), F.col("a").alias("doc")).distinct())
+    held = rows.join(texts, "doc").select("block", "role", "doc", "text")
+    return held.repartition("block").sortWithinPartitions("block", "role").mapInArrow(lean(scan), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -261,36 +252,43 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     links of its class in the spanning set that the components come from).
 
     Words are folded A-Z only. Texts that are null or without words have an empty set
-    and link with nothing; texts with fewer words than a shingle are one shingle. Rows
-    that repeat a doc_id are one document (the one whose set is largest, then of the
-    greatest digest); rows without a doc_id are left out. Extra columns are ignored, an
+    and link with nothing; texts with fewer words than a shingle are one shingle; very long
+    texts are taken whole. Rows that repeat a doc_id are one document (the one whose set is
+    largest, then of the greatest digest); rows without a doc_id are left out. Of equal sets
+    the smallest doc_id stands for all. Extra columns are ignored, whatever their names; an
     empty table gives an empty result."""
     with batch_rows(docs.sparkSession, WIDE_ROWS):
-        return _near_duplicates(docs, shingle_words, percent)
+        return _near_duplicates(docs.select("doc_id", "text"), shingle_words, percent)[0]
 
 
-def _near_duplicates(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+def _near_duplicates(docs: DataFrame, shingle_words: int, percent: int) -> tuple[DataFrame, str]:
+    """The result, stored by itself, and its folder."""
     spark = docs.sparkSession
-    folder = work_dir(spark, "near")
+    folder, kept = work_dir(spark, "near"), work_dir(spark, "near-result")
     table = store(features(docs, shingle_words), folder, "features")
-    members = table.groupBy("doc_id").agg(F.max(F.struct("n", "d1", "d2")).alias("s")).select("doc_id", "s.*")
+    members = table.groupBy("doc_id").agg(F.max(F.struct("n", "d1", "d2", "t")).alias("s")).select("doc_id", "s.*")
     classes = store(members.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id")), folder, "classes")
     members = store(members, folder, "members")
     heads = classes.select(F.col("class_id").alias("doc_id"), "n", "d1", "d2")
-    reps = store(heads.join(table, ["doc_id", "n", "d1", "d2"]).select("doc_id", "n", "tokens").dropDuplicates(["doc_id"]), folder, "reps")
-    sketches = store(sketches_of(reps), folder, "sketches")
+    reps = table.join(heads, ["doc_id", "n", "d1", "d2"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("doc"), "n", "sketch", "chosen")
+    reps = store(reps, folder, "reps")
+    remove(spark, f"{folder}/features")
     links = driver_rows(spark, [], "a long, b long")
-    labels = driver_rows(spark, [], "doc long, label long")
-    sets = have = None
+    labels = texts = have = None
+    spent: list[str] = []
+
+    def kept_for_now(df, name):
+        spent.append(f"{folder}/{name}")
+        return store(df, folder, name)
 
     def need(ids, name):
-        # Full sets of these documents, as far as they are not there yet.
-        nonlocal sets, have
+        # Texts of these documents, as far as they are not there yet.
+        nonlocal texts, have
         ids = store(ids if have is None else ids.join(have, "doc_id", "left_anti"), folder, f"ids-{name}")
         if not ids.isEmpty():
-            listed = store(ids.join(members.select("doc_id", "d1", "d2"), "doc_id"), folder, f"listed-{name}")
-            more = store(full_sets(docs, listed, shingle_words), folder, f"sets-{name}")
-            sets = more if sets is None else sets.unionByName(more)
+            listed = kept_for_now(ids.join(members.select("doc_id", "t"), "doc_id"), f"listed-{name}")
+            more = store(texts_of(docs, listed), folder, f"texts-{name}")
+            texts = more if texts is None else texts.unionByName(more)
             have = ids if have is None else have.unionByName(ids)
 
     def connect(found, name):
@@ -298,56 +296,72 @@ def _near_duplicates(docs: DataFrame, shingle_words: int, percent: int) -> DataF
         found = store(found, folder, f"links-{name}")
         if not found.isEmpty():
             links = links.unionByName(found)
-            # What was connected before stays so as stars; only their links and the new ones count.
-            known = labels.select(F.col("doc").alias("a"), F.col("label").alias("b")).where("a <> b")
-            found = components(known.unionByName(found), folder, f"cc-{name}")
-            labels = store(found.select(F.col("node").alias("doc"), F.col("component").alias("label")), folder, f"labels-{name}")
-
-    nodes = store(roots(reps), folder, "nodes-0")
+            if labels is not None:
+                # What was connected before stays so as stars; only their links and the new ones count.
+                spent.append(labels[1])
+                found = labels[0].select(F.col("doc").alias("a"), F.col("label").alias("b")).where("a <> b").unionByName(found)
+            found = components(found, f"{folder}/cc-{name}", "cc").select(F.col("node").alias("doc"), F.col("component").alias("label"))
+            labels = store(found, folder, f"labels-{name}"), f"{folder}/labels-{name}"
+            spent.append(f"{folder}/cc-{name}")
+
+    def judge(rows, crossing, name):
+        # Sketches first; texts travel only for what they let pass.
+        near = kept_for_now(compare_blocks(rows, reps, percent, crossing), f"near-{name}")
+        if near.isEmpty():
+            return
+        need(near.select(F.explode(F.array("doc") if crossing else F.array("a", "b")).alias("doc_id")).distinct(), name)
+        connect(compare_sets(near, texts, shingle_words, percent) if crossing else confirm(near, texts, shingle_words, percent), name)
+
+    nodes = roots(reps)
     for level in range(LEVELS + 1):
         for crossing in (False, True):
-            open_ = store(_open_nodes(nodes, labels, folder, f"{level}-{crossing}"), folder, f"open-{level}-{crossing}")
-            rows = _with_few(open_) if crossing else _with_pivot(open_, level)
-            near = store(compare_blocks(rows.join(sketches, "doc"), percent, crossing), folder, f"near-{level}-{crossing}")
-            if near.isEmpty():
-                continue
-            if crossing:
-                need(near.select(F.col("doc").alias("doc_id")).distinct(), f"{level}-{crossing}")
-                connect(compare_sets(near, sets, percent), f"{level}-{crossing}")
-            else:
-                need(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{level}-{crossing}")
-                connect(confirm(near, sets, percent), f"{level}-{crossing}")
+            name = f"{level}-{'crossing' if crossing else 'pivot'}"
+            open_ = _open_nodes(nodes, labels and labels[0], kept_for_now, name)
+            judge(_with_few(open_) if crossing else _with_pivot(open_, level), crossing, name)
         large = open_.where(F.col("few") > SMALL_NODE)
         # What is left may be little enough to be compared at once: then no more levels.
         work = large.agg(F.sum(F.col("size").cast("double"))).first()[0] or 0.0
         last = level == LEVELS or work <= PAIRS_PER_DOC * reps.count()
         dense = _block_pairs(large if last else large.where("dense"))
         if work and not dense.isEmpty():
-            need(dense.select(F.col("doc").alias("doc_id")).distinct(), f"{level}-dense")
-            connect(compare_sets(dense, sets, percent), f"{level}-dense")
+            judge(dense, True, f"{level}-dense")
         large = large.where("NOT dense")
-        if last or large.isEmpty():
+        done = last or large.isEmpty()
+        if not done:
+            nodes = store(branch(large.select("node", "doc", "size"), reps, level + 1), folder, f"nodes-{level + 1}")
+            spent.append(f"{folder}/nodes-{level}")
+        open_ = large = dense = None
+        remove(spark, *spent)
+        spent.clear()
+        if done:
             break
-        remove(spark, f"{folder}/nodes-{level}")
-        nodes = store(branch(large.select("node", "doc", "size"), reps, level + 1), folder, f"nodes-{level + 1}")
-    degree = links.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("n_links"))
-    told = store(classes.join(labels.withColumnRenamed("doc", "class_id"), "class_id", "left").join(degree.withColumnRenamed("doc", "class_id"), "class_id", "left"), folder, "told")
+    degree = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
+    told = classes.join(degree, "class_id", "left")
+    told = told.join(labels[0].withColumnRenamed("doc", "class_id"), "class_id", "left") if labels else told.withColumn("label", F.lit(None).cast("long"))
     joined = members.join(told.select("n", "d1", "d2", "class_id", "label", "n_links"), ["n", "d1", "d2"], "left")
     class_id = F.coalesce("class_id", "doc_id")
     component = F.coalesce("label", class_id)
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"), class_id.alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    result = joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"), class_id.alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    result = store(result, kept, "result")
+    remove(spark, folder)
+    return result, kept
 
 
-def _open_nodes(nodes: DataFrame, labels: DataFrame, folder: str, name: str) -> DataFrame:
+def _open_nodes(nodes: DataFrame, labels: DataFrame | None, kept_for_now, name: str) -> DataFrame:
     """Rows of nodes whose documents are not all of one component: node, doc, label, size,
-    pivot (the node's smallest document), main (the component of most documents) and
-    few (how many are not of it)."""
-    labelled = store(nodes.join(labels, "doc", "left").select("node", "doc", "up", F.coalesce("label", "doc").alias("label")), folder, f"labelled-{name}")
-    by_label = labelled.groupBy("node", "label").agg(F.count("*").alias("n"), F.min("doc").alias("least"), F.max("up").alias("up"))
-    stats = by_label.groupBy("node").agg(F.sum("n").alias("size"), F.min("least").alias("pivot"), F.max(F.struct("n", "label")).alias("m"), F.max("up").alias("up"))
-    dense = F.col("size") >= DENSE * F.col("up")
-    stats = stats.select("node", "size", "pivot", F.col("m.label").alias("main"), (F.col("size") - F.col("m.n")).alias("few"), dense.alias("dense")).where("few > 0")
-    return labelled.drop("up").join(store(stats, folder, f"stats-{name}"), "node")
+    pivot (the node's smallest document), main (the component of most documents), few (how
+    many are not of it) and dense. Only rows whose node probably is such a one are shuffled."""
+    if labels is None:
+        labelled = nodes.withColumn("label", F.col("doc"))
+        stats = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("doc").alias("pivot"), F.max("up").alias("up")).where("size > 1")
+        stats = stats.select("node", "size", "pivot", F.col("pivot").alias("main"), (F.col("size") - 1).alias("few"), "up")
+    else:
+        labelled = nodes.join(labels, "doc", "left").select("node", "doc", "up", F.coalesce("label", "doc").alias("label"))
+        by_label = labelled.groupBy("node", "label").agg(F.count("*").alias("n"), F.min("doc").alias("least"), F.max("up").alias("up"))
+        stats = by_label.groupBy("node").agg(F.sum("n").alias("size"), F.min("least").alias("pivot"), F.max(F.struct("n", "label")).alias("m"), F.max("up").alias("up"))
+        stats = stats.select("node", "size", "pivot", F.col("m.label").alias("main"), (F.col("size") - F.col("m.n")).alias("few"), "up").where("few > 0")
+    stats = kept_for_now(stats.select("node", "size", "pivot", "main", "few", (F.col("size") >= DENSE * F.col("up")).alias("dense")), f"stats-{name}")
+    return kept_for_now(labelled.drop("up").where(likely(labelled, stats, "node")).join(stats, "node"), f"open-{name}")
 
 
 def _parts():
@@ -406,7 +420,7 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def compare_sets(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def compare_sets(blocks: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (a < b) between documents of a block by their full sets: of each block those
     that join documents which neither earlier components nor its other links join."""
 
@@ -437,31 +451,35 @@ def compare_sets(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
         held: list = []
 
-        def flush():
-            return forest(np.array([h[1] for h in held], np.int64), np.array([h[2] for h in held], np.int64), [np.frombuffer(h[3], U) for h in held])
-
-        def told(rows):
+        def told():
+            rows = forest(np.array([h[1] for h in held], np.int64), np.array([h[2] for h in held], np.int64), [h[3] for h in held])
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for *row, s in zip(*(batch.column(k).to_pylist() for k in range(3)), sets_of(batch.column(3).to_pylist(), n)):
                 if held and held[0][0] != row[0]:
-                    yield told(flush())
+                    yield told()
                     held = []
-                held.append(row)
+                held.append((*row, s))
         if held:
-            yield told(flush())
+            yield told()
 
-    rows = blocks.join(sets.withColumnRenamed("doc_id", "doc"), "doc").select("block", "doc", "label", "items")
+    rows = blocks.join(texts, "doc").select("block", "doc", "label", "text")
     return rows.repartition("block").sortWithinPartitions("block").mapInArrow(lean(scan), "a long, b long").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of `docs` without those whose doc_id is not the smallest of its component;
-    rows without a doc_id are kept."""
-    spare = near_duplicates(docs, shingle_words, percent).where("NOT kept").select("doc_id")
-    spare = store(spare, work_dir(docs.sparkSession, "near"), "spare")
-    return docs.join(spare, "doc_id", "left_anti").select(*docs.columns)
+    """Rows of `docs` without those whose doc_id is not the smallest of its component, with
+    all columns as they are; rows without a doc_id are kept, rows that repeat one are
+    judged as one document, texts that are null or empty are no near copies. An empty table
+    gives an empty result; very long texts are taken whole."""
+    spark = docs.sparkSession
+    folder = work_dir(spark, "near-spare")
+    with batch_rows(spark, WIDE_ROWS):
+        judged, done = _near_duplicates(docs.select("doc_id", "text"), shingle_words, percent)
+    spare = store(judged.where("NOT kept").select("doc_id"), folder, "spare")
+    remove(spark, done)
+    return drop_listed(docs, spare, "doc_id", folder)
 
 
 __all__ = ["drop_near_duplicates", "near_duplicates", "shingle_set"]

@@ -3,22 +3,27 @@
 from __future__ import annotations
 
 import contextlib
+import gc
+import re
 import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import ArrowUDFType
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared folder of spark.checkpoint.dir.
 
-    Only where that setting is missing (single-machine tests) a temporary folder
-    of the driver is used, and made the checkpoint folder."""
+    Only where that setting is missing on a single machine (tests) a temporary folder of
+    the driver is used, and made the checkpoint folder; on a cluster that is an error."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: no folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="skriba-")
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -92,10 +97,14 @@ def lean(scan):
     return run
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared store through Hadoop's file system."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete folders of the shared store through Hadoop's file system, and have the driver
+    collect its garbage: Spark's cleaner deletes the shuffle files of plans that are gone."""
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def shards(df: DataFrame, per_shard: int, rows: int) -> int:
@@ -134,33 +143,46 @@ def slot_of(column: str):
     return F.pmod(F.xxhash64(F.col(column)), F.lit(FILTER_BITS))
 
 
+def likely(table: DataFrame, ids: DataFrame, column: str):
+    """A condition on rows of `table`: `column` is probably in `ids`. Only the slots of the
+    filter go to the Python workers, and only a mark for each comes back."""
+    bits = table.sparkSession.sparkContext.broadcast(id_filter(ids, column))
+
+    def marked(slots):
+        import pyarrow as pa
+
+        return pa.array(probable(slots.to_numpy(zero_copy_only=False), bits.value))
+
+    return F.arrow_udf(marked, "boolean", ArrowUDFType.SCALAR)(slot_of(column))
+
+
 def keep_listed(table: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """Rows of `table` whose `column` is in `ids` (distinct, already stored).
 
     The filter runs before the exchange, so only rows that probably match are
     shuffled; the join makes it exact."""
-    spark = table.sparkSession
-    bits = spark.sparkContext.broadcast(id_filter(ids, column))
-    keyed = table.where(F.col(column).isNotNull()).withColumn("_slot", slot_of(column))
+    return table.where(F.col(column).isNotNull()).where(likely(table, ids, column)).join(ids, column)
 
-    def keep(batches):
-        import pyarrow as pa
 
-        have = bits.value
-        for batch in batches:
-            kept = batch.filter(pa.array(probable(batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False), have)))
-            if kept.num_rows:
-                yield kept
+def drop_listed(table: DataFrame, ids: DataFrame, column: str, folder: str) -> DataFrame:
+    """Rows of `table` whose `column` is null or not in `ids` (distinct, already stored).
 
-    return keyed.mapInArrow(lean(keep), keyed.schema).drop("_slot").join(ids, column)
+    Rows that the filter passes by are kept without an exchange. Of the others only the
+    values of `column` are looked up, once each; those not in `ids` are few while the
+    filter is not full, so rows of `table` are not shuffled then either."""
+    mark = likely(table, ids, column)
+    unsure = table.where(F.col(column).isNotNull()).where(mark).select(column).distinct()
+    spared = store(unsure.join(ids, column, "left_anti"), folder, "spared")
+    sure = table.where(F.col(column).isNull() | ~mark)
+    return sure.unionByName(table.where(F.col(column).isNotNull()).where(mark).join(spared, column, "left_semi").select(*table.columns))
 
 
-#: Links that one task joins by itself, 3 MB of them; more are joined in rounds.
-LOCAL_LINKS = 200_000
+#: Links that a task joins at once before it passes on what is left of them.
+LOCAL_LINKS = 500_000
 
 
 def _joined(batches):
-    """Union-find over all (u, v) links of a task: (node, component)."""
+    """Union-find over runs of (u, v) links of a task: each run's forest as stars."""
     import pyarrow as pa
 
     up: dict[int, int] = {}
@@ -171,45 +193,44 @@ def _joined(batches):
             x = up[x]
         return x
 
+    def stars():
+        nodes = [x for x in up if top(x) != x]
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], ["u", "v"])
+
     for batch in batches:
         for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             a, b = sorted((top(u), top(v)))
             up[b] = a
-    nodes = list(up)
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], ["node", "component"])
+        if len(up) > LOCAL_LINKS:
+            yield stars()
+            up.clear()
+    yield stars()
 
 
 def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     """Connected components of (a, b) links: rows (node, component), component being
     the smallest node reachable; only nodes with links appear.
 
-    Few links are joined by one task. Else each round links every node's larger neighbours to its smallest one, then its
-    smaller ones likewise (large star, small star): the number of rounds grows
-    with the logarithm of the longest path, the links never grow in number."""
-    at, kept = 0, []
-    now = store(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), folder, f"{name}-0")
-    if now.count() <= LOCAL_LINKS:
-        return now.coalesce(1).mapInArrow(_joined, "node long, component long")
+    Each round joins the links that a task holds, then links every node's larger neighbours
+    to its smallest one, then its smaller ones likewise (large star, small star): the number
+    of rounds grows with the logarithm of the longest path, the links never grow in number."""
+    spark = edges.sparkSession
+    now, kept, at = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), [], 0
     while True:
+        now = store(now.mapInArrow(lean(_joined), "u long, v long"), folder, f"{name}-{at}")
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        least = store(least, folder, f"{name}-{at}-m")
         # large star: larger neighbours go to the least of the closed neighbourhood
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = store(large, folder, f"{name}-{at}-l")
+        large = store(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), folder, f"{name}-{at}-l")
         # small star: smaller neighbours and the node itself go to the least
-        low = store(large.groupBy("u").agg(F.min("v").alias("m")), folder, f"{name}-{at}-s")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        at += 1
-        small = store(small, folder, f"{name}-{at}")
-        for part in kept:
-            remove(edges.sparkSession, f"{folder}/{part}")
-        kept = [f"{name}-{at - 1}", f"{name}-{at - 1}-m", f"{name}-{at - 1}-l", f"{name}-{at - 1}-s"]
+        small = store(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct(), folder, f"{name}-{at}-s")
+        remove(spark, *kept)
+        kept = [f"{folder}/{name}-{at}", f"{folder}/{name}-{at}-l", f"{folder}/{name}-{at}-s"]
         # Done when the links are stars: one centre for each node, and no centre linked on.
-        centres = small.select(F.col("v").alias("u")).distinct()
-        if small.groupBy("u").count().where("count > 1").isEmpty() and small.join(centres, "u", "left_semi").isEmpty():
-            break
-        now = small
-    roots = small.select(F.col("v").alias("u")).distinct().select("u", F.col("u").alias("v"))
-    return small.union(roots).select(F.col("u").alias("node"), F.col("v").alias("component"))
+        ends = small.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("centre")).union(small.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("centre").alias("centre")).where("out + centre > 1").isEmpty():
+            roots = small.select(F.col("v").alias("u")).distinct().select("u", F.col("u").alias("v"))
+            return small.union(roots).select(F.col("u").alias("node"), F.col("v").alias("component"))
+        now, at = small, at + 1
