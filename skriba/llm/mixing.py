@@ -7,7 +7,17 @@ rises with the repetition (convex), so a second copy is used only where no first
 helps. The flow says how many words of each pattern go to each source at each
 repetition; documents are then taken in the order of a seeded hash until that many
 words are reached, without ever sorting a source: a histogram of hash ranges finds the
-range where the cut falls, and is refined until that range is small.
+range where the cut falls, and is refined until that range is small. The range's rows
+are gone through one by one, each taken if it still fits; what very long documents leave
+is carried on to the ranges behind.
+
+A pattern whose sources are in no other pattern needs no network: its flow is the lesser of
+the target and its words times the repeats. Only patterns that overlap are routed, each
+connected group of them in a network of its own.
+
+The plan is one row a pattern: how often all of it is taken, up to which hash it is taken
+once more, and the few hashes behind that. Whether a row is taken follows from the plan and
+the row alone, so texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -15,15 +25,15 @@ from __future__ import annotations
 import heapq
 from fractions import Fraction
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skriba.llm.shared import driver_rows, store, work_dir
+from skriba.llm.shared import driver_rows, remove, store, work_dir
 
-#: Patterns the network may have; more are refused, never dropped.
-MAX_PATTERNS = 20_000
-#: Bits of the seeded hash that one refinement fixes, and rows a cut's range may hold.
-STEP_BITS, CUT_ROWS = 12, 2_000
+#: Bits of the seeded hash, how many of them one refinement fixes, and hashes that a cut's range may hold.
+HASH_BITS, STEP_BITS, CUT_ROWS = 60, 12, 256
+#: A pattern is filled when so small a share of its last copy's words is missing, or after so many pieces.
+FILLED, PIECES = 0.001, 12
 # Weights of the sources in their order, repeating; budget; most repetitions.
 WEIGHTS, BUDGET_PERCENT, REPEATS = (3, 1, 2), 150, 2
 
@@ -107,92 +117,132 @@ def word_count(column: str):
     return F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
 
 
-def _take(rows: DataFrame, wanted: DataFrame, folder: str) -> DataFrame:
-    """For each pattern, the documents taken once more than the pattern's whole repeats.
-
-    `rows`: key, pattern, size, h (a 60-bit hash); `wanted`: pattern, words. Returns the
-    range of hashes that is taken whole (h < cut) and the keys taken inside the range
-    where the words run out, in order of (h, key), each as long as it still fits."""
-    spark = rows.sparkSession
-    # State per pattern: hash prefix of the open range, bits fixed, words still wanted.
-    state = {r.pattern: (0, 0, r.words) for r in wanted.collect()}
-    final: dict = {}
-    while state:
-        table = driver_rows(spark, [(p, lo, bits) for p, (lo, bits, _) in state.items()], "pattern int, lo long, bits int")
-        inside = rows.join(F.broadcast(table), "pattern").where("shiftright(h, 60 - bits) = lo")
-        histogram = inside.groupBy("pattern", F.expr(f"shiftright(h, 60 - bits - {STEP_BITS})").alias("cell")).agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()
-        cells: dict = {}
-        for r in histogram:
-            cells.setdefault(r.pattern, []).append((r.cell, r.words, r.n))
-        following = {}
-        for p, (_, bits, left) in state.items():
-            line = sorted(cells.get(p, []))
-            k = 0
-            while k < len(line) and line[k][1] <= left:
-                left -= line[k][1]
-                k += 1
-            shift = 60 - bits - STEP_BITS
-            if k == len(line):
-                final[p] = (1 << 60, 1 << 60, 0)
-            elif line[k][2] > CUT_ROWS and shift >= STEP_BITS:
-                following[p] = (line[k][0], bits + STEP_BITS, left)
+def routed(patterns: dict, targets: dict, repeats: int) -> dict:
+    """Words of each pattern that the targets ask for: in closed form where a pattern's
+    only source is in no other pattern, by flow in each connected group of the others."""
+    met: dict = {}
+    for p in patterns:
+        for s in p:
+            met[s] = met.get(s, 0) + 1
+    amounts = {p: 0 for p in patterns}
+    group: dict = {}
+
+    def top(x):
+        while group.setdefault(x, x) != x:
+            group[x] = group[group[x]]
+            x = group[x]
+        return x
+
+    shared = []
+    for p, words in patterns.items():
+        if len(p) == 1 and met[p[0]] == 1:
+            amounts[p] = min(targets[p[0]], words * repeats)
+        elif p:
+            shared.append(p)
+            for s in p[1:]:
+                group[top(s)] = top(p[0])
+    parts: dict = {}
+    for p in shared:
+        parts.setdefault(top(p[0]), []).append(p)
+    for own in parts.values():
+        sources = {s for p in own for s in p}
+        for (p, _), words in min_cost_flow({p: patterns[p] for p in own}, {s: targets[s] for s in sources}, repeats).items():
+            amounts[p] += words
+    return amounts
+
+
+def _ordered(sources):
+    return [(s is None, s or "") for s in sources]
+
+
+def _rows(docs: DataFrame, sources, seed: int, size) -> DataFrame:
+    """What a plan looks at of every row: row (all columns as they are), size, sources, key
+    (the sources as one text) and h, the seeded hash."""
+    rows = docs.select(F.struct("*").alias("row"), size.alias("size"), F.array_sort(F.array_distinct(sources)).alias("sources"), F.xxhash64(F.lit(seed), "doc_id", size).alias("h"))
+    return rows.withColumns({"key": F.to_json(F.struct("sources")), "h": F.shiftrightunsigned("h", 64 - HASH_BITS)})
+
+
+def _pieces(table: DataFrame, wanted: dict) -> dict:
+    """For each key of `wanted` {key: words}: (pieces, hashes). A row is taken if a piece
+    (start, stop, most) has start <= h < stop and size <= most, or if its hash is listed;
+    rows taken have about so many words.
+
+    `table`: key, h, size, one row for each row that may be taken. Every step sums a
+    histogram of the open ranges in Spark and finds the cell in which each key's words run
+    out: one row a key comes back, however many there are. In a range of few rows each hash is
+    taken if it still fits; what is left then is looked for behind it, among rows that fit."""
+    spark = table.sparkSession
+    # Open ranges: where the piece starts, the size that fits, the range's first hash, bits of a cell, words left.
+    open_ = {k: (0, 1 << 62, 0, HASH_BITS - STEP_BITS, words) for k, words in wanted.items() if words > 0}
+    pieces: dict = {k: [] for k in wanted}
+    hashes: dict = {k: [] for k in wanted}
+    while open_:
+        state = driver_rows(spark, [(k, *x) for k, x in open_.items()], "key string, start long, most long, lo long, shift int, words long")
+        inside = table.join(state, "key").where(f"h >= start AND size <= most AND shiftright(h, shift + {STEP_BITS}) = shiftright(lo, shift + {STEP_BITS})")
+        cells = inside.groupBy("key", "words", F.expr("shiftright(h, shift)").alias("cell")).agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+        running = cells.withColumn("upto", F.sum("size").over(Window.partitionBy("key").orderBy("cell"))).where("upto > words")
+        found = {r.key: r.c for r in running.groupBy("key").agg(F.min(F.struct("cell", "upto", "size", "n")).alias("c")).collect()}
+        following, small = {}, []
+        for k, (start, most, _, shift, words) in open_.items():
+            r = found.get(k)
+            if r is None:
+                pieces[k].append((start, 1 << HASH_BITS, most))
+            elif r.n > CUT_ROWS and shift:
+                following[k] = (start, most, r.cell << shift, shift - STEP_BITS, words - (r.upto - r["size"]))
             else:
-                # Smaller documents of the ranges behind may fill what a large one leaves.
-                end, room = k, CUT_ROWS - line[k][2]
-                while end + 1 < len(line) and line[end + 1][2] <= room:
-                    end += 1
-                    room -= line[end][2]
-                final[p] = (line[k][0] << shift, (line[end][0] + 1) << shift, left)
-        state = following
-    return driver_rows(spark, [(p, *x) for p, x in final.items()], "pattern int, cut long, until long, fits long")
+                small.append((k, start, most, r.cell << shift, shift, words - (r.upto - r["size"])))
+        if small:
+            ranges = driver_rows(spark, small, "key string, start long, most long, lo long, shift int, words long")
+            near = table.join(ranges, "key").where("h >= start AND size <= most AND shiftright(h, shift) = shiftright(lo, shift)")
+            by_key: dict = {}
+            for r in near.groupBy("key", "h").agg(F.sum("size").alias("size")).collect():
+                by_key.setdefault(r.key, []).append((r.h, r["size"]))
+            for k, start, most, lo, shift, left in small:
+                pieces[k].append((start, lo, most))
+                for h, size in sorted(by_key.get(k, [])):
+                    if size <= left:
+                        hashes[k].append(h)
+                        left -= size
+                if left > FILLED * wanted[k] and len(pieces[k]) < PIECES:
+                    following[k] = (lo + (1 << shift), left, 0, HASH_BITS - STEP_BITS, left)
+        open_ = following
+    return {k: (pieces[k], hashes[k]) for k in wanted}
 
 
-def mix(docs: DataFrame, sources, targets_of, seed: int = 11, repeats: int = REPEATS, size=None) -> DataFrame:
-    """Choose documents so that every source's words come near its target.
+def planned(docs: DataFrame, sources, targets_of, seed: int = 11, repeats: int = REPEATS, size=None) -> tuple[DataFrame, dict, dict]:
+    """Every row of `docs` with how often the mix takes it: row (all columns as they are),
+    size, sources, times (0 to `repeats`); and the words and the target of every source.
 
     `sources`: a column with the array of a document's sources (null members allowed).
-    `targets_of`: function from {source: words} to {source: target words}. Returns
-    key columns doc_id, size, sources, and times (0 to `repeats`): how often the
-    document is taken. Documents are taken whole; a source's words miss its target by
-    less than the documents at its cut. Rows that repeat a doc_id are documents of
-    their own if their text or sources differ, and otherwise chosen alike. An empty
-    table gives an empty result, null texts have size 0. Results depend only on the
-    rows and `seed`."""
+    `targets_of`: function from {source: words} to {source: target words}. Documents are
+    taken whole. Rows that agree in doc_id and size are taken alike. Null texts have size 0 and are
+    not taken; an empty table gives an empty result; columns may have any names. Results depend
+    only on the rows and `seed`."""
     spark = docs.sparkSession
     folder = work_dir(spark, "mix")
-    size = word_count("text") if size is None else size
-    rows = docs.select("doc_id", size.alias("size"), F.array_sort(F.array_distinct(sources)).alias("sources"))
-    rows = store(rows.withColumn("h", F.expr(f"shiftrightunsigned(xxhash64({seed}L, doc_id, size), 4)")), folder, "rows")
-    found = rows.groupBy("sources").agg(F.sum("size").alias("words")).limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    order = sorted(found, key=lambda r: [(s is None, s or "") for s in r.sources])
-    patterns = {tuple(r.sources): int(r.words) for r in order}
-    numbers = {p: k for k, p in enumerate(patterns)}
+    rows = _rows(docs, sources, seed, word_count("text") if size is None else size)
+    table = store(rows.select("key", "sources", "h", "size"), folder, "rows")
+    found = table.groupBy("key").agg(F.first("sources").alias("sources"), F.sum("size").alias("words")).collect()
+    key_of = {tuple(r.sources): r.key for r in found}
     totals: dict = {}
-    for p, words in patterns.items():
-        for s in p:
-            totals[s] = totals.get(s, 0) + words
+    for r in sorted(found, key=lambda r: _ordered(r.sources)):
+        for s in r.sources:
+            totals[s] = totals.get(s, 0) + int(r.words)
+    patterns = {tuple(r.sources): int(r.words) for r in sorted(found, key=lambda r: _ordered(r.sources)) if r.words}
     targets = targets_of(totals)
-    flow = min_cost_flow(patterns, {s: round(t) for s, t in targets.items()}, repeats)
-    amounts: dict = {p: 0 for p in patterns}
-    for (p, _), words in flow.items():
-        amounts[p] += words
-    plan = [(list(p), numbers[p], amounts[p] // patterns[p] if patterns[p] else 0, amounts[p] % patterns[p] if patterns[p] else 0) for p in patterns]
-    lookup = driver_rows(spark, plan, "sources array<string>, pattern int, whole int, words long") if plan else None
-    if lookup is None:
-        return rows.select("doc_id", "size", "sources", F.lit(0).alias("times"))
-    # Null-safe on arrays: null members compare as equal.
-    keyed = rows.join(F.broadcast(lookup.drop("words")), rows.sources.eqNullSafe(lookup.sources)).drop(lookup.sources)
-    cuts = _take(keyed, lookup.where("words > 0").select("pattern", "words"), folder)
-    marked = keyed.join(F.broadcast(cuts), "pattern", "left")
-    # Only the ranges where the words run out are ordered: CUT_ROWS rows of a pattern, or one hash.
-    edge = marked.where("h >= cut and h < until").groupBy("pattern", "fits").agg(F.sort_array(F.collect_list(F.struct("h", "doc_id", "size"))).alias("line"))
-    fits = F.expr("aggregate(line, struct(fits AS room, array() :: array<struct<h:long,doc_id:long>> AS got), (a, x) -> CASE WHEN x.size <= a.room THEN struct(a.room - x.size AS room, concat(a.got, array(struct(x.h AS h, x.doc_id AS doc_id))) AS got) ELSE a END).got")
-    chosen = store(edge.select("pattern", F.explode(fits).alias("k")).select("pattern", "k.h", "k.doc_id", F.lit(1).alias("extra")).distinct(), folder, "edge")
-    full = marked.join(F.broadcast(chosen), (marked.pattern == chosen.pattern) & (marked.h == chosen.h) & marked.doc_id.eqNullSafe(chosen.doc_id), "left")
-    once = F.when(marked.cut.isNull(), 0).when(marked.h < marked.cut, 1).otherwise(F.coalesce(chosen.extra, F.lit(0)))
-    return full.select(marked.doc_id, marked.size, marked.sources, F.least(F.lit(repeats), marked.whole + once).alias("times"))
+    amounts = routed(patterns, {s: round(t) for s, t in targets.items()}, repeats)
+    cuts = _pieces(table.where("size > 0").select("key", "h", "size"), {key_of[p]: amounts[p] % patterns[p] for p in patterns})
+    plan = [(key_of[p], amounts[p] // patterns[p], [{"start": a, "stop": b, "most": m} for a, b, m in cuts[key_of[p]][0]], cuts[key_of[p]][1]) for p in patterns]
+    remove(spark, folder)
+    lookup = driver_rows(spark, plan, "key string, whole int, pieces array<struct<start:long,stop:long,most:long>>, hashes array<long>")
+    fits = F.exists("pieces", lambda p: (F.col("h") >= p["start"]) & (F.col("h") < p["stop"]) & (F.col("size") <= p["most"])) | F.array_contains("hashes", F.col("h"))
+    times = F.when((F.col("size") > 0) & F.col("whole").isNotNull(), F.least(F.lit(repeats), F.col("whole") + F.when(fits, 1).otherwise(0))).otherwise(0)
+    return rows.join(lookup, "key", "left").select("row", "size", "sources", times.alias("times")), totals, targets
+
+
+def mix(docs: DataFrame, sources, targets_of, seed: int = 11, repeats: int = REPEATS, size=None) -> DataFrame:
+    """doc_id, size, sources and times of every row; see `planned`."""
+    return planned(docs, sources, targets_of, seed, repeats, size)[0].select("row.doc_id", "size", "sources", "times")
 
 
 def by_weight(totals: dict) -> dict:
@@ -204,25 +254,23 @@ def by_weight(totals: dict) -> dict:
 
 
 def mix_sources(docs: DataFrame, targets_of=by_weight) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, times, taken."""
-    chosen = mix(docs, F.array("source"), targets_of)
-    folder = work_dir(docs.sparkSession, "mix")
-    chosen = store(chosen, folder, "chosen")
-    totals = {r.s: r.n for r in chosen.groupBy(F.col("sources")[0].alias("s")).agg(F.sum("size").alias("n")).collect()}
-    targets = targets_of(totals)
-    told = driver_rows(docs.sparkSession, [(s, int(n), float(targets[s])) for s, n in totals.items()], "source string, source_size long, target double")
-    rows = chosen.select("doc_id", F.col("sources")[0].alias("source"), "size", "times")
-    return rows.join(F.broadcast(told), rows.source.eqNullSafe(told.source)).drop(told.source).select("doc_id", "source", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"))
-
+    """One row per row of `docs`: doc_id, source, size, source_size, target, times, taken.
 
-__all__ = ["by_weight", "min_cost_flow", "mix", "mix_sources", "mixed_documents", "quotas", "word_count"]
+    A row belongs to its own source alone. Null sources are one source; a null doc_id is
+    returned as null; null and empty texts have size 0; an empty table gives an empty result."""
+    rows, totals, targets = planned(docs, F.array("source"), targets_of)
+    told = driver_rows(docs.sparkSession, [(s, int(n), float(targets[s])) for s, n in totals.items()], "source string, source_size long, target double")
+    rows = rows.select("row.doc_id", F.col("sources")[0].alias("of"), "size", "times")
+    joined = rows.join(told, F.col("of").eqNullSafe(F.col("source")), "left")
+    return joined.select("doc_id", "source", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, targets_of=by_weight) -> DataFrame:
     """The mix itself: every row of `docs` as often as it is taken, its columns as they
-    are. Rows that repeat a doc_id are taken alike."""
-    columns = docs.columns
-    chosen = mix(docs, F.array("source"), targets_of).groupBy("doc_id").agg(F.max("times").alias("_times"))
-    taken = store(chosen.where("_times > 0").withColumnRenamed("doc_id", "_id"), work_dir(docs.sparkSession, "mix"), "taken")
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("_id")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*columns)
+    are, whatever their names. Rows that agree in doc_id and size are taken alike; rows
+    without words are not taken; an empty table gives an empty result. No row is shuffled."""
+    rows = planned(docs, F.array("source"), targets_of)[0]
+    return rows.where("times > 0").select(F.explode(F.array_repeat("row", F.col("times"))).alias("row")).select("row.*")
+
+
+__all__ = ["by_weight", "min_cost_flow", "mix", "mix_sources", "mixed_documents", "planned", "quotas", "routed", "word_count"]
