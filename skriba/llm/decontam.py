@@ -1,11 +1,15 @@
 """Benchmark decontamination as a prefix-filtered set join, in DataFrame operations only.
 
 An item's windows are the sets to be contained: 13 consecutive words, or the whole of
-a shorter item. Containment of a window asks for all of its words, so one of them is
-a sufficient prefix, and the rarest in the corpus is the one that produces the fewest
-candidates. Documents are joined with the windows on that word alone; the position of
-the word in the window then bounds where the window must begin (not before the
-document, nor with its end behind it), and the candidate is verified word by word.
+a shorter item. A window's tokens are its shingles of SHINGLE words (fewer in a shorter
+window), ordered by how rare they are in the corpus. Containment asks for all of them, so one
+is a sufficient prefix, and the rarest is the one that produces the fewest candidates.
+Documents are joined with the windows on that token alone; its position in the window then
+bounds where the window must begin (not before the document, nor with its end behind it),
+and the candidate is verified word by word over as many words as the window has.
+
+Whether a text is contaminated follows from the text alone, so hits are gathered by a
+128-bit hash of the text: copies are judged once, and rows that share a doc_id are not mixed up.
 """
 
 from __future__ import annotations
@@ -13,9 +17,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skriba.llm.shared import store, work_dir
+from skriba.llm.shared import remove, store, work_dir
 
-WINDOW = 13
+WINDOW, SHINGLE = 13, 3
 #: Bytes of windows that may be broadcast; beyond it candidates are shuffled.
 BROADCAST_BYTES = 32 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -44,78 +48,121 @@ def windows_of(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     return named.groupBy("window_id").agg(F.first("words").alias("words")), named.select("window_id", "item_id").distinct()
 
 
-def frequencies(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """How often each word of the windows occurs in all documents (0: never)."""
-    vocabulary = windows.select(F.explode("words").alias("word")).distinct()
-    if vocabulary.count() * 100 <= BROADCAST_BYTES:
-        vocabulary = F.broadcast(vocabulary)
-    spread = docs.select(F.explode_outer(words_of(F.col("text"))).alias("word"))
-    counts = spread.join(vocabulary, "word").groupBy("word").agg(F.count("*").alias("n"))
-    return vocabulary.join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
+def token_at(words, at, n: int):
+    """Hash of the n words from place `at` on (0 the first); a verified match compares words."""
+    return F.xxhash64(*[F.get(words, at + k) for k in range(n)])
 
 
-def rarest_words(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """Each window's prefix: its rarest word (ties by the word, then the first place)."""
-    spread = windows.select("window_id", F.posexplode("words").alias("offset", "word")).join(counts, "word")
-    best = spread.groupBy("window_id").agg(F.min(F.struct("n", "word", "offset")).alias("b"))
-    return windows.join(best, "window_id").where("b.n > 0").select("window_id", "words", F.size("words").alias("length"), F.col("b.word").alias("word"), F.col("b.offset").alias("offset"))
+def spread_tokens(texts: DataFrame, lengths: list[int]) -> DataFrame:
+    """Every place of every text with its token: the columns of `texts` (w: the words), pos,
+    n (words of the token) and token."""
+    at = texts.select("*", F.posexplode("w").alias("pos", "_word"))
+    if len(lengths) == 1:
+        n = lengths[0]
+        out = at.withColumns({"n": F.lit(n), "token": token_at(F.col("w"), F.col("pos"), n)})
+    else:
+        each = [F.struct(F.lit(n).alias("n"), token_at(F.col("w"), F.col("pos"), n).alias("token")) for n in lengths]
+        out = at.withColumn("_t", F.explode(F.array(*each))).withColumns({"n": F.col("_t.n"), "token": F.col("_t.token")}).drop("_t")
+    return out.where(F.col("pos") + F.col("n") <= F.size("w")).drop("_word")
 
 
-def occurrences(docs: DataFrame, prefixes: DataFrame, folder: str) -> DataFrame:
-    """All places of windows in documents: doc_id, window_id, start (from 0), length."""
-    words = docs.where("doc_id IS NOT NULL").select("doc_id", words_of(F.col("text")).alias("w"))
-    size = F.size("w")
+def window_tokens(windows: DataFrame, lengths: list[int]) -> DataFrame:
+    """window_id, words, pos, n and token: those tokens of a window that may be its prefix."""
+    spread = spread_tokens(windows.select("window_id", "words", F.col("words").alias("w")), lengths)
+    return spread.where(F.col("n") == F.least(F.size("words"), F.lit(SHINGLE))).drop("w")
+
+
+def prefixes_of(texts: DataFrame, windows: DataFrame, lengths: list[int], small: bool) -> DataFrame:
+    """Each window's prefix: its token that is rarest in the corpus (ties by the first place).
+    Windows with a token that the corpus does not hold are in no text."""
+    tokens = window_tokens(windows, lengths)
+    vocabulary = tokens.select("n", "token").distinct()
+    met = spread_tokens(texts, lengths).select("n", "token").join(F.broadcast(vocabulary) if small else vocabulary, ["n", "token"], "left_semi")
+    counts = met.groupBy("n", "token").agg(F.count("*").alias("times"))
+    best = tokens.join(counts, ["n", "token"], "left").groupBy("window_id", "words").agg(F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "pos", "n", "token")).alias("b"))
+    return best.where("b.times > 0").select("window_id", "words", F.size("words").alias("length"), "b.n", "b.token", F.col("b.pos").alias("offset"))
+
+
+def occurrences(texts: DataFrame, prefixes: DataFrame, lengths: list[int], small: bool, folder: str) -> DataFrame:
+    """All places of windows in texts: k1, k2, window_id, start (from 0), length."""
+    place = ["k1", "k2", "window_id", "start", "length"]
     verified = F.slice("w", F.col("start") + 1, F.col("length")) == F.col("words")
-    n, total = prefixes.agg(F.count("*"), F.sum(F.length(F.array_join("words", " ")) + 8 * F.size("words") + 100)).first()
-    if (total or 0) <= BROADCAST_BYTES:
-        # One pass: the document's words stay a reference until a candidate is verified.
-        spread = words.select("doc_id", "w", F.posexplode_outer("w").alias("pos", "word"))
-        near = spread.join(F.broadcast(prefixes), "word").withColumn("start", F.col("pos") - F.col("offset"))
-        return near.where((F.col("start") >= 0) & (F.col("start") + F.col("length") <= size)).where(verified).select("doc_id", "window_id", "start", "length")
-    # Windows beyond a broadcast: shuffle (document, position, word) only, then fetch the
-    # documents that have candidates.
-    spread = words.select("doc_id", size.alias("size"), F.posexplode_outer("w").alias("pos", "word"))
-    near = spread.join(prefixes.drop("words"), "word").withColumn("start", F.col("pos") - F.col("offset"))
-    near = store(near.where("start >= 0 AND start + length <= size").select("doc_id", "window_id", "start", "length").distinct(), folder, "near")
-    ids = store(near.select("doc_id").distinct(), folder, "near-ids")
-    texts = docs.where("doc_id IS NOT NULL").select("doc_id", words_of(F.col("text")).alias("w")).join(ids, "doc_id", "left_semi")
-    return near.join(prefixes.select("window_id", "words"), "window_id").join(texts, "doc_id").where(verified).select("doc_id", "window_id", "start", "length")
+    inside = (F.col("start") >= 0) & (F.col("start") + F.col("length") <= F.col("size"))
+    spread = spread_tokens(texts.withColumn("size", F.size("w")), lengths)
+    if small:
+        # One pass: the text's words stay a reference until a candidate is verified.
+        near = spread.join(F.broadcast(prefixes), ["n", "token"]).withColumn("start", F.col("pos") - F.col("offset"))
+        return near.where(inside).where(verified).select(place)
+    # Windows beyond a broadcast: shuffle (text's hash, place, token) only, then fetch the
+    # texts that have candidates, each once.
+    near = spread.select("k1", "k2", "size", "pos", "n", "token").join(prefixes.drop("words"), ["n", "token"]).withColumn("start", F.col("pos") - F.col("offset"))
+    near = store(near.where(inside).select(place).distinct(), folder, "near")
+    ids = store(near.select("k1", "k2").distinct(), folder, "near-ids")
+    words = texts.join(ids, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("w").alias("w"))
+    return near.join(prefixes.select("window_id", "words"), "window_id").join(words, ["k1", "k2"]).where(verified).select(place)
+
+
+def text_key(text):
+    """A 128-bit hash of a text, as two columns; null is a text of its own without words."""
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2")]
+
+
+def judged_texts(docs: DataFrame, benchmark: DataFrame, folder: str) -> DataFrame:
+    """One row per text with hits: k1, k2, n_hit, items (its items' ids as sorted strings)."""
+    windows, owners = windows_of(benchmark)
+    windows = store(windows, folder, "windows")
+    told = windows.agg(F.sum(F.length(F.array_join("words", " ")) + 8 * F.size("words") + 100), F.collect_set(F.least(F.size("words"), F.lit(SHINGLE)))).first()
+    # The only choice made by size: whether the windows' bytes allow a broadcast. Results agree.
+    small, lengths = (told[0] or 0) <= BROADCAST_BYTES, sorted(told[1]) or [SHINGLE]
+    texts = docs.select(*text_key(F.col("text")), words_of(F.col("text")).alias("w"))
+    prefixes = store(prefixes_of(texts, windows, lengths, small), folder, "prefixes")
+    found = store(occurrences(texts, prefixes, lengths, small, folder).distinct(), folder, "found")
+    # Covered words: each start reaches as far as its longest window; overlaps count once.
+    reach = found.groupBy("k1", "k2", "start").agg(F.max(F.col("start") + F.col("length")).alias("stop"))
+    before = Window.partitionBy("k1", "k2").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = reach.withColumn("from", F.greatest("start", F.coalesce(F.max("stop").over(before), F.lit(0))))
+    hits = fresh.groupBy("k1", "k2").agg(F.sum(F.greatest(F.lit(0), F.col("stop") - F.col("from"))).cast("long").alias("n_hit"))
+    pairs = found.select("k1", "k2", "window_id").distinct().join(owners, "window_id").select("k1", "k2", "item_id").distinct()
+    named = pairs.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.col("item_id").cast("string"))).alias("items"))
+    return store(hits.join(named, ["k1", "k2"]), folder, "hits")
+
+
+def contaminated(n_hit, n_words):
+    return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per row of `docs` with a doc_id: doc_id, n_words, n_hit, n_items,
-    items_sha256, contaminated, and items (the sorted item ids as strings).
+    """One row per row of `docs`: doc_id, n_words, n_hit, n_items, items_sha256,
+    contaminated, and items (the sorted item ids as strings).
 
     A word is hit inside any occurrence of a window; a document is contaminated if it
     has a hit and 20 * n_hit >= n_words. Texts that are null or have no words have no
-    hits. Rows that repeat a doc_id are one document, whose hits are those of all its
-    rows; rows without a doc_id are left out, since hits are gathered by it. Extra
-    columns are ignored; an empty benchmark hits nothing."""
+    hits; very long texts are taken whole. Every row is judged by its own text, so rows that repeat a
+    doc_id may differ, and a null doc_id is returned as null. Repeated items and windows count
+    once, items without an id or without words not at all. Extra columns are ignored; an
+    empty benchmark hits nothing, an empty table gives an empty result."""
     folder = work_dir(docs.sparkSession, "decontam")
-    windows, owners = windows_of(benchmark)
-    windows = store(windows, folder, "windows")
-    prefixes = store(rarest_words(windows, frequencies(docs, windows)), folder, "prefixes")
-    found = store(occurrences(docs, prefixes, folder).distinct(), folder, "found")
-    # Covered words: each start reaches as far as its longest window; overlaps count once.
-    reach = found.groupBy("doc_id", "start").agg(F.max(F.col("start") + F.col("length")).alias("stop"))
-    before = Window.partitionBy("doc_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    fresh = reach.withColumn("from", F.greatest("start", F.coalesce(F.max("stop").over(before), F.lit(0))))
-    hits = fresh.groupBy("doc_id").agg(F.sum(F.greatest(F.lit(0), F.col("stop") - F.col("from"))).cast("long").alias("n_hit"))
-    pairs = found.select("doc_id", "window_id").distinct().join(owners, "window_id").select("doc_id", "item_id").distinct()
-    named = pairs.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.col("item_id").cast("string"))).alias("items"))
-    told = store(hits.join(named, "doc_id"), folder, "hits")
-    sizes = docs.where("doc_id IS NOT NULL").select("doc_id", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
-    joined = sizes.join(told, "doc_id", "left")
+    told = judged_texts(docs, benchmark, folder)
+    sizes = docs.select("doc_id", *text_key(F.col("text")), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     items = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return joined.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), items.alias("items"))
+    joined = sizes.join(told, ["k1", "k2"], "left")
+    return joined.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), contaminated(n_hit, F.col("n_words")).alias("contaminated"), items.alias("items"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of `docs` that are not contaminated; rows without a doc_id are kept."""
-    judged = decontaminate(docs, benchmark).where("contaminated").select("doc_id").distinct()
-    bad = store(judged, work_dir(docs.sparkSession, "decontam"), "contaminated")
-    return docs.join(bad, "doc_id", "left_anti")
-
-
-__all__ = ["clean_documents", "decontaminate", "windows_of", "words_of"]
+    """Rows of `docs` whose text is not contaminated, all columns as they are, whatever their
+    names; null texts, repeated rows and rows without a doc_id are judged by their text like
+    all others. An empty benchmark or table takes nothing away."""
+    spark = docs.sparkSession
+    folder, kept = work_dir(spark, "decontam"), work_dir(spark, "decontam-result")
+    told = judged_texts(docs, benchmark, folder)
+    keyed = docs.select(F.struct("*").alias("row"), *text_key(F.col("text")))
+    # Words are counted again only in texts with hits.
+    sized = keyed.join(told.select("k1", "k2", "n_hit"), ["k1", "k2"]).select("k1", "k2", "n_hit", F.size(words_of(F.col("row.text"))).alias("n_words"))
+    bad = store(sized.where(contaminated(F.col("n_hit"), F.col("n_words"))).select("k1", "k2").distinct(), kept, "contaminated")
+    remove(spark, folder)
+    return keyed.join(bad, ["k1", "k2"], "left_anti").select("row.*")
+
+
+__all__ = ["clean_documents", "decontaminate", "judged_texts", "windows_of", "words_of"]
