@@ -7,9 +7,9 @@ A shard is a file in the public seekable zstandard format:
 The last skippable frame is the seek table: for every frame its compressed size,
 its size and the low 32 bits of the xxh64 checksum of its content, then the number
 of frames, a descriptor byte (0x80: with checksums) and the magic 0x8F92EAB1. The
-one before it lists the frames' document ids (int64; a set bit in the bitmap after
-them: the frame goes on with the document of the frame before). Any reader of the
-seekable format can read a shard; ours fetches the tail and then single documents.
+one before it lists the frames' document ids (int64), and two bitmaps behind them: frames
+that go on with the document of the frame before, and documents without an id. Any reader of
+the seekable format can read a shard; ours fetches the tail and then single documents.
 
 Ids are little-endian unsigned 32-bit integers.
 """
@@ -34,8 +34,8 @@ SEEK_MAGIC, SKIP_SEEK, SKIP_IDS = 0x8F92EAB1, 0x184D2A5E, 0x184D2A5D
 CHECKSUMS = 0x80
 #: Bytes of ids in one frame at most; a longer document goes on in the next frame.
 FRAME_BYTES = 1 << 26
-#: Bytes of text that one shard aims at.
-SHARD_BYTES = 1 << 25
+#: Bytes of text that one shard aims at; rows sampled for each shard's cut, and in all.
+SHARD_BYTES, CUT_SAMPLE, MOST_SAMPLED = 1 << 25, 100, 1_000_000
 #: Entries of a worker's chunk cache; when it is full, it keeps those met again since it was
 #: this full. A dictionary doubles its room at 699,050 entries.
 CACHE_CHUNKS, NEARLY_FULL = 690_000, 500_000
@@ -128,13 +128,14 @@ class ChunkEncoder:
 def write_shard(out, frames) -> list[tuple]:
     """Write (doc_id, goes_on, compressed frame, size, checksum) rows; returns nothing
     but the file: the caller keeps the counts."""
-    ids, goes_on, table = [], [], []
+    ids, goes_on, unnamed, table = [], [], [], []
     for doc_id, more, frame, size, check in frames:
         out.write(frame)
-        ids.append(doc_id)
+        ids.append(doc_id or 0)
         goes_on.append(more)
+        unnamed.append(doc_id is None)
         table.append(struct.pack("<III", len(frame), size, check))
-    named = np.asarray(ids, "<i8").tobytes() + np.packbits(np.asarray(goes_on, bool), bitorder="little").tobytes()
+    named = np.asarray(ids, "<i8").tobytes() + b"".join(np.packbits(np.asarray(x, bool), bitorder="little").tobytes() for x in (goes_on, unnamed))
     out.write(struct.pack("<II", SKIP_IDS, len(named)) + named)
     seek = b"".join(table) + struct.pack("<IBI", len(table), CHECKSUMS, SEEK_MAGIC)
     out.write(struct.pack("<II", SKIP_SEEK, len(seek)) + seek)
@@ -161,11 +162,12 @@ class ShardReader:
         if magic != SEEK_MAGIC or flags != CHECKSUMS:
             raise ValueError("no seek table with checksums at the end")
         tail = 12 * frames + 9 + 8
-        named = 8 * frames + (frames + 7) // 8
+        marks = (frames + 7) // 8
+        named = 8 * frames + 2 * marks
         handle.seek(size - tail - named - 8)
         raw = handle.read(8 + named + 8 + 12 * frames)
         self.ids = np.frombuffer(raw, "<i8", frames, 8)
-        self.goes_on = np.unpackbits(np.frombuffer(raw, np.uint8, (frames + 7) // 8, 8 + 8 * frames), bitorder="little")[:frames].astype(bool)
+        self.goes_on, self.unnamed = (np.unpackbits(np.frombuffer(raw, np.uint8, marks, 8 + 8 * frames + k * marks), bitorder="little")[:frames].astype(bool) for k in (0, 1))
         table = np.frombuffer(raw, "<u4", 3 * frames, 8 + named + 8).reshape(-1, 3)
         self.packed, self.sizes, self.checks = table[:, 0].astype(np.int64), table[:, 1].astype(np.int64), table[:, 2]
         self.starts = np.concatenate(([0], np.cumsum(self.packed)))
@@ -189,48 +191,64 @@ class ShardReader:
             out.append(part)
         return b"".join(out)
 
-    def find(self, doc_id: int) -> bytes:
+    def name(self, k: int) -> int | None:
+        """The k-th document's id."""
+        return None if self.unnamed[self.firsts[k]] else int(self.ids[self.firsts[k]])
+
+    def find(self, doc_id: int | None) -> bytes:
         """Ids of the first document with this id."""
-        at = np.flatnonzero(self.ids[self.firsts] == doc_id)
+        named = self.unnamed[self.firsts] if doc_id is None else (self.ids[self.firsts] == doc_id) & ~self.unnamed[self.firsts]
+        at = np.flatnonzero(named)
         if not len(at):
             raise KeyError(doc_id)
         return self.document(int(at[0]))
 
 
+def shard_cuts(rows: DataFrame, shard_bytes: int) -> np.ndarray:
+    """First doc_ids of the shards behind the first one, in order, from a sample of rows
+    weighed by their text: CUT_SAMPLE rows a shard, at most MOST_SAMPLED. An id that takes several
+    shards is there several times. The sample decides how evenly shards are filled, nothing else."""
+    sized = rows.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).alias("b"))
+    n, total = sized.agg(F.count("*"), F.sum("b")).first()
+    shards = max(1, -(-(total or 0) // shard_bytes))
+    if shards == 1:
+        return np.zeros(0, np.int64)
+    wanted = min(CUT_SAMPLE * shards, MOST_SAMPLED)
+    some = sorted((r.doc_id, r.b) for r in sized.where("doc_id IS NOT NULL").sample(min(1.0, wanted / n), 17).collect())
+    upto = np.cumsum([b for _, b in some])
+    ids = np.array([d for d, _ in some], np.int64)
+    if not len(ids):
+        return np.zeros(0, np.int64)
+    return ids[np.minimum(np.searchsorted(upto, upto[-1] * np.arange(1, shards) / shards), len(ids) - 1)]
+
+
+def shard_numbers(ids: list, crcs: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Shards of documents, in order of (doc_id, crc); null ids come first. Rows of an id that
+    takes several shards are dealt to them by ranges of the crc."""
+    none = np.array([d is None for d in ids], bool)
+    keys = np.array([0 if d is None else d for d in ids], np.int64)
+    low, high = np.searchsorted(cuts, keys, side="left"), np.searchsorted(cuts, keys, side="right")
+    # Of one cut at an id, its rows stand behind the cut; of more, in the shards that begin with it.
+    own = high - np.maximum(high - low, 1) + (high > low)
+    out = np.where(high - low > 1, own + ((high - low) * crcs.astype(np.float64) / (1 << 32)).astype(np.int64), high)
+    return np.where(none, 0, out)
+
+
 def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, folder: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encode every text and write shards in ascending doc_id order; returns the
     manifest (shard, path, bytes, documents, tokens, start), start being the number
     of ids in the shards before.
 
-    Null texts count as empty; each document ends with `end_id`. Documents are dealt
-    to shards by ranges of doc_id, cut so that each gets about `shard_bytes` of text;
-    rows without a doc_id come first, rows that repeat one stand side by side in the
-    order of their ids' bytes. Extra columns are ignored. An empty table gives an
-    empty manifest. A task that is repeated writes a file of its own, and the
-    manifest names the file of the one that counted."""
+    Null texts count as empty; very long ones go on in further frames; each document ends
+    with `end_id`. Documents are dealt to shards by ranges of doc_id, cut so that each gets about
+    `shard_bytes` of text; rows without a doc_id come first, rows that repeat one stand side by
+    side in the order of their ids' crc, over several shards if they are many. Extra columns are
+    ignored. An empty table gives an empty manifest. A task that is repeated writes a file of its
+    own, and the manifest names the file of the one that counted."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "text")
-    # Cut points from a histogram of id ranges weighed by their text: at 256 documents
-    # a range, some tens of rows for each shard that is going to be written.
-    low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    if low is None:
-        low = high = 0
-    width = max(1, -(-(high - low + 1) // max(4096, n // 256)))
-    cell = F.expr(f"(doc_id - {low}L) div {width}L")
-    sized = rows.select(F.coalesce(cell, F.lit(-1).cast("long")).alias("cell"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("b"))
-    weights = sorted((r.cell, r.b) for r in sized.groupBy("cell").agg(F.sum(F.col("b") + 16).alias("b")).collect())
-    shard_of, shard, filled = {}, 0, 0
-    for c, b in weights:
-        if filled and filled + b > shard_bytes:
-            shard, filled = shard + 1, 0
-        shard_of[c] = shard
-        filled += b
-    firsts: dict[int, int] = {}
-    for c, to in shard_of.items():
-        firsts.setdefault(to, c)
-    first_cells = np.array(list(firsts.values()) or [0], np.int64)
-    first_shards = np.arange(len(first_cells), dtype=np.int64)
-    count = len(first_cells)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    cuts = spark.sparkContext.broadcast(shard_cuts(rows, shard_bytes))
+    count = len(cuts.value) + 1
 
     def encode(batches):
         import pyarrow as pa
@@ -240,14 +258,13 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, folder: str, sha
         end = np.uint32(end_id).tobytes()
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            cells = np.array([-1 if d is None else (d - low) // width for d in ids], np.int64)
-            to = first_shards[np.searchsorted(first_cells, cells, side="right") - 1]
+            encoded = [raw + end for raw in encoder.encode_all(batch.column(1).to_pylist())]
+            crcs = [zlib.crc32(raw) for raw in encoded]
             columns = [[], [], [], [], [], [], [], []]
             room = 0
-            for doc_id, shard, raw in zip(ids, to.tolist(), encoder.encode_all(batch.column(1).to_pylist())):
-                raw += end
+            for doc_id, shard, crc, raw in zip(ids, shard_numbers(ids, np.array(crcs, np.int64), cuts.value).tolist(), crcs, encoded):
                 for part, (frame, size, check) in enumerate(compress(raw, zipper)):
-                    for column, value in zip(columns, (shard, doc_id, zlib.crc32(raw), part, frame, size, check, len(raw) // 4)):
+                    for column, value in zip(columns, (shard, doc_id, crc, part, frame, size, check, len(raw) // 4)):
                         column.append(value)
                     room += len(frame)
                 if room > 1 << 24:
@@ -282,7 +299,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, folder: str, sha
                     if not part:
                         counts[0] += 1
                         counts[1] += tokens
-                    yield -(1 << 63) if doc_id is None else doc_id, part > 0, frame, size, check
+                    yield doc_id, part > 0, frame, size, check
 
             path = f"{base}/shard-{shard:08d}-{uuid.uuid4().hex}.zst"
             with fs.open_output_stream(path, compression=None) as out:
@@ -302,7 +319,10 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, folder: str, sha
 
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
     """Read shards back, document by document: doc_id, start, n_tokens, ids_crc32 and
-    the shard's number in its name. Every frame is held against its checksum."""
+    the shard's number in its name. Every frame is held against its checksum.
+
+    One row per document written: null and empty texts have their end id alone, repeated
+    rows a row each, documents of several frames one row; an empty manifest gives no rows."""
 
     def read(batches):
         import pyarrow as pa
@@ -315,8 +335,7 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
                     reader = ShardReader(handle, size)
                     for k in range(len(reader)):
                         ids = reader.document(k)
-                        doc_id = int(reader.ids[reader.firsts[k]])
-                        out.append((None if doc_id == -(1 << 63) else doc_id, start, len(ids) // 4, zlib.crc32(ids), path.rsplit("/", 1)[-1][:14]))
+                        out.append((reader.name(k), start, len(ids) // 4, zlib.crc32(ids), path.rsplit("/", 1)[-1][:14]))
                         start += len(ids) // 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()])], ["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
 
@@ -327,7 +346,8 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def token_table(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """Write the shards of a table into the shared folder and read them back."""
+    """Write the shards of a table into the shared folder and read them back; see
+    `write_tokens` and `read_tokens` for nulls, ties, empty tables and long texts."""
     folder = work_dir(docs.sparkSession, "tokens")
     manifest = store(write_tokens(docs, vocabulary, end_id, folder), folder, "starts")
     return read_tokens(manifest, folder)
