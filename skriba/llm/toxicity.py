@@ -1,15 +1,19 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Five transducers read the words of a clause and write symbols: insult and threat
-(with a weight), target, negation and reported speech. Their composition is one
-automaton whose state says what was met so far; a matched clause is an insult or
-threat in one of its readings: bare, at a target, negated or reported. A document's
-features are the weights of its matched clauses by reading; a logistic model over
-them gives the score. Words that match no clause count for nothing.
-
-The insult transducer's entries (whole words, and stems that any ending may follow)
-and all weights are learned from labelled rows; targets, negations, reporting verbs
-and threats are closed classes.
+A clause is read as a row of symbols (insult, threat, target, negation, report, quote; all
+other words are silent but count). Five transducers rewrite it one after the other: reported
+speech marks what follows a reporting verb or stands inside quotation marks; negation marks
+what stands behind it, and a second one undoes the first; target, threat and insult remember
+what was met, a threat being made only in a clause that has its target. They are
+composed once into one machine, whose state after the last word says whether the clause
+matched. A matched clause adds the weights of its insults and threats to their readings:
+bare, at a target, negated or reported. A document's features are its clauses' weights by
+reading; a logistic model over them gives the score. Words that match no clause count for
+nothing.
+
+The insult entries (whole words, and stems that any ending may follow) and all weights are
+learned from labelled rows; targets, negations, reporting verbs and threats are closed
+classes.
 """
 
 from __future__ import annotations
@@ -31,7 +35,9 @@ REPORTS = "said says say saying called calls quoted claimed wrote asked sagte sa
 THREATS = {"kill": 1.0, "murder": 1.0, "stab": 0.8, "strangle": 1.0, "töten": 1.0, "umbringen": 1.0, "erwürgen": 1.0, "tuer": 1.0, "étrangler": 1.0, "matar": 1.0, "asesinar": 1.0, "estrangular": 1.0}
 READINGS = ("bare", "target", "negated", "reported")
 #: What a clause counts in the sum over all readings, before its reading's own weight is learned.
-PRIOR = (1.0, 1.0, 0.8, 0.8)
+PRIOR = (1.0, 1.2, 0.6, 0.6)
+#: Words behind a negation that it reaches.
+REACH = 6
 #: Share of the toxic training rows that an insult entry must be met in, and rows at least.
 LEAST_SHARE, LEAST_ROWS = 0.01, 3
 #: Rows that the grammar is fitted on at most: those whose hashed ids come first.
@@ -44,6 +50,9 @@ MAX_ENTRIES, STEM_LETTERS = 2_000, (4, 5, 6, 7)
 REJECT = 0.7
 CLAUSE_END = re.compile(r"[.!?;:\n]")
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+QUOTES = "\"\u201c\u201d\u201e\u00ab\u00bb"
+TOKEN = re.compile(rf"{WORD.pattern}|[{QUOTES}]")
+MATCHES = ("insult", "threat")
 
 
 def _slices(batches):
@@ -78,8 +87,9 @@ def _least_run(text: str) -> int:
 def learn_insults(texts: DataFrame) -> dict[str, float]:
     """Insult entries with their weights from (text, toxic) rows: words and stems that
     are far more frequent in toxic documents than chance allows, weighed by their
-    smoothed log odds. The counts are summed in Spark; only the entries kept, at most
-    MAX_ENTRIES, come to the driver."""
+    smoothed log odds. The counts are summed in Spark; what comes to the driver are the entries
+    that toxic rows hold often enough, their counts, and which of those kept each toxic row
+    holds: all bounded by TRAIN_ROWS rows and LEAST_SHARE."""
     total = {r.toxic: r.n for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = total.get(1, 0), total.get(0, 0)
     if not bad or not good:
@@ -152,48 +162,144 @@ def learn_insults(texts: DataFrame) -> dict[str, float]:
     return kept
 
 
+class Transducer:
+    """A deterministic transducer over symbols: `arcs` {(state, symbol): (state, symbol)};
+    without an arc a symbol passes through and the state stays. `ends` {state: mark} says what a
+    clause that ends in a state has matched."""
+
+    def __init__(self, arcs: dict, ends: dict | None = None, start=0):
+        self.arcs, self.ends, self.start = arcs, ends or {}, start
+
+    def step(self, state, symbol):
+        return self.arcs.get((state, symbol), (state, symbol))
+
+    def marks(self, state) -> frozenset:
+        return frozenset([self.ends[state]] if state in self.ends else [])
+
+
+class Composed(Transducer):
+    """`first` and then `second` as one machine over the alphabet, its states numbered."""
+
+    def __init__(self, first: Transducer, second: Transducer, alphabet):
+        numbers, arcs, open_ = {(first.start, second.start): 0}, {}, [(first.start, second.start)]
+        while open_:
+            a, b = open_.pop()
+            for x in alphabet:
+                a2, y = first.step(a, x)
+                b2, z = second.step(b, y)
+                if (a2, b2) not in numbers:
+                    numbers[a2, b2] = len(numbers)
+                    open_.append((a2, b2))
+                arcs[numbers[a, b], x] = numbers[a2, b2], z
+        super().__init__(arcs)
+        self._marks = {k: first.marks(a) | second.marks(b) for (a, b), k in numbers.items()}
+
+    def marks(self, state) -> frozenset:
+        return self._marks[state]
+
+
+SYMBOLS = ("word", "insult", "threat", "target", "negation", "report", "quote")
+
+
+def reported_speech() -> Transducer:
+    """State 0: own words; 1: inside quotation marks; 2: behind a reporting verb; 3: both."""
+    arcs: dict = {}
+    for state in range(4):
+        arcs[state, "quote"] = state ^ 1, "word"
+        arcs[state, "report"] = state | 2, "word"
+        for m in MATCHES:
+            arcs[state, m] = state, f"{m}/reported" if state else m
+    return Transducer(arcs)
+
+
+def negation() -> Transducer:
+    """The state counts the words that a negation still reaches."""
+    arcs: dict = {}
+    for left in range(REACH + 1):
+        for x in ("word", "target", *MATCHES, *(f"{m}/reported" for m in MATCHES)):
+            arcs[left, x] = max(0, left - 1), f"{x}/negated" if left and x in MATCHES else x
+        arcs[left, "negation"] = 0 if left else REACH, "word"
+    return Transducer(arcs)
+
+
+def _seen(symbols, mark) -> Transducer:
+    """Remembers that one of the symbols was met."""
+    return Transducer({(state, x): (1, x) for state in (0, 1) for x in symbols}, {1: mark})
+
+
+def _all(match: str) -> list[str]:
+    return [match, f"{match}/reported", f"{match}/negated"]
+
+
+def target() -> Transducer:
+    return _seen(["target"], "targeted")
+
+
+def threat() -> Transducer:
+    """State 1: a target was met, 2: a threat, 3: both, which makes it one."""
+    arcs = {(state, x): (state | 2, x) for state in range(4) for x in _all("threat")}
+    return Transducer(arcs | {(state, "target"): (state | 1, "target") for state in range(4)}, {3: "threat"})
+
+
+def insult() -> Transducer:
+    return _seen(_all("insult"), "insult")
+
+
+def composed() -> Transducer:
+    """All five as one machine."""
+    machine = reported_speech()
+    for following in (negation(), target(), threat(), insult()):
+        machine = Composed(machine, following, SYMBOLS)
+    return machine
+
+
 class Grammar:
-    """The composed transducers. `weights` is the logistic model over the readings,
-    its last entry the bias; None before it is fitted."""
+    """The composed transducers and their entries. `weights` is the logistic model over the
+    readings, its last entry the bias; None before it is fitted."""
 
     def __init__(self, insults: dict[str, float], weights=None):
         self.insults, self.weights = insults, weights
-        self.closed = {w: "target" for w in TARGETS} | {w: "negated" for w in NEGATIONS} | {w: "reported" for w in REPORTS}
+        self.closed = dict.fromkeys(TARGETS, "target") | dict.fromkeys(NEGATIONS, "negation") | dict.fromkeys(REPORTS, "report") | dict.fromkeys(QUOTES, "quote")
+        machine = composed()
+        states = {k for k, _ in machine.arcs}
+        self.table = [{x: machine.arcs[k, x] for x in SYMBOLS} for k in range(len(states))]
+        self.matched = [machine.marks(k) for k in range(len(states))]
 
     def anchors(self):
-        """Aho-Corasick automaton of all entries that can begin a match."""
+        """Aho-Corasick automaton of all entries that can begin a match: by word, its weight as
+        an insult or threat, whether any ending may follow, and which of the two it is."""
         import ahocorasick
 
+        known: dict = {}
+        for kind, entries in (("threat", THREATS), ("insult", self.insults)):
+            for e, w in entries.items():
+                word = e.rstrip("*")
+                before = known.get(word, (0.0, False, kind))
+                known[word] = max(w, before[0]), e.endswith("*") or before[1], kind
         found = ahocorasick.Automaton()
-        for e, w in [*THREATS.items(), *self.insults.items()]:
-            word = e.rstrip("*")
-            found.add_word(word, (word, max(w, found.get(word, ("", 0, 0))[1]) if word in found else w, e.endswith("*") or (word in found and found.get(word)[2])))
+        for word, (w, open_end, kind) in known.items():
+            found.add_word(word, (len(word), w, open_end, kind))
         found.make_automaton()
         return found
 
-    def read(self, clause: str, hits: dict[int, float]) -> tuple[str, float]:
-        """Run a clause through the automaton: its reading and the weight of its matches.
-
-        `hits` are the insults and threats by the position where their word starts. A
-        negation counts for matches within the six words behind it, and is undone by a
-        second one; a reporting verb or an open quotation mark reports all that follows."""
-        negated_left, reported, targeted = 0, False, False
-        reading, weight = "bare", 0.0
-        for m in WORD.finditer(clause):
-            kind = self.closed.get(m[0])
-            if kind == "negated":
-                negated_left = 0 if negated_left else 7
-            elif kind == "reported":
-                reported = True
-            elif kind == "target":
-                targeted = True
-            if m.start() in hits:
-                weight += hits[m.start()]
-                reading = "reported" if reported else "negated" if negated_left else reading if reading != "bare" else "bare"
-            negated_left = max(0, negated_left - 1)
-        if reading == "bare" and targeted:
-            reading = "target"
-        return reading, weight
+    def read(self, clause: str, hits: dict[int, tuple[float, str]], quoted: bool = False) -> list[float]:
+        """Run a clause through the machine: the weights of its matches by reading, all 0 if it
+        does not match. `hits` are (weight, kind) by the position where a word starts; `quoted`
+        says whether the clause begins inside quotation marks."""
+        state, met = 0, []
+        if quoted:
+            state, _ = self.table[state]["quote"]
+        for m in TOKEN.finditer(clause):
+            hit = hits.get(m.start())
+            state, said = self.table[state][hit[1] if hit else self.closed.get(m[0], "word")]
+            if hit:
+                met.append((hit, said))
+        marks, out = self.matched[state], [0.0] * len(READINGS)
+        for (weight, kind), said in met:
+            if kind in marks:
+                reading = said.partition("/")[2] or ("target" if "targeted" in marks else "bare")
+                out[READINGS.index(reading)] += weight
+        return out
 
     def clauses(self, text: str | None, anchors) -> list[float]:
         """Weights of the matched clauses: their sum over all readings, then by reading,
@@ -202,11 +308,11 @@ class Grammar:
         if not text or not len(anchors):
             return [0.0, *out]
         low = text.lower()
-        starts: dict[int, float] = {}
-        for last, (word, w, open_end) in anchors.iter(low):
-            at = last - len(word) + 1
+        starts: dict[int, tuple[float, str]] = {}
+        for last, (size, w, open_end, kind) in anchors.iter(low):
+            at = last - size + 1
             if (at == 0 or not low[at - 1].isalpha()) and (open_end or last + 1 == len(low) or not low[last + 1].isalpha()):
-                starts[at] = max(w, starts.get(at, 0.0))
+                starts[at] = max((w, kind), starts.get(at, (0.0, kind)))
         order, k = sorted(starts), 0
         while k < len(order):
             at = order[k]
@@ -217,8 +323,11 @@ class Grammar:
             while k < len(order) and order[k] < done:
                 inside[order[k] - before - 1] = starts[order[k]]
                 k += 1
-            reading, weight = self.read(low[before + 1 : done], inside)
-            out[READINGS.index(reading)] += math.log1p(weight)
+            # Quotation marks reach over clauses, but not over lines.
+            line = low[low.rfind("\n", 0, before + 1) + 1 : before + 1]
+            quoted = sum(line.count(c) for c in QUOTES) % 2 == 1
+            for r, weight in enumerate(self.read(low[before + 1 : done], inside, quoted)):
+                out[r] += math.log1p(weight)
         return [math.log1p(x) for x in (sum(x * w for x, w in zip(out, PRIOR)), *out)]
 
     def score(self, features) -> float:
@@ -284,8 +393,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, grammar: Grammar | None = None)
     clause weights by reading.
 
     Null and empty texts have no clause and score by the bias alone. Only the text is
-    an input of a score, so repeated rows score alike; a null doc_id is returned as
-    null and counts as held out; extra columns are ignored."""
+    an input of a score, so repeated rows and ties score alike; a null doc_id is returned as
+    null and counts as held out; very long texts are read whole; extra columns are ignored,
+    whatever their names; an empty table gives an empty result."""
     grammar = grammar or fit(docs, labels)
 
     def scores(batches):
@@ -306,7 +416,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, grammar: Grammar | None = None)
 def keep_civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of `docs` whose text scores below REJECT, all columns as they are.
 
-    Only texts go to the Python workers, and only a mark for each comes back."""
+    Null and empty texts score by the bias alone; repeated rows go or stay together; a row needs no
+    doc_id; an empty table gives an empty result. Only texts go to the Python workers, and only a mark for each comes back."""
     grammar = fit(docs, labels)
 
     def civil(columns):
