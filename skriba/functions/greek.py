@@ -7,7 +7,9 @@ decomposition.
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -150,10 +152,40 @@ def declension_stem(text: str | None) -> str | None:
     return text
 
 
+#: Letters and marks that may belong to a Greek word; nothing else acts on its neighbours.
+_RUN = re.compile("[\u0300-\u036f\u0370-\u03ff\u1f00-\u1fff]+")
+
+
+def _between(text: str) -> str:
+    """What stands between Greek words; marks on other letters are dropped."""
+    return text if text.isascii() else "".join(c for c in text if unicodedata.category(c) != "Mn")
+
+
+def romanise_text(text: str, mode: str, known: dict[str, str]) -> str:
+    """A whole text, word by word: every different word is romanised once."""
+    out, at = [], 0
+    for m in _RUN.finditer(text):
+        out.append(_between(text[at : m.start()]))
+        word = m[0]
+        if word not in known:
+            if len(known) >= KNOWN_WORDS:
+                known.clear()
+            known[word] = romanise(word, mode)
+        out.append(known[word])
+        at = m.end()
+    return "".join(out) + _between(text[at:])
+
+
+#: Words that a task remembers.
+KNOWN_WORDS = 200_000
+
+
 def _function(mode: str):
     @F.pandas_udf(StringType())
-    def run(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: romanise(t, mode), na_action="ignore")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, str] = {}
+        for text in parts:
+            yield text.map(lambda t: romanise_text(t, mode, known), na_action="ignore")
 
     return run
 

@@ -1,9 +1,11 @@
 """Native orthography: Cyrillic words to Latin letters, in built-in expressions only.
 
-A letter's output depends on the class of the letter before it. So vowels and signs are
-rewritten by lookbehind while the consonants are still Cyrillic, consonants last. Every
-rule exists for the small and the capital letter; words in capitals are converted in
-small letters and raised as a whole.
+A letter's output depends on the class of the letter before it. In small letters it is always
+one Latin letter, with another one ahead of it in some classes: that one is set first, while
+the consonants are still Cyrillic, one pass for each; one translation does the rest. With
+capitals a mark for the class is set instead, and marked letters are replaced as strings, for
+the small and the capital letter. Words in capitals are converted in small letters and raised
+as a whole.
 """
 
 from __future__ import annotations
@@ -25,23 +27,44 @@ LETTER = "[а-яёА-ЯЁ]"
 TOKENS = "[а-яёА-ЯЁ]+|[^а-яёА-ЯЁ]+"
 #: Stands before the second letter of a pair that is written as one.
 _PAIR_MARK = "\ue000"
+#: Stand before a letter: what stands before that is paired, hard, soft or й, a sign, any letter.
+_PAIRED, _HARD, _SOFT, _SIGN, _ANY = "\ue001", "\ue002", "\ue003", "\ue004", "\ue005"
+
+
+#: More characters than a string can have.
+ALL = (1 << 31) - 1
 
 
 def _both(letters: str) -> str:
     return letters + letters.upper()
 
 
-def _rules() -> list[tuple[str, str]]:
-    """(regex, output) for small letters, in order; the output of a capital letter is the
-    same with its first letter raised."""
-    paired, hard, soft = f"(?<=[{_both(PAIRED)}])", f"(?<=[{_both(HARD)}])", f"(?<=[{_both(SOFT)}])"
-    soft_or_j, hissing = f"(?<=[{_both(SOFT + 'й')}])", f"(?<=[{_both(HARD + SOFT + 'й')}])"
-    rules = [(f"(?<={LETTER}|{_PAIR_MARK})э", "ae"), ("э", "e")]
-    rules += [(paired + "и", "ei"), (f"(?<=[{_both('ьъ')}])и", "ji"), ("и", "i")]
-    rules += [(paired + "е", "ee"), (hard + "е", "ae"), (soft_or_j + "е", "e"), ("е", "je")]
-    for letter, out in JOTATED:
-        rules += [(paired + letter, "e" + out), (hissing + letter, out), (letter, "j" + out)]
-    return rules + [(paired + "ь", "e"), ("ь", ""), ("ъ", "")]
+def _marks() -> list[tuple[str, str, str]]:
+    """(letters before, letters behind, mark)."""
+    return [(PAIRED, "иеёюяь", _PAIRED), (HARD, "еёюя", _HARD), (SOFT + "й", "еёюя", _SOFT), ("ьъ", "и", _SIGN)]
+
+
+def _replacements() -> list[tuple[str, str]]:
+    """Marked letters, then those without a mark, and what is written for them."""
+    out = [(_PAIRED + "и", "ei"), (_SIGN + "и", "ji"), ("и", "i")]
+    out += [(_PAIRED + "е", "ee"), (_HARD + "е", "ae"), (_SOFT + "е", "e"), ("е", "je")]
+    for letter, written in JOTATED:
+        out += [(_PAIRED + letter, "e" + written), (_HARD + letter, written), (_SOFT + letter, written), (letter, "j" + written)]
+    return [*out, (_PAIRED + "ь", "e"), (_ANY + "э", "ae"), ("э", "e")]
+
+
+#: Pairs that are written as one, by the letter that is left of them.
+_PAIRS = ((_PAIR_MARK + "с", "zz"), (_PAIR_MARK + "з", "ss"))
+
+
+def _small(word: Column) -> Column:
+    out = F.regexp_replace(word, "(с)з|(з)с", f"{_PAIR_MARK}$1$2")
+    out = F.regexp_replace(out, f"(?<=[{PAIRED}])(?=[иеёюяь])", _PAIRED)
+    out = F.regexp_replace(out, f"(?<=[{HARD}])(?=е)|(?<=[а-яё])(?=э)", _HARD)
+    out = F.regexp_replace(out, f"(?<=[ьъ])(?=и)|(?<![{PAIRED}{HARD}{SOFT}й{_PAIRED}{_HARD}])(?=[еёюя])", _SIGN)
+    for letter, result in (*_PAIRS, *DIGRAPHS):
+        out = F.replace(out, F.lit(letter), F.lit(result))
+    return F.translate(out, ONE_TO_ONE[0] + "иеёюяэ" + _PAIRED + _HARD + _SIGN + "ьъ", ONE_TO_ONE[1] + "ieouae" + "eaj")
 
 
 def native(word: Column, capitals: bool = True) -> Column:
@@ -49,26 +72,16 @@ def native(word: Column, capitals: bool = True) -> Column:
     is not raised as a whole here. Null stays null. Without `capitals` only small
     letters are looked for."""
     if not capitals:
-        out = F.regexp_replace(word, "(с)з|(з)с", f"{_PAIR_MARK}$1$2")
-    else:
-        # The case of a pair is its first letter's, whatever the second's is.
-        out = F.regexp_replace(word, "([сС])[зЗ]|([зЗ])[сС]", f"{_PAIR_MARK}$1$2")
-    # э first: what stands before it must still be a letter there.
-    for pattern, result in _rules():
-        letter = pattern[-1]
-        if capitals and letter in "эиеёюя":
-            out = F.regexp_replace(out, pattern[:-1] + letter.upper(), result[:1].upper() + result[1:])
-        elif capitals:
-            out = F.regexp_replace(out, pattern[:-1] + letter.upper(), result.upper())
-        out = F.regexp_replace(out, pattern, result)
-    pairs = [("с", "zz"), ("з", "ss")] + ([("С", "Zz"), ("З", "Ss")] if capitals else [])
-    for letter, result in pairs:
-        out = F.replace(out, F.lit(_PAIR_MARK + letter), F.lit(result))
-    for letter, result in DIGRAPHS:
+        return _small(word)
+    # The case of a pair is its first letter's, whatever the second's is.
+    out = F.regexp_replace(word, "([сС])[зЗ]|([зЗ])[сС]", f"{_PAIR_MARK}$1$2")
+    out = F.regexp_replace(out, f"(?<={LETTER})(?=[эЭ])", _ANY)
+    for before, behind, mark in _marks():
+        out = F.regexp_replace(out, f"(?<=[{_both(before)}])(?=[{_both(behind)}])", mark)
+    for letter, result in (*_replacements(), *_PAIRS, *DIGRAPHS):
         out = F.replace(out, F.lit(letter), F.lit(result))
-        if capitals:
-            out = F.replace(out, F.lit(letter.upper()), F.lit(result[:1].upper() + result[1:]))
-    return F.translate(out, *ONE_TO_ONE)
+        out = F.replace(out, F.lit(letter[:-1] + letter[-1].upper()), F.lit(result[:1].upper() + result[1:]))
+    return F.translate(out, ONE_TO_ONE[0] + "ьъЬЪ", ONE_TO_ONE[1])
 
 
 def all_caps(word: Column) -> Column:
@@ -89,7 +102,7 @@ def tokens(text: Column) -> Column:
 def convert_text(text: Column) -> Column:
     """A whole text. Texts without two capitals in a row need no tokens."""
     by_token = F.array_join(F.transform(tokens(text), convert_word), "")
-    return F.when(text.rlike("[А-ЯЁ]{2}"), by_token).otherwise(native(text))
+    return F.when(~text.rlike("[А-ЯЁ]"), native(text, False)).when(text.rlike("[А-ЯЁ]{2}"), by_token).otherwise(native(text))
 
 
 def suffix_class(name: Column, stem: Column) -> Column:
@@ -107,15 +120,15 @@ def convert_suffix(suffix: Column, kind: Column, whole_caps: Column) -> Column:
         letter = F.when(kind == name, sentinel).otherwise(letter)
         length = F.when(kind == name, len(result)).otherwise(length)
     small = F.upper(native(F.concat(letter, F.lower(suffix)), False))
-    return F.substring(F.when(whole_caps, small).otherwise(native(F.concat(letter, suffix))), length + 1, F.lit(1 << 20))
+    return F.substring(F.when(whole_caps, small).otherwise(native(F.concat(letter, suffix))), length + 1, F.lit(ALL))
 
 
 def raise_first(text: Column) -> Column:
-    return F.concat(F.upper(F.left(text, F.lit(1))), F.substring(text, 2, 1 << 20))
+    return F.concat(F.upper(F.left(text, F.lit(1))), F.substring(text, 2, ALL))
 
 
 def lower_first(text: Column) -> Column:
-    return F.concat(F.lower(F.left(text, F.lit(1))), F.substring(text, 2, 1 << 20))
+    return F.concat(F.lower(F.left(text, F.lit(1))), F.substring(text, 2, ALL))
 
 
 def pseudo_cyrillic(text: Column) -> Column:

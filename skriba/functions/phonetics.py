@@ -25,7 +25,13 @@ GREEK_CONSONANTS = "β б/в γ г/й δ д ζ з/дз θ т/ф κ к λ л μ 
 GREEK_VOWELS = "α а/е ε е η и/е ι и/й ο о ω о υ и/у/в"
 RUSSIAN_CONSONANTS = "бпфвйгкхчдтсзшжщцлрмн"
 RUSSIAN_VOWELS = "аеиоу"
-PUNCTUATION = " \t\r\n-'’ʼʻ."
+PUNCTUATION = " \t\r\n.,;:()[]{}<>\"“”«»„'’ʼʻ-"
+#: Latin vowels, with the marks that count.
+FINAL_VOWELS = "aeiouyáàâäãåāăąéèêëēĕėęěíìîïīĭįóòôöõøōŏőúùûüūŭůűųýỳŷÿ"
+# Letters that no decomposition explains, and letters with marks that are left as they are.
+SPELT_OUT = "Æ AE Ǽ AE Ǣ AE æ ae ǽ ae ǣ ae Œ OE œ oe ẞ SS ß ss Þ Th þ th Ð D ð d Đ D đ d Ħ H ħ h ı i ĸ k Ŀ L ŀ l Ł L ł l ŉ n Ø O ø o Ǿ O ǿ o ſ s Ŧ T ŧ t"
+MARKED_RANGES = ((0x00C0, 0x017F), (0x01CD, 0x01D4), (0x01FA, 0x01FB), (0x01A0, 0x01A1), (0x01AF, 0x01B0), (0x1E00, 0x1E95))
+LEFT_MARKED = "ḠṼṽṾṿ"
 
 
 def _table(*texts: str) -> dict[str, list[str]]:
@@ -40,9 +46,39 @@ def reading(word: Column, vowels: bool = True) -> Column:
     return F.regexp_replace(out, f"[^{RUSSIAN_CONSONANTS}{RUSSIAN_VOWELS if vowels else ''}]", "")
 
 
+def _without_marks() -> dict[str, str]:
+    """Letters with marks and what is left of them: by decomposition in MARKED_RANGES, and the
+    letters that are spelt out."""
+    out = {}
+    for first, last in MARKED_RANGES:
+        for code in range(first, last + 1):
+            base = unicodedata.normalize("NFD", chr(code))[0]
+            if base != chr(code) and base.isascii() and chr(code) not in LEFT_MARKED:
+                out[chr(code)] = base
+    words = SPELT_OUT.split()
+    return out | dict(zip(words[::2], words[1::2]))
+
+
+WITHOUT_MARKS = _without_marks()
+
+
+def strip_diacritics(text: Column) -> Column:
+    """Latin letters without their marks, in built-in expressions; other letters stay."""
+    out = F.regexp_replace(text, "\\p{Mn}", "")
+    single = {c: r for c, r in WITHOUT_MARKS.items() if len(r) == 1}
+    for c, r in WITHOUT_MARKS.items():
+        if len(r) > 1:
+            out = F.replace(out, F.lit(c), F.lit(r))
+    return F.translate(out, "".join(single), "".join(single.values()))
+
+
 def plain(text: str) -> str:
-    """Letters without their marks."""
-    return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
+    """Latin letters without the marks that are known, Greek ones without any."""
+    out = []
+    for c in text:
+        greek = "\u0370" <= c <= "\u03ff" or "\u1f00" <= c <= "\u1fff"
+        out.append(unicodedata.normalize("NFD", c)[0] if greek else WITHOUT_MARKS.get(c, c))
+    return "".join(c for c in "".join(out) if unicodedata.category(c) != "Mn")
 
 
 def units(source: str, vowels: bool = True) -> list[list[str]]:
@@ -86,8 +122,9 @@ def trim_to_sound(target: str, source: str, drop_vowels: bool) -> tuple[str, str
     letters = sum(c.isalpha() for c in source)
     for end in range(1, len(source) + 1):
         prefix = source[:end].rstrip(PUNCTUATION)
-        short = prefix.rstrip("aeiouyAEIOUYāēīōūȳĀĒĪŌŪȲ") if drop_vowels and target and target[-1] not in RUSSIAN_VOWELS else prefix
-        short = short or prefix
+        short = prefix
+        if drop_vowels and target[-1:] not in RUSSIAN_VOWELS:
+            short = prefix[:1] + prefix[1:].rstrip(FINAL_VOWELS + FINAL_VOWELS.upper())
         variants = dict.fromkeys((_without_h(prefix), prefix, _without_h(short), short))
         if 2 * sum(c.isalpha() for c in prefix) >= letters:
             for v in variants:
@@ -114,8 +151,17 @@ def consonants_like(target: pd.Series, source: pd.Series) -> pd.Series:
     return pd.Series([None if t is None or s is None else matches(t, s, False) for t, s in zip(target, source)])
 
 
-@F.pandas_udf(StructType([StructField("stem", StringType()), StructField("reading", StringType())]))
-def trimmed_stem(target: pd.Series, source: pd.Series) -> pd.DataFrame:
-    """Shortest sounding prefix of a spelling, final vowels dropped behind consonants."""
-    got = [trim_to_sound(t, s, True) if t and s else None for t, s in zip(target, source)]
-    return pd.DataFrame({"stem": [g[0] if g else None for g in got], "reading": [g[1] if g else None for g in got]})
+_TRIMMED = StructType([StructField("stem", StringType()), StructField("reading", StringType())])
+
+
+def _trimmed(drop_vowels: bool):
+    @F.pandas_udf(_TRIMMED)
+    def run(target: pd.Series, source: pd.Series) -> pd.DataFrame:
+        got = [trim_to_sound(t, s, drop_vowels) if t and s else None for t, s in zip(target, source)]
+        return pd.DataFrame({"stem": [g[0] if g else None for g in got], "reading": [g[1] if g else None for g in got]})
+
+    return run
+
+
+#: Shortest sounding prefix of a spelling; `trimmed_stem` drops final vowels behind consonants.
+trimmed_stem, sounding_stem = _trimmed(True), _trimmed(False)

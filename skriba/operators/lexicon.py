@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skriba.functions.orthography import LETTER, all_caps, convert_suffix, convert_word, lower_first, raise_first, suffix_class, tokens
+from skriba.functions.orthography import ALL, LETTER, all_caps, convert_suffix, convert_word, lower_first, raise_first, suffix_class, tokens
 
 REQUIRED = ("cyrillic_stem", "latin_stem")
 OPTIONAL = ("matched_russian_reading", "original_latin", "original_greek", "mode", "case_mode", "match_case", "source", "notes", "suffix_context", "url")
@@ -24,11 +24,31 @@ def trimmed(column: Column) -> Column:
 
 
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file: header names in any order and case, ragged rows allowed."""
-    table = spark.read.csv(path, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    """A CSV file: header names in any order and case, ragged rows allowed, quotes doubled
+    inside quoted cells. A file without a header is an error."""
+    table = spark.read.csv(path, header=True, escape='"', multiLine=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     return normalise(table)
 
 
+def lexicon_columns(rows: DataFrame) -> DataFrame:
+    """The twelve columns of a lexicon file in their order; missing and null cells are blank, a blank
+    match_case is written out."""
+    names = (*REQUIRED, *OPTIONAL)
+    out = rows.select(*[(F.coalesce(F.col(n).cast("string"), F.lit("")) if n in rows.columns else F.lit("")).alias(n) for n in names])
+    return out.withColumn("match_case", F.coalesce(F.nullif(F.trim("match_case"), F.lit("")), F.lit("any")))
+
+
+def write_lexicon(rows: DataFrame, path: str, mode: str = "error") -> None:
+    """Write a lexicon as CSV files with a header; cells that need it are quoted, quotes doubled.
+    Spark commits all files of a job together or none."""
+    lexicon_columns(rows).write.mode(mode).csv(path, header=True, escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+def write_text(rows: DataFrame, column: str, path: str, mode: str = "error") -> None:
+    """Write a text column, a line for each row."""
+    rows.select(F.col(column).alias("value")).write.mode(mode).text(path)
+
+
 def normalise(table: DataFrame) -> DataFrame:
     """All columns of a lexicon, trimmed, with defaults, and `problem`: why a row makes the
     lexicon invalid, else null. Rows without both keys are left out. Unknown columns
@@ -87,7 +107,7 @@ def convert_words(words: DataFrame, lexicon: DataFrame, apostrophe: bool = False
     capitals decide its case, the whole word's those of the suffix."""
     matched = match_words(words, lexicon)
     n = F.length("cyrillic_stem")
-    part, suffix = F.left("word", n), F.substring(F.col("word"), n + 1, F.lit(1 << 20))
+    part, suffix = F.left("word", n), F.substring(F.col("word"), n + 1, F.lit(ALL))
     first = F.left("word", F.lit(1))
     stem = F.when(all_caps(part), F.upper("latin_stem")).when(F.col("case_mode") == "preserve", F.col("latin_stem")).when(first != F.lower(first), raise_first(F.col("latin_stem"))).otherwise(lower_first(F.col("latin_stem")))
     tail = convert_suffix(suffix, suffix_class(F.col("suffix_context"), F.col("cyrillic_stem")), all_caps(F.col("word")))

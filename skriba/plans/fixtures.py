@@ -1,4 +1,4 @@
-"""Known pairs: inputs of the fixture queries, with what they must give."""
+"""Known pairs: inputs of the fixture queries, with what they must give. Fixed values; the pages are our own."""
 
 NATIVE = """Я=Ja ЖУК=ZSUK Женя=Zsaenea жена=zsaena жизнь=zsizne мажь=mazs вражий=vrazsij вражьи=vrazsji шина=szina шея=szaeja щука=szeuka чай=czaj ночь=nocz вечный=veecznij
 русский=russkeij сзади=zzadei французский=frantzusskeij подъезд=podjezd семья=seemeja Марья=Mareja Мариа=Mareia Мария=Mareija поэт=poaet поёт=pojot поит=poit эй=ej ёж=jozs ел=jel ель=jele
@@ -18,22 +18,91 @@ GREEK = {
 STEMS = "εὐαγγέλιον=evangeli εὐαγγελίου=evangeli εὐαγγελίῳ=evangeli πρόβλημα=problem Ἀχιλλεύς=Achill Ἀπόλλων=Apollon"
 READINGS = "ахиллес=ахилес агиограф=агиограф ёлка=елка йолка=йолка жюль=жул этика=етика сыр=сир"
 TRIMMED = (("фактор", "factor", "factor"), ("факсимиле", "facere", None), ("фаз", "phase", "phas"), ("фалда", "Falte", None), ("бренди", "brandywein", "brandy"), ("фальшь", "falsus", "fals"), ("фальшак", "falsus", None), ("ёлк", "yolk", "yolk"), ("гиперборе", "Hyperborēī", "Hyperborē"), ("ев", "Eu", "Eu"), ("ев", "Eva", "Ev"), ("исав", "Hesau", "Esau"), ("ев", "eavesdropper", None))
-#: (title, morphology, etymology, stem, latin, reading); no stem: not accepted.
+MORPHOLOGY, ETYMOLOGY = "=== Морфологические и синтаксические свойства ===", "=== Этимология ==="
+#: (title, body of the Russian section below the morphology heading, categories, row); the row is
+#: (stem, latin, reading, original, mode, match_case, source, kind), or the page's disposition.
 PAGES = (
-    ("фактор", "{{сущ-ru|фа́ктор|м 1a}}\n{{морфо-ru|фактор|+∅}}", "{{lang|en|factor}}", "фактор", "factor", "фактор"),
-    ("факсимиле", "{{сущ-ru|факси́миле|с 0}}", "{{lang|la|facere}}", None, None, None),
-    ("фаза", "{{сущ-ru|фа́за|ж 1a}}", "{{lang|en|phase}}", "фаз", "phas", "фаз"),
-    ("проблема", "{{сущ-ru|пробле́ма|ж 1a}}\n{{морфо-ru|корень=проблем|оконч=а}}", "{{lang|grc|πρόβλημα}}", "проблем", "problem", "проблем"),
-    ("вавилон", "{{сущ-ru|Вавило́н|м 1a}}\n{{морфо-ru|вавилон|+∅}}", "{{lang|grc|Βαβυλών}}", "вавилон", "Babylon", "вавилон"),
-    ("Гипербореи", "{{сущ ru m ina 6a\n|основа=Гиперборе́\n|основа1=\n|слоги={{по-слогам|Ги|пер|бо|ре́|.|и}}\n|pt=1\n}}\n{{морфо-ru|Гипер--|бореj|+и}}", "{{lang|la|Hyperborēī|живущие за Бореем}}", "гиперборе", "Hyperbore", "гиперборе"),
-    ("факультетский", "{{прил ru|факульте́тский}}", "{{lang|en|faculty}}", None, None, None),
-    ("фазовый", "{{прил ru|фа́зовый}}", "{{lang|en|phase}}", None, None, None),
-    ("фалда", "{{сущ-ru|фалда́|ж 1a}}", "{{lang|de|Falte}}", None, None, None),
-    ("бренди", "{{сущ-ru|бре́нди|с 0}}", "{{lang|en|brandywein}}", "бренди", "brandy", "бренди"),
-    ("фальшь", "{{сущ-ru|фальшь|ж 8a}}\n{{морфо-ru|фальш|+ь}}", "{{lang|la|falsus}}", "фальшь", "fals", "фалш"),
-    ("фальшак", "{{сущ-ru|фальша́к|м 3a}}", "{{lang|la|falsus}}", None, None, None),
-    ("alpha", "", "", None, None, None),
+    ("трактор", "{{сущ-ru|тра́ктор|м 1a}}\n{{морфо-ru|трактор|+∅}}\n=== Этимология ===\nОт {{lang|en|tractor}}.", [], ("трактор", "tractor", "трактор", "tractor", "stem", "any", "English", "")),
+    ("какао", "{{сущ-ru|кака́о|с 0}}\n=== Этимология ===\n{{lang|en|facility}}", [], "filtered"),
+    ("лампа", "{{сущ-ru|ла́мпа|ж 1a}}\n=== Этимология ===\nИз нем. Lampe, далее из лат. lampas", [], ("ламп", "Lamp", "ламп", "Lampe", "stem", "any", "German", "")),
+    ("сцена", "{{сущ-ru|сце́на|ж 1a}}\n=== Этимология ===\nзаимств. через франц. scène", [], "filtered"),
+    ("система", "{{сущ-ru|систе́ма|ж 1a}}\n{{морфо-ru|корень=систем|оконч=а}}\n=== Этимология ===\nот др.-греч. σύστημα", [], ("систем", "system", "систем", "system", "stem", "any", "Greek", "")),
+    ("догма", "{{сущ-ru|до́гма|ж 1a}}\n=== Этимология ===\n{{lang|grc|δόγμα}}", [], ("догм", "dogm", "догм", "dogm", "stem", "any", "Greek", "")),
+    ("пальто", "{{сущ-ru|пальто́|с неизм}}\n=== Этимология ===\n{{lang|fr|paletot}}", [], "filtered"),
+    ("метро", "{{сущ-ru|метро́|с неизм}}\n=== Этимология ===\n{{lang|fr|métro}}", [], ("метро", "metro", "метро", "métro", "word", "any", "French", "")),
+    ("Мадрид", "{{сущ-ru|Мадри́д|м 1a}}\n=== Этимология ===\n{{lang|es|Madrid}}", [], ("мадрид", "Madrid", "мадрид", "Madrid", "stem", "capitalized", "Spanish", "")),
+    ("марта", "{{сущ-ru|Ма́рта|ж 1a}}\n=== Этимология ===\n{{lang|la|Marta}}", ["Категория:Женские имена"], ("март", "Mart", "март", "Marta", "stem", "capitalized", "Latin", "")),
+    ("тракторный", "{{прил ru|тра́кторный}}\n=== Этимология ===\n{{lang|en|tractor}}", [], "skipped"),
+    ("порт", "{{сущ-ru|порт|м 1a}}\n=== Этимология ===\nпроисходит от {{этимология:порт|да}}", [], ("порт", "port", "порт", "portus", "stem", "any", "Latin", "")),
+    ("гольф", "{{сущ-ru|гольф|м 1a}}\n==== Значение ====\n# игра, возникшая в Великобритании\n=== Этимология ===\n??\n=== Перевод ===\n* {{перев|de|Golfspiel}}\n* {{перев|en|golf}}", [], ("гольф", "golf", "голф", "golf", "stem", "any", "English", "translation")),
+    ("сауна", "{{сущ-ru|са́уна|ж 1a}}\n==== Значение ====\n# финская баня\n=== Перевод ===\n* {{t|sv|sauna}}", [], "skipped"),
+    ("трактора", "{{сущ-ru|тра́ктор|м 1a}}\n=== Этимология ===\n{{lang|en|tractor}}", [], "skipped"),
+    ("робот", "{{сущ-ru|ро́бот|м 1a}}", ["Категория:Слова чешского происхождения/ru"], "filtered"),
+    ("alpha", "", [], "skipped"),
+    ("вода", "{{сущ-ru|вода́|ж 1d}}", [], "skipped"),
 )
+#: Template calls of all pages: (name, calls, arguments in all).
+TEMPLATE_CALLS = (("-ru-", 18, 0), ("сущ-ru", 16, 32), ("прил ru", 1, 1), ("морфо-ru", 2, 4), ("lang", 9, 18), ("этимология:порт", 1, 1), ("перев", 2, 4), ("t", 1, 2))
+#: Etymology templates that pages refer to.
+TEMPLATES = (("порт", "{{lang|la|portus}} «гавань»"),)
+#: Lines of an appendix; rows (line, source, stem, latin, greek, case) that it gives.
+APPENDIX = (
+    "* [[пролог]] — не под заголовком",
+    "== Из немецкого языка ==",
+    "* [[Шахта|шахта]] — {{lang|de|Schachte}}",
+    "* [[бутерброд]]&nbsp;— от Butterbrot «хлеб с маслом»",
+    "* [[шахта]] — Schacht",
+    "просто строка",
+    "* без ссылки",
+    "=== Из греческого ===",
+    "* [[атом]] – ἄτομος",
+    "** [[логика#Русский|логика]] - λογική",
+    "== Из цыганского языка ==",
+    "* [[чувак]] — čuvak",
+)
+APPENDIX_ROWS = (
+    (3, "German", "шахта", "Schachte", None, "capitalized"),
+    (4, "German", "бутерброд", "Butterbrot", None, "any"),
+    (9, "Greek", "атом", "atom", "ἄτομος", "any"),
+    (10, "Greek", "логика", "logice", "λογική", "any"),
+    (12, "цыганского", "чувак", "cuvak", None, "any"),
+)
+#: Markup and its plain text.
+MARKUP = (
+    ("а [[б|в]] ''г'' {{lang|en|y|z}} <!-- c -->д&nbsp;е<ref>f</ref>", "а в г y д е"),
+    ("" + "\x27\x27\x27жи\x27\x27\x27 {{шаблон|a={{b}}}} [[река]]<ref name=x/> &lt;т&gt;", "жи река <т>"),
+    ("{{этимология:порт|да}} {{открыт", "порт {{открыт"),
+)
+#: Spellings without marks; whether they are Latin and Greek terms.
+SPELLINGS = (("Ærøskøbing", "AEroskobing", True, False), ("Straße", "Strasse", True, False), ("Łódź", "Lodz", True, False), ("ỳ", "ỳ", True, False), ("λόγος", "λόγος", False, True), ("x2", "x2", False, False), ("nbsp", "nbsp", False, False))
+
+
+#: (stem, context, suffix, what the suffix becomes).
+SUFFIXES = (("шин", "native", "е", "ee"), ("шин", "vowel", "е", "je"), ("шин", "hard", "е", "ae"), ("шин", "soft", "я", "a"), ("шин", "sign", "и", "ji"), ("шин", "j", "ю", "u"), ("шин", "none", "э", "e"), ("жюл", "soft", "ем", "em"), ("чай", None, "я", "a"), ("роль", None, "и", "ji"))
+#: Rows, and what their pages add: (title, stem, latin, source, notes, latin then, source then, notes then).
+ENRICHED = (
+    ("порт", "порт", "port", "French", "n", "portus", "Latin", "n; latin stem from word-page etymology marker; source from word-page origin category"),
+    ("тракт", "тракт", "trakt", "German", "", "tract", "German", "latin stem from word-page etymology marker; word page marks etymology as incomplete"),
+    ("лак", "лак", "lack", "German", "n", "lack", "German", "n"),
+    ("нет", "нет", "net", "French", "n", "net", "French", "n; page enrichment failed"),
+)
+META_PAGES = (
+    ("порт", "=== Этимология ===\nот {{lang|la|portus|гавань}}\n", ["Категория:Слова латинского происхождения/ru"]),
+    ("тракт", "=== Этимология ===\nот {{lang|la|tractue}} и {{этимология:дорога|да}}\n", ["Категория:Нужна этимология/ru"]),
+    ("лак", "=== Этимология ===\n{{lang|de|Lak}}\n", []),
+)
+#: Titles of the limited crawl; counts and first rows of the appendix.
+LIMITED = ("трактор", "система")
+APPENDIX_STATES = (("accepted", 4), ("filtered", 2), ("skipped", 2))
+APPENDIX_FIRST = ((4, "бутерброд"), (3, "шахта"))
+#: Recorded answers and their pages (title, content, number of categories, problem).
+ANSWERS = (
+    '{"continue":{"gapcontinue":"м"},"query":{"pages":[{"title":"лампа","revisions":[{"slots":{"main":{"content":"свет"}}}],"categories":[{"title":"a"},{"title":"b"}],"extra":1},{"title":"нора","missing":true}]}}',
+    '{"error":{"code":"maxlag","info":"x","lag":6.5}}',
+    "no json",
+    '{"query":{"pages":[{"title":"пусто"}]}}',
+)
+DECODED = (("лампа", "свет", 2, None), ("нора", None, 0, "missing"), ("пусто", None, 0, "no revisions"))
 
 
 def pairs(text):
@@ -41,6 +110,5 @@ def pairs(text):
 
 
 def page_rows():
-    """(seq, title, content) of PAGES."""
-    head = "={{-ru-}}=\n=== Морфологические и синтаксические свойства ===\n"
-    return [(k, t, f"{head}{m}\n=== Этимология ===\n{e}\n") for k, (t, m, e, *_) in enumerate(PAGES)]
+    """(seq, title, content, categories) of PAGES."""
+    return [(k, t, f"= {{{{-ru-}}}} =\n{MORPHOLOGY}\n{body}\n", c) for k, (t, body, c, _) in enumerate(PAGES)]
