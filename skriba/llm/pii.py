@@ -1,7 +1,7 @@
 """Personal data by anchor expansion.
 
 One Aho-Corasick pass finds anchors: at-signs, plus signs, digits, scheme and
-identifier cues. From each anchor a small deterministic parser walks left and right
+cues of identifiers and secrets. From each anchor a small deterministic parser walks left and right
 over the characters its kind allows, and validates what it spans (octets, Luhn,
 mod 97, lengths). No pattern is tried anywhere else in the text.
 """
@@ -12,10 +12,13 @@ import hashlib
 import re
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from skriba.llm.shared import lean
 
 # The base kinds in their order, then the kinds this method adds.
 BASE_KINDS = ("email", "ip", "card", "phone")
-ADDED_KINDS = ("iban", "account", "address", "link")
+ADDED_KINDS = ("iban", "account", "address", "link", "secret")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 LABEL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-")
 DIGITS = frozenset("0123456789")
@@ -25,6 +28,11 @@ ACCOUNT_CUES = ("account", "acct", "passport", "ssn", "konto", "compte", "cuenta
 #: Street words; a house number before (English) or behind (the others) makes an address.
 STREET_CUES = ("street", "avenue", "boulevard", "straße", "strasse", "rue ", "calle ")
 SCHEMES = ("https://", "http://", "ftp://")
+#: Names that a secret is assigned to, beginnings of secrets that need no name, and their letters.
+SECRET_NAMES = ("token", "password", "passwd", "secret", "api_key", "api-key", "apikey", "bearer")
+SECRET_HEADS = ("akia", "ghp_", "xoxb-", "sk_live_")
+SECRET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-+/=.~")
+SECRET_LEAST, SECRET_MOST = 16, 512
 
 
 def luhn(digits: str) -> bool:
@@ -123,6 +131,26 @@ def iban_at(text: str, p: int):
     return None
 
 
+def secret_at(text: str, p: int, named: bool):
+    """(start, end) of the secret at p; a named one stands behind a sign or a blank, and
+    perhaps in quotation marks. It has both letters and digits, and no more than SECRET_MOST."""
+    if named:
+        q = p
+        while p < len(text) and p < q + 6 and text[p] in " \t:=\"'":
+            p += 1
+        if p == q:
+            return None
+    end = p
+    while end < len(text) and end <= p + SECRET_MOST and text[end] in SECRET:
+        end += 1
+    while end > p and text[end - 1] in ".=-":
+        end -= 1
+    run = text[p:end]
+    if not SECRET_LEAST <= len(run) <= SECRET_MOST or run.isalpha() or not any(c in DIGITS for c in run) or not any(c.isalpha() for c in run):
+        return None
+    return p, end
+
+
 _account_number = re.compile(r"[\s:#.]{0,3}(?:no\.?|number|nr\.?|n°)?[\s:#.]{0,3}([0-9][0-9 -]{4,20}[0-9])")
 _house_before = re.compile(r"([0-9]{1,5}[A-Za-z]?(?: [A-Z][\w'-]*){1,3} )$")
 _house_behind = re.compile(r"(?:[A-Z][\w'-]*(?: [A-Z][\w'-]*){0,3} ?)?,? ?[0-9]{1,5}[A-Za-z]?\b")
@@ -133,7 +161,7 @@ def automaton():
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    for kind, words in (("@", "@"), ("+", "+"), ("0", "0123456789"), ("account", ACCOUNT_CUES), ("street", STREET_CUES), ("link", SCHEMES), ("iban", ("iban",))):
+    for kind, words in (("@", "@"), ("+", "+"), ("0", "0123456789"), ("account", ACCOUNT_CUES), ("street", STREET_CUES), ("link", SCHEMES), ("iban", ("iban",)), ("secret", SECRET_NAMES), ("head", SECRET_HEADS)):
         for w in words:
             found.add_word(w, (kind, len(w)))
     found.make_automaton()
@@ -148,7 +176,7 @@ def find_spans(text: str | None, anchors) -> list[tuple[str, int, int]]:
     if not text:
         return []
     spans = {k: [] for k in BASE_KINDS + ADDED_KINDS}
-    done = dict.fromkeys(("email", "ip", "card", "phone", "digits", "link", "address"), 0)
+    done = dict.fromkeys(("email", "ip", "card", "phone", "digits", "link", "address", "secret"), 0)
     # Only A-Z are folded, so that positions stay those of the text.
     folded = text.lower() if text.isascii() else text.translate(_FOLD)
     for last, (kind, size) in anchors.iter(folded):
@@ -167,7 +195,8 @@ def find_spans(text: str | None, anchors) -> list[tuple[str, int, int]]:
                 end, run = ip_at(text, start)
                 done["digits"] = run
                 if end is not None:
-                    if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in text[start:end].split(".")):
+                    # A part may have any number of zeros ahead.
+                    if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in text[start:end].split("."))):
                         spans["ip"].append((start, end))
                     done["ip"] = end
         elif kind == "@":
@@ -198,6 +227,11 @@ def find_spans(text: str | None, anchors) -> list[tuple[str, int, int]]:
                 if m.start() >= done["address"]:
                     spans["address"].append((m.start(), last + 1))
                     done["address"] = last + 1
+        elif kind in ("secret", "head"):
+            named = kind == "secret"
+            if start >= done["secret"] and (start == 0 or not folded[start - 1].isalnum()) and (at := secret_at(text, last + 1 if named else start, named)):
+                spans["secret"].append(at)
+                done["secret"] = at[1]
         elif start >= done["link"]:
             # A link is personal only where it carries a name or password before its host.
             end = last + 1
@@ -217,8 +251,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
     n_phone, base_sha256, spans, n_added.
 
     Null and empty texts have no spans. Rows are judged alone, so repeated rows give
-    repeated results; extra columns are ignored; a null doc_id is returned as null.
-    Positions count code points."""
+    repeated results; extra columns are ignored, whatever their names; a null doc_id is returned as
+    null; very long texts are read whole, in time linear in their length; an empty table gives an
+    empty result. Positions count code points."""
 
     def scan(batches):
         import pyarrow as pa
@@ -240,4 +275,4 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
     types = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64()]
     names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"]
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(scan), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
