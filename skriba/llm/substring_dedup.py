@@ -68,8 +68,17 @@ def candidates_of(hashes: np.ndarray, window: int, positions: np.ndarray) -> tup
     return at, grams(hashes, window)[at]
 
 
+#: Mixes the second hash of a window's words; equal windows must agree in both.
+SECOND = U(0xC2B2AE3D27D4EB4F)
+
+
+def seconds(hashes: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
+    """32 more bits about the windows of n words from the places `at` on: their words hashed anew."""
+    return (grams(mix(hashes ^ SECOND), n)[at] >> U(32)).astype(np.uint32).view(np.int32)
+
+
 class _Gather:
-    """Occurrences (hash, doc, place) of one task, settled in bulk: of every hash the
+    """Occurrences (hash, second hash, doc, place) of one task, settled in bulk: of every hash the
     first occurrence (kind 0, by hash; `again`: it was met later too), and all later
     ones (kind 1, by document)."""
 
@@ -77,9 +86,9 @@ class _Gather:
         self.parts: list = []
         self.size = 0
 
-    def add(self, hashes, doc, places):
+    def add(self, hashes, second, doc, places):
         if len(hashes):
-            self.parts.append((hashes, np.full(len(hashes), doc, np.int64), places.astype(np.int32)))
+            self.parts.append((hashes, np.full(len(hashes), doc, np.int64), places.astype(np.int32), second))
             self.size += len(hashes)
 
     def settle(self):
@@ -87,11 +96,11 @@ class _Gather:
 
         if not self.size:
             return
-        h, d, p = (np.concatenate([x[k] for x in self.parts]) for k in range(3))
+        h, d, p, c = (np.concatenate([x[k] for x in self.parts]) for k in range(4))
         self.parts, self.size = [], 0
-        order = np.lexsort((p, d, h))
-        h, d, p = h[order], d[order], p[order]
-        new = np.concatenate(([True], h[1:] != h[:-1]))
+        order = np.lexsort((p, d, c, h))
+        h, d, p, c = h[order], d[order], p[order], c[order]
+        new = np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])))
         head = np.flatnonzero(new)[np.cumsum(new) - 1]
         # A row that repeats its document's id and place is the same occurrence.
         later = (d != d[head]) | (p != p[head])
@@ -99,13 +108,13 @@ class _Gather:
         again[head[later]] = True
         sent = new | later
         key = np.where(later, mix(d.view(U)), h).view(np.int64)
-        arrays = [key, later.astype(np.int8), d, p, again]
+        arrays = [key, np.where(later, 0, c).astype(np.int32), later.astype(np.int8), d, p, again]
         for k in range(0, len(h), 100_000):
             cut = sent[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(a[k : k + 100_000][cut]) for a in arrays], ["key", "kind", "doc_id", "place", "again"])
+            yield pa.RecordBatch.from_arrays([pa.array(a[k : k + 100_000][cut]) for a in arrays], ["key", "second", "kind", "doc_id", "place", "again"])
 
 
-ROWS = "key long, kind byte, doc_id long, place int, again boolean"
+ROWS = "key long, second int, kind byte, doc_id long, place int, again boolean"
 
 
 def repeated_anchors(docs: DataFrame, window: int) -> DataFrame:
@@ -117,14 +126,15 @@ def repeated_anchors(docs: DataFrame, window: int) -> DataFrame:
             ids = batch.column(0).to_pylist()
             for first, last, hashes, at in word_hashes(batch.column(1).to_pylist(), False):
                 for k in range(first, last):
-                    places, found = anchors_of(hashes[at[k - first] : at[k - first + 1]], window)
-                    gather.add(found, ids[k], places)
+                    own = hashes[at[k - first] : at[k - first + 1]]
+                    places, found = anchors_of(own, window)
+                    gather.add(found, seconds(own, window // 2, places), ids[k], places)
                 if gather.size > GATHER:
                     yield from gather.settle()
         yield from gather.settle()
 
     rows = docs.mapInArrow(scan, ROWS)
-    met = rows.withColumn("n", F.count("*").over(Window.partitionBy("key", "kind")))
+    met = rows.withColumn("n", F.count("*").over(Window.partitionBy("key", "second", "kind")))
     return met.where("kind = 1 OR again OR n > 1").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
 
 
@@ -144,13 +154,13 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
                     # Only where rows of different texts share a doc_id can a place lie behind the text.
                     met = met[met <= len(own) - window // 2]
                     starts, found = candidates_of(own, window, met)
-                    gather.add(found, ids[k], starts)
+                    gather.add(found, seconds(own, window, starts), ids[k], starts)
                 if gather.size > GATHER:
                     yield from gather.settle()
         yield from gather.settle()
 
     rows = docs.select("doc_id", "text", "places").mapInArrow(scan, ROWS)
-    first = F.min(F.struct("doc_id", "place")).over(Window.partitionBy("key", "kind"))
+    first = F.min(F.struct("doc_id", "place")).over(Window.partitionBy("key", "second", "kind"))
     later = rows.withColumn("first", first).where((F.col("kind") == 1) | (F.struct("doc_id", "place") != F.col("first")))
     return later.groupBy("doc_id").agg(F.collect_set("place").alias("starts"))
 
