@@ -24,7 +24,7 @@ RULES = (
 )
 DAMPING = 0.85
 #: Ranks are settled when this many rounds add less than SETTLED to the sum of all ranks
-#: (at most 1 for trust and 1 for distrust); DAMPING bounds the rounds that this takes.
+#: (at most 1 for trust and distrust together); DAMPING bounds the rounds that this takes.
 STEPS, ROUNDS, SETTLED = 4, 120, 1e-5
 #: A host is blocked if its distrust is over this many times its trust.
 BLOCK_RATIO = 1.0
@@ -114,8 +114,10 @@ def url_verdicts(pages: DataFrame, rules=RULES, edges: DataFrame | None = None)
     The longest fitting rule decides; without one the host's trust and distrust do, and
     a host that neither reaches is allowed. `edges` (src, dst, weight) may come from a
     crawl; else they are taken from the pages' links and their site's ties. Null urls have
-    empty host and path and are allowed; repeated rows give repeated results; links to
-    hosts without pages carry rank as well. Extra columns are ignored."""
+    empty host and path and are allowed; repeated rows give repeated results, and a tie of trust
+    and distrust allows; links to hosts without pages carry rank as well; null and very long
+    html is searched whole for links. Extra columns are ignored, an empty table gives an empty
+    result."""
     spark = pages.sparkSession
     folder = work_dir(spark, "urls")
     verdict, rule = fitting_rule(F.col("host"), F.col("path"), rules)
@@ -130,8 +132,9 @@ def url_verdicts(pages: DataFrame, rules=RULES, edges: DataFrame | None = None)
     both = links.select(F.lit("good").alias("walk"), "src", "dst", "weight").union(back)
     sums = both.groupBy("walk", "src").agg(F.sum("weight").alias("all"))
     shares = store(both.join(sums, ["walk", "src"]).select("walk", "src", "dst", (F.col("weight") / F.col("all")).alias("share")), folder, "shares")
-    ruled = hosts.agg(*[F.sum(F.col(c) / F.col("n")).alias(c) for c in ("good", "bad")]).first()
-    starts = [hosts.where(F.col(c) > 0).select(F.lit(c).alias("walk"), "host", (F.col(c) / F.col("n") / (ruled[c] or 1.0)).alias("start"), (2 * F.col(c) > F.col("n")).alias("most")) for c in ("good", "bad")]
+    # One scale for both walks: a share of all pages that rules decide, whatever they say.
+    ruled = hosts.agg(F.sum((F.col("good") + F.col("bad")) / F.col("n"))).first()[0] or 1.0
+    starts = [hosts.where(F.col(c) > 0).select(F.lit(c).alias("walk"), "host", (F.col(c) / F.col("n") / ruled).alias("start"), (2 * F.col(c) > F.col("n")).alias("most")) for c in ("good", "bad")]
     seeds = store(starts[0].union(starts[1]), folder, "seeds")
     ranks = personalised_rank(shares, seeds, folder)
     # A rule on some paths says little about the host's other pages: its own start counts
