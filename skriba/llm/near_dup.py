@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skriba.llm.hashing import grams, mix, word_hashes
-from skriba.llm.shared import batch_rows, components, driver_rows, drop_listed, lean, likely, remove, store, work_dir
+from skriba.llm.shared import FILTER_BITS, batch_rows, components, driver_rows, drop_listed, id_filter, lean, likely, probable, remove, store, work_dir
 
 U = np.uint64
 COORDINATES, TREES, BRANCHES, LEVELS = 128, 4, 2, 12
@@ -116,7 +116,8 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     another text is not the listed one. The id filter runs before the join's exchange."""
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("t"), "text")
     found = rows.where(likely(rows, ids, "doc_id")).join(ids, ["doc_id", "t"])
-    return found.groupBy(F.col("doc_id").alias("doc")).agg(F.first("text").alias("text"))
+    # One text a document is listed, so this needs no other exchange than the join's.
+    return found.groupBy("doc_id", "t").agg(F.first("text").alias("text")).select(F.col("doc_id").alias("doc"), "text")
 
 
 def children(paths: np.ndarray, level: int, sketches: np.ndarray) -> np.ndarray:
@@ -129,17 +130,23 @@ def children(paths: np.ndarray, level: int, sketches: np.ndarray) -> np.ndarray:
     return out
 
 
-def roots(reps: DataFrame) -> DataFrame:
-    """First level: (node, doc, up) of every tree's children."""
+def roots(reps: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """First level: (node, doc, up) of every tree's children; with `only` those rows whose node
+    is probably in it."""
+    # Names are hashes already: their last bits are their slots.
+    bits = None if only is None else reps.sparkSession.sparkContext.broadcast(id_filter(only, "node", F.pmod("node", F.lit(FILTER_BITS))))
 
     def scan(batches):
         import pyarrow as pa
 
         for batch in batches:
             tokens = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, len(CHOSEN))
-            names = mix(tokens.astype(U) + (np.arange(1, len(CHOSEN) + 1).astype(U) << U(32))[None, :]).view(np.int64)
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(names.ravel()), pa.array(np.repeat(ids, len(CHOSEN)))], ["node", "doc"])
+            names = mix(tokens.astype(U) + (np.arange(1, len(CHOSEN) + 1).astype(U) << U(32))[None, :]).view(np.int64).ravel()
+            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), len(CHOSEN))
+            if bits is not None:
+                there = probable(names % FILTER_BITS, bits.value)
+                names, ids = names[there], ids[there]
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(ids)], ["node", "doc"])
 
     return reps.select("doc", "chosen").mapInArrow(lean(scan), "node long, doc long").withColumn("up", F.lit(1 << 60))
 
@@ -273,6 +280,7 @@ def _near_duplicates(docs: DataFrame, shingle_words: int, percent: int) -> tuple
     reps = table.join(heads, ["doc_id", "n", "d1", "d2"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("doc"), "n", "sketch", "chosen")
     reps = store(reps, folder, "reps")
     remove(spark, f"{folder}/features")
+    count = reps.count()
     links = driver_rows(spark, [], "a long, b long")
     labels = texts = have = None
     spent: list[str] = []
@@ -284,12 +292,12 @@ def _near_duplicates(docs: DataFrame, shingle_words: int, percent: int) -> tuple
     def need(ids, name):
         # Texts of these documents, as far as they are not there yet.
         nonlocal texts, have
-        ids = store(ids if have is None else ids.join(have, "doc_id", "left_anti"), folder, f"ids-{name}")
-        if not ids.isEmpty():
-            listed = kept_for_now(ids.join(members.select("doc_id", "t"), "doc_id"), f"listed-{name}")
+        ids = ids if have is None else ids.join(have, "doc_id", "left_anti")
+        listed = store(ids.join(members.select("doc_id", "t"), "doc_id"), folder, f"listed-{name}")
+        if not listed.isEmpty():
             more = store(texts_of(docs, listed), folder, f"texts-{name}")
             texts = more if texts is None else texts.unionByName(more)
-            have = ids if have is None else have.unionByName(ids)
+            have = listed.select("doc_id") if have is None else have.unionByName(listed.select("doc_id"))
 
     def connect(found, name):
         nonlocal links, labels
@@ -312,16 +320,16 @@ def _near_duplicates(docs: DataFrame, shingle_words: int, percent: int) -> tuple
         need(near.select(F.explode(F.array("doc") if crossing else F.array("a", "b")).alias("doc_id")).distinct(), name)
         connect(compare_sets(near, texts, shingle_words, percent) if crossing else confirm(near, texts, shingle_words, percent), name)
 
-    nodes = roots(reps)
+    nodes = None
     for level in range(LEVELS + 1):
         for crossing in (False, True):
             name = f"{level}-{'crossing' if crossing else 'pivot'}"
-            open_ = _open_nodes(nodes, labels and labels[0], kept_for_now, name)
+            open_ = _open_nodes(nodes, reps, labels and labels[0], kept_for_now, name)
             judge(_with_few(open_) if crossing else _with_pivot(open_, level), crossing, name)
         large = open_.where(F.col("few") > SMALL_NODE)
         # What is left may be little enough to be compared at once: then no more levels.
         work = large.agg(F.sum(F.col("size").cast("double"))).first()[0] or 0.0
-        last = level == LEVELS or work <= PAIRS_PER_DOC * reps.count()
+        last = level == LEVELS or work <= PAIRS_PER_DOC * count
         dense = _block_pairs(large if last else large.where("dense"))
         if work and not dense.isEmpty():
             judge(dense, True, f"{level}-dense")
@@ -347,21 +355,27 @@ def _near_duplicates(docs: DataFrame, shingle_words: int, percent: int) -> tuple
     return result, kept
 
 
-def _open_nodes(nodes: DataFrame, labels: DataFrame | None, kept_for_now, name: str) -> DataFrame:
-    """Rows of nodes whose documents are not all of one component: node, doc, label, size,
+def _open_nodes(nodes: DataFrame | None, reps: DataFrame, labels: DataFrame | None, kept_for_now, name: str) -> DataFrame:
+    """Rows of nodes (None: the first level's) whose documents are not all of one component: node, doc, label, size,
     pivot (the node's smallest document), main (the component of most documents), few (how
     many are not of it) and dense. Only rows whose node probably is such a one are shuffled."""
+
+    def labelled(rows):
+        if labels is None:
+            return rows.withColumn("label", F.col("doc"))
+        return rows.join(labels, "doc", "left").select("node", "doc", "up", F.coalesce("label", "doc").alias("label"))
+
+    rows = roots(reps) if nodes is None else nodes
     if labels is None:
-        labelled = nodes.withColumn("label", F.col("doc"))
-        stats = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("doc").alias("pivot"), F.max("up").alias("up")).where("size > 1")
+        stats = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("doc").alias("pivot"), F.max("up").alias("up")).where("size > 1")
         stats = stats.select("node", "size", "pivot", F.col("pivot").alias("main"), (F.col("size") - 1).alias("few"), "up")
     else:
-        labelled = nodes.join(labels, "doc", "left").select("node", "doc", "up", F.coalesce("label", "doc").alias("label"))
-        by_label = labelled.groupBy("node", "label").agg(F.count("*").alias("n"), F.min("doc").alias("least"), F.max("up").alias("up"))
+        by_label = labelled(rows).groupBy("node", "label").agg(F.count("*").alias("n"), F.min("doc").alias("least"), F.max("up").alias("up"))
         stats = by_label.groupBy("node").agg(F.sum("n").alias("size"), F.min("least").alias("pivot"), F.max(F.struct("n", "label")).alias("m"), F.max("up").alias("up"))
         stats = stats.select("node", "size", "pivot", F.col("m.label").alias("main"), (F.col("size") - F.col("m.n")).alias("few"), "up").where("few > 0")
     stats = kept_for_now(stats.select("node", "size", "pivot", "main", "few", (F.col("size") >= DENSE * F.col("up")).alias("dense")), f"stats-{name}")
-    return kept_for_now(labelled.drop("up").where(likely(labelled, stats, "node")).join(stats, "node"), f"open-{name}")
+    rows = roots(reps, stats) if nodes is None else nodes.where(likely(nodes, stats, "node"))
+    return kept_for_now(labelled(rows).drop("up").join(stats, "node"), f"open-{name}")
 
 
 def _parts():

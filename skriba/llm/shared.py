@@ -5,7 +5,9 @@ from __future__ import annotations
 import contextlib
 import gc
 import re
+import sys
 import tempfile
+import types
 import uuid
 
 import numpy as np
@@ -76,9 +78,19 @@ def relieve() -> None:
 RELIEF_BYTES = 1 << 24
 
 
-def lean(scan):
+def worker_cache(owner: str) -> dict:
+    """What a worker process keeps from task to task; one owner's at a time."""
+    kept = sys.modules.setdefault("_skriba_kept", types.ModuleType("_skriba_kept")).__dict__
+    if kept.get("_owner") != owner:
+        kept.clear()
+        kept["_owner"] = owner
+    return kept
+
+
+def lean(scan, owner: str = ""):
     """`scan` over batches (or columns), giving freed memory back now and then and at its
-    end: worker processes outlive their tasks, and many idle ones add up."""
+    end: worker processes outlive their tasks, and many idle ones add up. What another
+    `owner` has left in the process goes first."""
 
     def run(batches):
         def counted():
@@ -91,6 +103,7 @@ def lean(scan):
                     relieve()
                     passed = 0
 
+        worker_cache(owner)
         yield from scan(counted())
         relieve()
 
@@ -117,11 +130,11 @@ def shards(df: DataFrame, per_shard: int, rows: int) -> int:
 FILTER_BITS = 1 << 25
 
 
-def id_filter(ids: DataFrame, column: str) -> np.ndarray:
+def id_filter(ids: DataFrame, column: str, slot=None) -> np.ndarray:
     """A one-hash Bloom filter of the ids, always FILTER_BITS large: it only saves
     shuffling rows that a later join would drop, so being full loses nothing."""
     rows = (
-        ids.select((slot_of(column) + 1).alias("s"))
+        ids.select(((slot_of(column) if slot is None else slot) + 1).alias("s"))
         .select(F.bitmap_bucket_number("s").alias("b"), F.bitmap_bit_position("s").alias("p"))
         .groupBy("b")
         .agg(F.bitmap_construct_agg("p").alias("bits"))
@@ -177,8 +190,9 @@ def drop_listed(table: DataFrame, ids: DataFrame, column: str, folder: str) -> D
     return sure.unionByName(table.where(F.col(column).isNotNull()).where(mark).join(spared, column, "left_semi").select(*table.columns))
 
 
-#: Links that a task joins at once before it passes on what is left of them.
-LOCAL_LINKS = 500_000
+#: Links that a task joins at once before it passes on what is left of them; links that are
+#: few enough for one task to finish with (3 MB of them, whatever the input's size).
+LOCAL_LINKS, LAST_LINKS = 500_000, 200_000
 
 
 def _joined(batches):
@@ -207,17 +221,27 @@ def _joined(batches):
     yield stars()
 
 
+def _with_roots(stars: DataFrame) -> DataFrame:
+    """(node, component) of links (u, v) to centres, and of the centres themselves."""
+    each = stars.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("component")), F.struct(F.col("v").alias("node"), F.col("v").alias("component")))).alias("x"))
+    return each.select("x.*").distinct()
+
+
 def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     """Connected components of (a, b) links: rows (node, component), component being
     the smallest node reachable; only nodes with links appear.
 
     Each round joins the links that a task holds, then links every node's larger neighbours
     to its smallest one, then its smaller ones likewise (large star, small star): the number
-    of rounds grows with the logarithm of the longest path, the links never grow in number."""
+    of rounds grows with the logarithm of the longest path, the links never grow in number.
+    What is left of them after a round's first step is finished by one task if it is little."""
     spark = edges.sparkSession
     now, kept, at = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), [], 0
     while True:
         now = store(now.mapInArrow(lean(_joined), "u long, v long"), folder, f"{name}-{at}")
+        if now.limit(LAST_LINKS + 1).count() <= LAST_LINKS:
+            remove(spark, *kept)
+            return _with_roots(now.coalesce(1).mapInArrow(lean(_joined), "u long, v long"))
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: larger neighbours go to the least of the closed neighbourhood
@@ -231,6 +255,5 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
         # Done when the links are stars: one centre for each node, and no centre linked on.
         ends = small.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("centre")).union(small.select("v", F.lit(0), F.lit(1)))
         if ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("centre").alias("centre")).where("out + centre > 1").isEmpty():
-            roots = small.select(F.col("v").alias("u")).distinct().select("u", F.col("u").alias("v"))
-            return small.union(roots).select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return _with_roots(small)
         now, at = small, at + 1

@@ -18,8 +18,6 @@ from __future__ import annotations
 
 import re
 import struct
-import sys
-import types
 import zlib
 from array import array
 
@@ -27,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skriba.llm.shared import batch_rows, lean, store, work_dir
+from skriba.llm.shared import batch_rows, lean, store, work_dir, worker_cache
 
 # Fixed values of the seekable zstandard format.
 SEEK_MAGIC, SKIP_SEEK, SKIP_IDS = 0x8F92EAB1, 0x184D2A5E, 0x184D2A5D
@@ -69,7 +67,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         # A worker process runs many tasks: they share the vocabulary and what they have learned.
-        kept = sys.modules.setdefault("_skriba_chunks", types.ModuleType("_skriba_chunks")).__dict__
+        kept = worker_cache("chunks")
         if path not in kept:
             tokenizer = Tokenizer.from_file(path)
             kept[path] = tokenizer, [t.content for t in tokenizer.get_added_tokens_decoder().values()], {"": b""}, set()
@@ -276,7 +274,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, folder: str, sha
 
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
     names = ["shard", "doc_id", "crc", "part", "frame", "size", "checksum", "tokens"]
-    frames = rows.mapInArrow(lean(encode), "shard int, doc_id long, crc long, part int, frame binary, size long, checksum long, tokens long")
+    frames = rows.mapInArrow(lean(encode, "chunks"), "shard int, doc_id long, crc long, part int, frame binary, size long, checksum long, tokens long")
 
     def write(batches):
         import uuid
