@@ -2,14 +2,15 @@
 
 A payload is stored losslessly as an 8-bit grey image, 192 samples a row, in PNG
 (filter 0, zlib). Images go into plain tar files; a member's name is the SHA-256 of
-its payload, so equal payloads are one member of a shard. Rows carry the digest and
-the shard, offset and length of its one canonical copy, that of the first shard that
-has it. Metadata come from reading the header bytes alone, content by reading
-exactly the member's range.
-
-Each task writes the shard of its own rows, so no payload is ever shuffled; a digest
-that several shards hold keeps one canonical copy, and `orphans` lists the others for
-a later compaction.
+its payload, so equal payloads are one member. Rows carry the digest and the shard,
+offset and length of that member. Metadata columns come from reading the header bytes
+alone, content by reading exactly the member's range.
+
+A payload is stored once in all shards. A first pass finds the digests that more than one
+row has. A task then writes the payloads that no other row has into a shard of its own,
+unshuffled; of the repeated ones it passes on one copy each, and these are written by
+digest. A filter of fixed size says which digests are repeated: if it is full, more payloads
+than needed are passed on, and the result stays the same.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skriba.llm.shared import store, work_dir
+from skriba.llm.shared import FILTER_BITS, id_filter, lean, probable, remove, store, work_dir
 from skriba.llm.token_output import filesystem
 
 WIDTH = 192
@@ -86,64 +87,116 @@ def feature(samples: bytes) -> str:
     return f"h={len(x) // WIDTH};mean={x.mean():.4f};std={x.std():.4f};entropy={-(p * np.log2(p)).sum():.4f};high={counts[128:].sum() / len(x):.4f}"
 
 
-def store_media(docs: DataFrame, folder: str) -> DataFrame:
-    """Write the tar shards; returns one row per shard and digest: digest, shard, offset,
-    length, and the doc_ids and unpadded sizes of its rows there.
+class Shard:
+    """A tar file in the making; `add` returns where the member's image begins, and its length."""
 
-    Each scan task writes one shard, streaming: beside the digests it has seen it
-    holds one batch. A repeated task writes another file; the stored result names
-    the one that counted."""
-    spark = docs.sparkSession
+    def __init__(self, fs, base):
+        import uuid
 
-    def write(batches):
+        self.name, self.at = f"media-{uuid.uuid4().hex}.tar", 0
+        self.out = fs.open_output_stream(f"{base}/{self.name}", compression=None)
+
+    def add(self, digest: bytes, samples: bytes) -> tuple[int, int]:
         import tarfile
-        import uuid
 
+        image = to_png(samples)
+        info = tarfile.TarInfo(digest.hex() + ".png")
+        info.size = len(image)
+        head = info.tobuf(tarfile.PAX_FORMAT)
+        self.out.write(head + image + b"\0" * (-len(image) % 512))
+        offset = self.at + len(head)
+        self.at = offset + len(image) + -len(image) % 512
+        return offset, len(image)
+
+    def close(self):
+        self.out.write(b"\0" * 1024)
+        self.out.close()
+
+
+def repeated_digests(docs: DataFrame) -> DataFrame:
+    """Digests of payloads that more than one row has."""
+
+    def scan(batches):
         import pyarrow as pa
 
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(payload(t)).digest() for t in batch.column(0).to_pylist()], pa.binary())], ["digest"])
+
+    return docs.select("text").mapInArrow(lean(scan), "digest binary").groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+
+
+PLACES = "digest binary, shard string, offset long, length long, doc_ids array<long>, sizes array<long>, content binary"
+
+
+def store_media(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Write the tar shards; returns the members (digest, shard, offset, length), one a digest,
+    and the rows (digest, doc_ids, sizes), for every task and digest one at most.
+
+    Tasks stream: beside the repeated digests that it has met, a task holds one batch. A
+    repeated task writes another file; the stored result names the one that counted."""
+    spark = docs.sparkSession
+    repeated = store(repeated_digests(docs), folder, "repeated")
+    # A digest's own bits are its slot, in the filter as in the tasks.
+    slot = F.pmod(F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("long"), F.lit(FILTER_BITS))
+    bits = spark.sparkContext.broadcast(id_filter(repeated, "digest", slot))
+
+    def rows_of(found):
+        import pyarrow as pa
+
+        for k in range(0, len(found), 20_000):
+            part = found[k : k + 20_000]
+            types = [pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), types)], names)
+
+    def write(batches):
         fs, base = filesystem(folder)
-        name = f"media-{uuid.uuid4().hex}.tar"
-        out, at, found = None, 0, {}
+        shard, met = None, {}
         for batch in batches:
+            out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 samples = payload(text)
-                key = hashlib.sha256(samples).digest()
-                if key not in found:
-                    if out is None:
-                        out = fs.open_output_stream(f"{base}/{name}", compression=None)
-                    image = to_png(samples)
-                    info = tarfile.TarInfo(key.hex() + ".png")
-                    info.size = len(image)
-                    head = info.tobuf(tarfile.PAX_FORMAT)
-                    out.write(head + image + b"\0" * (-len(image) % 512))
-                    found[key] = (at + len(head), len(image), [], [])
-                    at += len(head) + len(image) + -len(image) % 512
-                place = found[key]
-                place[2].append(doc_id)
-                place[3].append(len((text or "").encode("utf-8", "surrogatepass")))
-        if out is not None:
-            out.write(b"\0" * 1024)
-            out.close()
-            places = list(found.items())
-            for k in range(0, len(places), 20_000):
-                part = places[k : k + 20_000]
-                yield pa.RecordBatch.from_pydict({"digest": [d for d, _ in part], "shard": [name] * len(part), "offset": [p[0] for _, p in part], "length": [p[1] for _, p in part], "doc_ids": pa.array([p[2] for _, p in part], pa.list_(pa.int64())), "sizes": pa.array([p[3] for _, p in part], pa.list_(pa.int64()))})
-
+                key, size = hashlib.sha256(samples).digest(), len((text or "").encode("utf-8", "surrogatepass"))
+                if probable(np.array([int.from_bytes(key[:7], "big") % FILTER_BITS]), bits.value)[0]:
+                    if key not in met:
+                        met[key] = [], []
+                        out.append((key, None, None, None, [], [], samples))
+                    met[key][0].append(doc_id)
+                    met[key][1].append(size)
+                else:
+                    shard = shard or Shard(fs, base)
+                    out.append((key, shard.name, *shard.add(key, samples), [doc_id], [size], None))
+            yield from rows_of(out)
+        if shard:
+            shard.close()
+        yield from rows_of([(key, None, None, None, ids, sizes, None) for key, (ids, sizes) in met.items()])
+
+    def write_repeated(batches):
+        fs, base = filesystem(folder)
+        shard = None
+        for batch in batches:
+            out = []
+            for key, samples in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                shard = shard or Shard(fs, base)
+                out.append((key, shard.name, *shard.add(key, samples), [], [], None))
+            yield from rows_of(out)
+        if shard:
+            shard.close()
+
+    names = [c.strip().split()[0] for c in PLACES.split(",")]
     fs, base = filesystem(folder)
     fs.create_dir(base, recursive=True)
-    schema = "digest binary, shard string, offset long, length long, doc_ids array<long>, sizes array<long>"
-    return store(docs.select("doc_id", "text").mapInArrow(write, schema), folder, "places")
-
-
-def canonical(places: DataFrame) -> DataFrame:
-    """One place per digest: that in the first shard by name."""
-    first = places.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("p"))
-    return first.select("digest", "p.*")
+    places = store(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(write), PLACES), folder, "places")
+    passed = places.where("content IS NOT NULL").groupBy("digest").agg(F.first("content").alias("content"))
+    more = store(passed.mapInArrow(lean(write_repeated), PLACES), folder, "more-places")
+    remove(spark, f"{folder}/repeated")
+    members = places.where("shard IS NOT NULL").union(more).select("digest", "shard", "offset", "length")
+    return members, places.where(F.size("doc_ids") > 0).select("digest", "doc_ids", "sizes")
 
 
-def orphans(places: DataFrame) -> DataFrame:
-    """Copies that no row refers to."""
-    return places.select("digest", "shard", "offset", "length").join(canonical(places), ["digest", "shard"], "left_anti")
+def header_at(handle, offset: int) -> dict:
+    """Metadata of the member whose image begins at `offset`: a range read of its header alone."""
+    handle.seek(offset)
+    return read_header(handle.read(HEADER_BYTES))
 
 
 def read_headers(found: DataFrame, folder: str) -> DataFrame:
@@ -153,25 +206,25 @@ def read_headers(found: DataFrame, folder: str) -> DataFrame:
         import pyarrow as pa
 
         fs, base = filesystem(folder)
-        handles = {}
+        name, handle = None, None
         for batch in batches:
             out = []
             for digest, shard, offset in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                if shard not in handles:
-                    handles = {shard: fs.open_input_file(f"{base}/{shard}")}
-                handles[shard].seek(offset)
-                h = read_header(handles[shard].read(HEADER_BYTES))
+                if shard != name:
+                    name, handle = shard, fs.open_input_file(f"{base}/{shard}")
+                h = header_at(handle, offset)
                 out.append((digest, h["width"], h["height"], h["depth"]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.binary(), pa.int32(), pa.int32(), pa.int32()])], ["digest", "width", "height", "depth"])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.binary(), pa.int32(), pa.int32(), pa.int32()])], ["digest", "width", "height", "depth"])
 
-    by_shard = found.select("digest", "shard", "offset").repartition("shard").sortWithinPartitions("shard", "offset")
-    return by_shard.mapInArrow(read, "digest binary, width int, height int, depth int")
+    by_shard = found.select("digest", "shard", "offset").repartition("shard", F.floor(F.col("offset") / F.lit(1 << 24))).sortWithinPartitions("shard", "offset")
+    return by_shard.mapInArrow(lean(read), "digest binary, width int, height int, depth int")
 
 
 def read_media(found: DataFrame, folder: str) -> DataFrame:
-    """Read each member's range back, hold the payload against its digest and compute
-    its columns: one row per digest."""
-    schema = "digest binary, shard string, offset long, length long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int"
+    """Metadata columns from each member's header alone; then its range is read back, the
+    payload held against its digest and its columns computed: one row per digest."""
+    schema = "digest binary, shard string, offset long, length long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, depth int"
 
     def read(batches):
         import pyarrow as pa
@@ -183,39 +236,40 @@ def read_media(found: DataFrame, folder: str) -> DataFrame:
             for digest, shard, offset, length in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 if shard != name:
                     name, handle = shard, fs.open_input_file(f"{base}/{shard}")
+                head = header_at(handle, offset)
                 handle.seek(offset)
                 image = handle.read(length)
                 samples = from_png(image)
                 sha = hashlib.sha256(samples)
                 if sha.digest() != digest:
                     raise ValueError(f"{shard}:{offset} does not hold its digest's content")
-                head = read_header(image[:HEADER_BYTES])
-                out.append((digest, shard, offset, length, len(samples), sha.hexdigest(), zlib.crc32(samples[-16:]), len(image), hashlib.sha256(image).hexdigest(), feature(samples), head["width"], head["height"]))
+                out.append((digest, shard, offset, length, len(samples), sha.hexdigest(), zlib.crc32(samples[-16:]), len(image), hashlib.sha256(image).hexdigest(), feature(samples), head["width"], head["height"], head["depth"]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
     import pyarrow as pa
 
-    types = [pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32()]
+    types = [pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
     names = [c.strip().split()[0] for c in schema.split(",")]
-    return found.select("digest", "shard", "offset", "length").repartition("shard", F.floor(F.col("offset") / F.lit(1 << 24))).sortWithinPartitions("shard", "offset").mapInArrow(read, schema)
+    return found.select("digest", "shard", "offset", "length").repartition("shard", F.floor(F.col("offset") / F.lit(1 << 24))).sortWithinPartitions("shard", "offset").mapInArrow(lean(read), schema)
 
 
 def media_table(docs: DataFrame) -> DataFrame:
     """One row per row of `docs`: doc_id, n_bytes, payload_bytes, payload_sha256,
-    tail_crc32, media_bytes, media_sha256, feature, and shard, offset, length, width
-    and height of the stored form.
+    tail_crc32, media_bytes, media_sha256, feature, shard, offset and length of the stored
+    form, and its metadata columns width, height and depth, from reads of its header alone.
 
-    Null and empty texts are one row of spaces. Equal texts have equal values and the
+    Null and empty texts are one row of spaces. Equal payloads have equal values and the
     same place. Repeated rows give repeated results, a null doc_id is returned as
-    null, extra columns are ignored, an empty table gives an empty result."""
+    null, very long texts are one image, extra columns are ignored, an empty table gives an
+    empty result."""
     folder = work_dir(docs.sparkSession, "media")
-    places = store_media(docs, folder)
-    read = store(read_media(canonical(places), folder), folder, "read")
-    # A digest comes once a shard here, however many rows have it; they spread behind the join.
-    rows = places.select("digest", "doc_ids", "sizes")
+    members, rows = store_media(docs, folder)
+    read = store(read_media(members, folder), folder, "read")
+    remove(docs.sparkSession)
+    # A digest comes once a task here, however many rows have it; they spread behind the join.
     each = rows.join(read, "digest").withColumn("row", F.explode(F.arrays_zip("doc_ids", "sizes")))
-    return each.select(F.col("row.doc_ids").alias("doc_id"), F.col("row.sizes").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "offset", "length", "width", "height")
+    return each.select(F.col("row.doc_ids").alias("doc_id"), F.col("row.sizes").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "offset", "length", "width", "height", "depth")
 
 
-__all__ = ["canonical", "feature", "from_png", "media_table", "orphans", "payload", "read_header", "read_headers", "read_media", "store_media", "to_png"]
+__all__ = ["Shard", "feature", "from_png", "header_at", "media_table", "payload", "read_header", "read_headers", "read_media", "repeated_digests", "store_media", "to_png"]
