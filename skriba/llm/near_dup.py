@@ -46,8 +46,6 @@ SMALL_NODE = 128
 PAIRS_PER_DOC = 1_000
 #: A large node is dense if it has this share of its parent's documents; documents of a part of it.
 DENSE, DENSE_PART = 0.5, 512
-#: Documents that are held against one in a task.
-STAR_PART = 512
 #: Rows with texts that a Python worker gets at once.
 WIDE_ROWS = 1_000
 _random = np.random.Generator(np.random.PCG64(4111))
@@ -172,8 +170,8 @@ def compare_blocks(blocks: DataFrame, reps: DataFrame, percent: int, crossing: b
     """What sketches say about the documents of a block, from rows (block, doc, label);
     blocks are bounded, and read one at a time from rows sorted by block.
 
-    Not `crossing`: (a, b), each document's pair with its smallest similar one. `crossing`:
-    (block, doc, label) of the documents that are similar to one of another label."""
+    Not `crossing`: (a, b, block), each document's pair with its smallest similar one, and a block
+    that it was met in. `crossing`: (block, doc, label) of the documents that are similar to one of another label."""
     needed = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / COORDINATES) ** 0.5
 
     def alike(sizes, sketches, labels):
@@ -191,9 +189,9 @@ def compare_blocks(blocks: DataFrame, reps: DataFrame, percent: int, crossing: b
             found = [i for i, near in enumerate(alike(sizes, sketches, labels)) if len(near)]
             return [held[0][0]] * len(found), docs[found].tolist(), labels[found].tolist()
         pairs = {(min(i, near[0]), max(i, near[0])) for i, near in enumerate(alike(sizes, sketches, labels)) if len(near)}
-        return [int(docs[i]) for i, _ in pairs], [int(docs[j]) for _, j in pairs]
+        return [int(docs[i]) for i, _ in pairs], [int(docs[j]) for _, j in pairs], [held[0][0]] * len(pairs)
 
-    names = ["block", "doc", "label"] if crossing else ["a", "b"]
+    names = ["block", "doc", "label"] if crossing else ["a", "b", "block"]
 
     def scan(batches):
         import pyarrow as pa
@@ -214,7 +212,7 @@ def compare_blocks(blocks: DataFrame, reps: DataFrame, percent: int, crossing: b
 
     rows = blocks.join(reps.select("doc", "n", "sketch"), "doc").select("block", "doc", "label", "n", "sketch")
     found = rows.repartition("block").sortWithinPartitions("block").mapInArrow(lean(scan), ", ".join(f"{n} long" for n in names))
-    return found if crossing else found.distinct()
+    return found if crossing else found.groupBy("a", "b").agg(F.min("block").alias("block"))
 
 
 def sets_of(texts, n: int):
@@ -225,8 +223,8 @@ def sets_of(texts, n: int):
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the similarity. Every `a` meets its partners, at
-    most about STAR_PART of them, in one task: its set is held, theirs pass by."""
+    """Pairs (a, b, block) whose full sets reach the similarity. Every `a` meets its partners of a
+    block, which are fewer than a block's documents, in one task: its set is held, theirs pass by."""
 
     def scan(batches):
         import pyarrow as pa
@@ -245,9 +243,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
                         out[1].append(doc[k])
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b"])
 
-    parts = F.ceil(F.col("k") / F.lit(STAR_PART)).cast("int")
-    sized = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("k")), "a")
-    dealt = sized.select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), parts)).alias("block"))
+    dealt = pairs.select("a", "b", F.xxhash64("a", "block").alias("block"))
     rows = dealt.select("block", F.lit(1).alias("role"), F.col("b").alias("doc")).union(dealt.select("block", F.lit(0).alias("role"), F.col("a").alias("doc")).distinct())
     held = rows.join(texts, "doc").select("block", "role", "doc", "text")
     return held.repartition("block").sortWithinPartitions("block", "role").mapInArrow(lean(scan), "a long, b long")
@@ -302,30 +298,34 @@ def _near_duplicates(docs: DataFrame, shingle_words: int, percent: int) -> tuple
     def connect(found, name):
         nonlocal links, labels
         found = store(found, folder, f"links-{name}")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            if labels is not None:
-                # What was connected before stays so as stars; only their links and the new ones count.
-                spent.append(labels[1])
-                found = labels[0].select(F.col("doc").alias("a"), F.col("label").alias("b")).where("a <> b").unionByName(found)
-            found = components(found, f"{folder}/cc-{name}", "cc").select(F.col("node").alias("doc"), F.col("component").alias("label"))
-            labels = store(found, folder, f"labels-{name}"), f"{folder}/labels-{name}"
-            spent.append(f"{folder}/cc-{name}")
+        if found.isEmpty():
+            return False
+        links = links.unionByName(found)
+        if labels is not None:
+            # What was connected before stays so as stars; only their links and the new ones count.
+            spent.append(labels[1])
+            found = labels[0].select(F.col("doc").alias("a"), F.col("label").alias("b")).where("a <> b").unionByName(found)
+        found = components(found, f"{folder}/cc-{name}", "cc").select(F.col("node").alias("doc"), F.col("component").alias("label"))
+        labels = store(found, folder, f"labels-{name}"), f"{folder}/labels-{name}"
+        spent.append(f"{folder}/cc-{name}")
+        return True
 
     def judge(rows, crossing, name):
         # Sketches first; texts travel only for what they let pass.
         near = kept_for_now(compare_blocks(rows, reps, percent, crossing), f"near-{name}")
         if near.isEmpty():
-            return
+            return False
         need(near.select(F.explode(F.array("doc") if crossing else F.array("a", "b")).alias("doc_id")).distinct(), name)
-        connect(compare_sets(near, texts, shingle_words, percent) if crossing else confirm(near, texts, shingle_words, percent), name)
+        return connect(compare_sets(near, texts, shingle_words, percent) if crossing else confirm(near, texts, shingle_words, percent), name)
 
     nodes = None
     for level in range(LEVELS + 1):
+        open_, changed = None, True
         for crossing in (False, True):
             name = f"{level}-{'crossing' if crossing else 'pivot'}"
-            open_ = _open_nodes(nodes, reps, labels and labels[0], kept_for_now, name)
-            judge(_with_few(open_) if crossing else _with_pivot(open_, level), crossing, name)
+            # Without new links the nodes are open as they were.
+            open_ = _open_nodes(nodes, reps, labels and labels[0], kept_for_now, name) if changed else open_
+            changed = judge(_with_few(open_) if crossing else _with_pivot(open_, level), crossing, name)
         large = open_.where(F.col("few") > SMALL_NODE)
         # What is left may be little enough to be compared at once: then no more levels.
         work = large.agg(F.sum(F.col("size").cast("double"))).first()[0] or 0.0
