@@ -17,8 +17,9 @@ is compared with its smallest similar one of a node, then with all others that t
 not connected it with: links found so far give every document a component, a node whose
 documents are all of one component is done, and pairs inside a component are never
 made. So a large group of near copies costs its own size at every level, not its
-square, and nothing is capped: a node that has used all its levels is compared
-in blocks, by sketches first like any other.
+square, and nothing is capped: in a node that has used all its levels, or where that
+takes few pairs, the documents outside its main component are compared with all others in
+blocks, by sketches first like any other.
 
 What travels is a sketch for each document and eight bytes for each node it is in; texts
 travel only for documents with a similar sketch. Tables of a level are deleted when the
@@ -42,7 +43,8 @@ U = np.uint64
 COORDINATES, TREES, BRANCHES, LEVELS = 128, 4, 2, 12
 #: Documents of a node that are compared exhaustively.
 SMALL_NODE = 128
-#: Large nodes are finished in blocks as soon as that takes at most so many pairs a document.
+#: Large nodes are finished in blocks as soon as that takes at most so many pairs a document:
+#: those of documents outside a node's main component with all of the node.
 PAIRS_PER_DOC = 1_000
 #: A large node is dense if it has this share of its parent's documents; documents of a part of it.
 DENSE, DENSE_PART = 0.5, 512
@@ -122,7 +124,7 @@ def children(paths: np.ndarray, level: int, sketches: np.ndarray) -> np.ndarray:
     """Names of the children that documents with these sketches go to from these nodes."""
     out = np.empty((len(paths), BRANCHES), U)
     for b in range(BRANCHES):
-        seed = mix(paths + U(level) * U(0xD6E8FEB86659FD93) + U(b + 1) * U(0xA0761D6478BD642F))
+        seed = mix(paths + U((level * 0xD6E8FEB86659FD93 + (b + 1) * 0xA0761D6478BD642F) % (1 << 64)))
         token = sketches[np.arange(len(paths)), (seed >> U(40)).astype(np.int64) % COORDINATES]
         out[:, b] = mix(seed ^ (token.astype(U) + U(1)) * U(0x2545F4914F6CDD1D))
     return out
@@ -325,25 +327,26 @@ def _near_duplicates(docs: DataFrame, shingle_words: int, percent: int) -> tuple
             name = f"{level}-{'crossing' if crossing else 'pivot'}"
             # Without new links the nodes are open as they were.
             open_ = _open_nodes(nodes, reps, labels and labels[0], kept_for_now, name) if changed else open_
-            changed = judge(_with_few(open_) if crossing else _with_pivot(open_, level), crossing, name)
-        large = open_.where(F.col("few") > SMALL_NODE)
-        # What is left may be little enough to be compared at once: then no more levels.
-        work = large.agg(F.sum(F.col("size").cast("double"))).first()[0] or 0.0
-        last = level == LEVELS or work <= PAIRS_PER_DOC * count
-        dense = _block_pairs(large if last else large.where("dense"))
-        if work and not dense.isEmpty():
-            judge(dense, True, f"{level}-dense")
+            if not crossing:
+                changed = judge(_with_pivot(open_, level), False, name)
+                continue
+            # What is left may be little enough to be compared at once: then no more levels.
+            large = open_.where(F.col("few") > SMALL_NODE)
+            work = large.agg(F.sum(F.col("few").cast("double"))).first()[0] or 0.0
+            last = level == LEVELS or work <= PAIRS_PER_DOC * count
+            judge(_across(open_ if last else open_.where((F.col("few") <= SMALL_NODE) | F.col("dense"))), True, name)
         large = large.where("NOT dense")
         done = last or large.isEmpty()
         if not done:
             nodes = store(branch(large.select("node", "doc", "size"), reps, level + 1), folder, f"nodes-{level + 1}")
             spent.append(f"{folder}/nodes-{level}")
-        open_ = large = dense = None
+        open_ = large = None
         remove(spark, *spent)
         spent.clear()
         if done:
             break
-    degree = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
+    # Two blocks may tell the same link.
+    degree = links.distinct().select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
     told = classes.join(degree, "class_id", "left")
     told = told.join(labels[0].withColumnRenamed("doc", "class_id"), "class_id", "left") if labels else told.withColumn("label", F.lit(None).cast("long"))
     joined = members.join(told.select("n", "d1", "d2", "class_id", "label", "n_links"), ["n", "d1", "d2"], "left")
@@ -391,23 +394,21 @@ def _with_pivot(open_: DataFrame, level: int) -> DataFrame:
     return rows.union(spread.select(F.xxhash64("node", F.col("part").cast("long")).alias("block"), "doc", "label")).distinct()
 
 
-def _with_few(open_: DataFrame) -> DataFrame:
-    """(block, doc, label) of nodes with few documents outside their main component: the
-    others in parts, those few in every part."""
-    near = open_.where(F.col("few") <= SMALL_NODE)
-    rows = near.where("label = main").select(F.xxhash64("node", F.pmod(F.xxhash64("doc"), _parts())).alias("block"), "doc", "label")
-    few = near.where("label <> main").select("node", "doc", "label", F.explode(F.sequence(F.lit(0), _parts() - 1)).alias("part"))
-    return rows.union(few.select(F.xxhash64("node", F.col("part").cast("long")).alias("block"), "doc", "label"))
+def _across(open_: DataFrame) -> DataFrame:
+    """(block, doc, label) so that every document outside the main component of its node meets
+    every other document of the node: those documents in parts, all documents in parts, and
+    every part of the ones with every part of the others as one block."""
+    part = F.when(F.col("few") <= SMALL_NODE, SMALL_NODE).otherwise(DENSE_PART)
+    few_parts, parts = (F.ceil(F.col(c) / part).cast("int") for c in ("few", "size"))
+    few_own, own = F.pmod(F.xxhash64("doc", F.lit(1)), few_parts), F.pmod(F.xxhash64("doc"), parts)
 
+    def block(i, j):
+        return F.xxhash64("node", i.cast("long"), j.cast("long"))
 
-def _block_pairs(open_: DataFrame) -> DataFrame:
-    """(block, doc, label) so that every two documents of a node meet in a block: parts of
-    at most about DENSE_PART documents, and every two parts as one block."""
-    parts = F.ceil(F.col("size") / F.lit(DENSE_PART)).cast("int")
-    own = F.pmod(F.xxhash64("doc"), parts).cast("int")
-    others = F.when(parts == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), parts - 1), own))
-    rows = open_.select("node", "doc", "label", own.alias("own"), F.explode(others).alias("other"))
-    return rows.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "doc", "label")
+    as_any = F.transform(F.sequence(F.lit(0), few_parts - 1), lambda i: block(i, own))
+    as_few = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: block(few_own, j))
+    blocks = F.when(F.col("label") == F.col("main"), as_any).otherwise(F.array_union(as_any, as_few))
+    return open_.select(F.explode(blocks).alias("block"), "doc", "label")
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -436,7 +437,8 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 def compare_sets(blocks: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (a < b) between documents of a block by their full sets: of each block those
-    that join documents which neither earlier components nor its other links join."""
+    that join documents which neither earlier components nor its other links join.
+    Two blocks may tell the same link."""
 
     def forest(docs, labels, items):
         order = np.argsort(docs)
@@ -479,7 +481,7 @@ def compare_sets(blocks: DataFrame, texts: DataFrame, n: int, percent: int) -> D
             yield told()
 
     rows = blocks.join(texts, "doc").select("block", "doc", "label", "text")
-    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(lean(scan), "a long, b long").distinct()
+    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(lean(scan), "a long, b long")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
