@@ -524,3 +524,18 @@ def test_pipeline_runs(spark, tmp_path):
     kept = {i for i, (_, top) in near_brute({r[0]: r[1] for r in rows}, 5).items() if i == top}
     assert got and {r.doc_id for r in got} <= kept and max(collections.Counter(r.doc_id for r in got).values()) <= 2
     assert sorted(r.start for r in got)[0] == 0
+
+
+def test_documents_outside_a_main_component_meet_all_others(spark):
+    from skriba.llm.near_dup import _across
+
+    rows = [(1, d, 0 if d < 800 else d, 1400, 0, 600) for d in range(1400)] + [(2, d, 0 if d < 200 else d, 203, 0, 3) for d in range(203)]
+    told = _across(spark.createDataFrame(rows, "node long, doc long, label long, size long, main long, few long")).collect()
+    assert len({(r.block, r.doc) for r in told}) == len(told)
+    blocks = {}
+    for r in told:
+        blocks.setdefault(r.block, []).append((r.doc, r.label))
+    met = {(a, b) for held in blocks.values() for a, x in held for b, y in held if a < b and x != y}
+    wanted = {(a[1], b[1]) for node in (1, 2) for a in rows for b in rows if a[0] == b[0] == node and a[1] < b[1] and a[2] != b[2]}
+    assert wanted <= met
+    assert max(map(len, blocks.values())) < 1200
