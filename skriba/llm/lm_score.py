@@ -1,20 +1,21 @@
 """Language-model scores by a hierarchical Pitman-Yor model.
 
-Every context has a restaurant of its own: the context of a token is the word before it,
-by the leading bits of its hash (CONTEXTS of them, and one for the start of a text).
-Their customers are training tokens, their tables send a customer each to the
-one parent restaurant, whose own tables draw from the uniform distribution over the
-vocabulary and one unseen type. Seating is sampled by Gibbs: in every sweep each dish of
+Every context has a restaurant of its own: the context of a token is the word before it (or
+the start of the text). Their customers are training tokens, their tables send a customer
+each to the one parent restaurant, whose own tables draw from the uniform distribution over
+the vocabulary and one unseen type. Seating is sampled by Gibbs: in every sweep each dish of
 each restaurant gets its number of tables anew from its exact conditional given its
 customers (generalised Stirling numbers), with the parent's probabilities and the
 restaurants' totals of the sweep before, as is usual when sampling is distributed. The
 predictive probabilities of the sweeps after BURN are averaged.
 
-A dish's seating needs its own counts and a few totals only. So tokens are dealt by word:
-one shuffle brings all occurrences of a word, with their documents, into one task, which
-counts, seats, and scores them, and returns one sum per document. Words frequent enough
-to be a burden on one task (their number is bounded by 2 / HEAVY) do not travel: their
-counts are summed in the map tasks, seated on the driver and broadcast.
+A cell is a word in a context. Texts are read in runs of about GATHER tokens; a run sends each of its
+cells once, with its count, to a partition by the hash of word and context, so frequent words
+and pairs are no burden on one task. Neither a context's totals nor a word's at the parent are
+in one partition: in every sweep partitions send their sums, once for each word and context that
+they hold, to owners by the word's hash, which add them up, seat the parent's dishes and
+answer. At the end each cell's score goes back to the runs that have sent it. What partitions
+keep between sweeps are files of the shared folder, named by the rows that pass between them.
 """
 
 from __future__ import annotations
@@ -24,22 +25,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skriba.llm.hashing import mix, word_hashes
-from skriba.llm.shared import store, work_dir
+from skriba.llm.shared import batch_rows, lean, remove, store, work_dir
+from skriba.llm.token_output import filesystem
 
 U = np.uint64
+#: Numbered contexts of a seating in one process, besides the last; tables have as many as words.
 CONTEXTS = 64
-START = CONTEXTS
 #: Discounts and strengths of the context restaurants and of their parent.
 DISCOUNT, STRENGTH, PARENT_DISCOUNT, PARENT_STRENGTH = 0.7, 20.0, 0.6, 50.0
 BURN, SAMPLES = 1, 3
-#: A word of a higher share of the training tokens is heavy.
-HEAVY = 1 / 8192
-#: Tokens that a map task gathers before it sends them; tokens of a partition.
-GATHER, PER_PART = 3_000_000, 6_000_000
+#: Tokens of a run; bytes of text for a partition of cells.
+GATHER, PART_BYTES = 3_000_000, 36_000_000
+#: Rows that workers get at once where each is an array.
+WIDE_ROWS = 16
 #: Customers of a dish that are seated by their exact conditional; the rest by expectation.
 EXACT = 32
-#: The hash that stands for a text's end.
-END = U(0x0123456789ABCDEF)
+#: The hashes that stand for a text's end and, as a context, for its start.
+END, START = U(0x0123456789ABCDEF), U(0xFEDCBA9876543210)
 
 
 def stirling(discount: float, n: int) -> np.ndarray:
@@ -53,18 +55,21 @@ def stirling(discount: float, n: int) -> np.ndarray:
     return out
 
 
-def sample_tables(customers: np.ndarray, rate: np.ndarray, discount: float, numbers: np.ndarray, rng) -> np.ndarray:
-    """Tables of dishes with these customers: from P(t) ~ S(c, t) rate**t up to EXACT
-    customers, and in expectation for those beyond (each opens a table with the chance
-    rate / (rate + customers - discount * tables))."""
+def sample_tables(customers: np.ndarray, rate: np.ndarray, discount: float, numbers: np.ndarray, chance: np.ndarray) -> np.ndarray:
+    """Tables of dishes with these customers, by one uniform number each: from
+    P(t) ~ S(c, t) rate**t up to EXACT customers, and in expectation for those beyond (each
+    opens a table with the chance rate / (rate + customers - discount * tables))."""
     tables = np.minimum(customers, 1).astype(np.float64)
     some = np.flatnonzero(customers > 1)
-    for at in range(0, len(some), 200_000):
-        part = some[at : at + 200_000]
-        c = np.minimum(customers[part], EXACT).astype(int)
-        t = np.arange(EXACT + 1)
-        weights = numbers[c] + t[None, :] * np.log(rate[part])[:, None]
-        tables[part] = np.argmax(weights + rng.gumbel(size=weights.shape), axis=1)
+    few = np.minimum(customers[some], EXACT).astype(np.uint8)
+    order = np.argsort(few, kind="stable")
+    some, few = some[order], few[order]
+    for at in range(0, len(some), 100_000):
+        part, c = some[at : at + 100_000], few[at : at + 100_000]
+        t = np.arange(1, int(c[-1]) + 1)
+        weights = numbers[c, 1 : len(t) + 1] + t[None, :] * np.log(rate[part])[:, None]
+        upto = np.cumsum(np.exp(weights - weights.max(axis=1, keepdims=True)), axis=1)
+        tables[part] = 1 + (upto[:, :-1] <= (chance[part] * upto[:, -1])[:, None]).sum(axis=1)
     large = np.flatnonzero(customers > EXACT)
     if len(large):
         n, t, r, goal = np.full(len(large), float(EXACT)), tables[large], rate[large], customers[large].astype(float)
@@ -76,9 +81,19 @@ def sample_tables(customers: np.ndarray, rate: np.ndarray, discount: float, numb
     return tables
 
 
+def chances(keys: np.ndarray, sweep: int) -> np.ndarray:
+    """A uniform number for each key, anew in every sweep and the same in every task."""
+    return (mix(keys ^ mix(np.array([sweep + 1], U))) >> U(11)) * 2.0**-53
+
+
+def at_parent(sent, tables, all_sent: float, all_tables: float, base: float):
+    """The parent's predictive probability of words by their customers and tables there."""
+    return (sent - PARENT_DISCOUNT * tables + (PARENT_STRENGTH + PARENT_DISCOUNT * all_tables) * base) / (PARENT_STRENGTH + all_sent)
+
+
 class Seating:
-    """Restaurants of the dishes (words) that one task holds. `word`, `context` and
-    `customers` describe its cells: the dishes of the context restaurants."""
+    """The whole model in one process: `word`, `context` (numbers) and `customers` describe its
+    cells, the dishes of the context restaurants. What `language_scores` is held against."""
 
     def __init__(self, words: int, word, context, customers, settings: dict, seed: int):
         self.words, self.word, self.context, self.customers = words, word, context, customers
@@ -93,21 +108,19 @@ class Seating:
 
     def totals(self) -> np.ndarray:
         """Tables by context, then the parent's tables."""
-        return np.concatenate((np.bincount(self.context, self.tables, CONTEXTS + 1), [self.parent_tables.sum()]))
+        return np.concatenate((np.bincount(self.context, self.tables, len(self.settings["customers"])), [self.parent_tables.sum()]))
 
     def parent(self, totals) -> np.ndarray:
         """The parent's predictive probability of every word; totals are the corpus's."""
-        all_sent = totals[:-1].sum()
-        new = (PARENT_STRENGTH + PARENT_DISCOUNT * totals[-1]) * self.settings["base"]
-        return (self.sent - PARENT_DISCOUNT * self.parent_tables + new) / (PARENT_STRENGTH + all_sent)
+        return at_parent(self.sent, self.parent_tables, totals[:-1].sum(), totals[-1], self.settings["base"])
 
     def sweep(self, totals) -> None:
         """Sample all tables given the corpus's totals before."""
         rate = (STRENGTH + DISCOUNT * totals[self.context]) * self.parent(totals)[self.word]
-        self.tables = sample_tables(self.customers, rate, DISCOUNT, self.numbers[0], self.rng)
+        self.tables = sample_tables(self.customers, rate, DISCOUNT, self.numbers[0], self.rng.random(len(self.customers)))
         self._at_parent()
         root = (PARENT_STRENGTH + PARENT_DISCOUNT * totals[-1]) * self.settings["base"]
-        self.parent_tables = sample_tables(self.sent, np.full(self.words, root), PARENT_DISCOUNT, self.numbers[1], self.rng)
+        self.parent_tables = sample_tables(self.sent, np.full(self.words, root), PARENT_DISCOUNT, self.numbers[1], self.rng.random(self.words))
 
     def predictive(self, totals) -> np.ndarray:
         """Probability of every cell's word after its context."""
@@ -132,188 +145,331 @@ class Seating:
 
 def tokens_of(texts):
     """Yields (first, last, tokens, contexts, offsets) for runs of texts: hashes of words and
-    one end each, and the number of the context that each token stands in."""
+    one end each, and of the word before each (START at a text's beginning)."""
     for first, last, hashes, at in word_hashes(texts, True):
         n = last - first
-        sizes = np.diff(at)
-        offsets = np.concatenate(([0], np.cumsum(sizes + 1)))
+        offsets = np.concatenate(([0], np.cumsum(np.diff(at) + 1)))
         tokens = np.empty(len(hashes) + n, U)
         ends = offsets[1:] - 1
         body = np.ones(len(tokens), bool)
         body[ends] = False
         tokens[body] = hashes
         tokens[ends] = END
-        contexts = np.empty(len(tokens), np.uint8)
-        contexts[1:] = (tokens[:-1] >> U(58)).astype(np.uint8)
+        contexts = np.empty(len(tokens), U)
+        contexts[1:] = tokens[:-1]
         contexts[offsets[:-1]] = START
         yield first, last, tokens, contexts, offsets
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+def pair_keys(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    """Hashes of cells, which draw their chances; cells are told apart by both words."""
+    return mix(words * U(0x9E3779B97F4A7C15) + contexts)
 
 
-def corpus_totals(docs: DataFrame) -> tuple[dict, np.ndarray]:
-    """Number of tokens, training tokens and customers by context; and the heavy words.
+def places(words: np.ndarray, contexts: np.ndarray, parts: int) -> np.ndarray:
+    """Partitions of cells: a word's are in an eighth of them at most, by its contexts, so that a frequent
+    word's cells are no burden on one and a word is not held in all."""
+    salt = mix(contexts + START) % U(max(1, parts // 8))
+    return ((pair_keys(words, salt) >> U(24)) % U(parts)).astype(np.uint32)
 
-    A word with HEAVY of all training tokens has at least half that share of the tokens
-    of runs in which it has half of HEAVY; so summing such runs finds all heavy words
-    among at most 2 / HEAVY."""
 
-    def scan(batches):
-        import pyarrow as pa
+def _row(schema: list, values: tuple):
+    """A record batch of one row; arrays go as their bytes."""
+    import pyarrow as pa
 
-        held: list = []
-        size = 0
-        counts = np.zeros(CONTEXTS + 2, np.int64)
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    columns = [pa.array([v.tobytes() if isinstance(v, np.ndarray) else v], kinds[k]) for (_, k), v in zip(schema, values)]
+    return pa.RecordBatch.from_arrays(columns, [n for n, _ in schema])
 
-        def heavy():
-            if not size:
-                return
-            words, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= HEAVY / 2 * size
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(often.sum(), np.int8)), pa.array(_signed(words[often])), pa.array(n[often])], ["kind", "item", "n"])
 
-        for batch in batches:
-            train = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for first, last, tokens, contexts, offsets in tokens_of(batch.column(0).to_pylist()):
-                known = np.repeat(train[first:last], np.diff(offsets))
-                counts[CONTEXTS + 1] += len(tokens)
-                counts[: CONTEXTS + 1] += np.bincount(contexts[known], minlength=CONTEXTS + 1)
-                held.append(tokens[known])
-                size += len(held[-1])
-                if size > GATHER:
-                    yield from heavy()
-                    held, size = [], 0
-        yield from heavy()
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(counts), np.int8)), pa.array(np.arange(len(counts))), pa.array(counts)], ["kind", "item", "n"])
+def planes(x: np.ndarray) -> np.ndarray:
+    """The first bytes of all numbers, then the second ones and so on: small numbers then pack well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T)
 
-    found = docs.select("text", "train").mapInArrow(scan, "kind byte, item long, n long").groupBy("kind", "item").agg(F.sum("n").alias("n"))
-    totals = {r.item: r.n for r in found.where("kind = 1").collect()}
-    trained = sum(totals.get(k, 0) for k in range(CONTEXTS + 1))
-    words = found.where((F.col("kind") == 0) & (F.col("n") >= HEAVY / 2 * trained)).collect()
-    heavy = np.sort(np.array([r.item for r in words] + [int(END)], np.int64).view(U))
-    settings = {"tokens": totals.get(CONTEXTS + 1, 0), "trained": trained, "customers": [totals.get(k, 0) for k in range(CONTEXTS + 1)]}
-    return settings, np.unique(heavy)
 
+def numbers_of(raw, kind) -> np.ndarray:
+    kind = np.dtype(kind)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
 
-def deal(docs: DataFrame, heavy: np.ndarray, parts: int) -> DataFrame:
-    """Rows for each partition of words: documents, words and contexts of all occurrences
-    of other than heavy words (the context's highest bit: a training token); and, as
-    partition -1, counts of heavy cells."""
 
-    def scan(batches):
-        import pyarrow as pa
+def rising(x: np.ndarray) -> np.ndarray:
+    """Planes of the steps between sorted hashes."""
+    return planes(np.diff(x, prepend=U(0)))
+
+
+def risen(raw) -> np.ndarray:
+    return np.cumsum(numbers_of(raw, U), dtype=U)
+
+
+def _schema(text: str) -> list:
+    return [tuple(x.split()) for x in text.split(", ")]
+
+
+def _rows(batches):
+    for batch in batches:
+        yield from zip(*(column.to_pylist() for column in batch.columns))
+
+
+def save(folder: str, name: str, *arrays: np.ndarray) -> str:
+    """A new file of the shared folder with these arrays; a repeated task writes one of its own."""
+    import uuid
+
+    import pyarrow as pa
+
+    fs, base = filesystem(folder)
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    batch = pa.RecordBatch.from_arrays([pa.array([planes(a).tobytes()], pa.large_binary()) for a in arrays], [str(k) for k in range(len(arrays))])
+    with fs.open_output_stream(path, compression=None) as out, pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return path
+
+
+def load(folder: str, path: str, *kinds) -> list[np.ndarray]:
+    import pyarrow as pa
+
+    with filesystem(folder)[0].open_input_stream(path, compression=None) as file:
+        batch = pa.ipc.open_stream(file).read_next_batch()
+    return [numbers_of(column[0].as_buffer(), kind) for column, kind in zip(batch.columns, kinds)]
+
+
+def _bits(starts: np.ndarray) -> np.ndarray:
+    return np.packbits(starts)
+
+
+def _numbers(bits, n: int) -> np.ndarray:
+    """Of n places in order the number of the group that each is in, by marks of groups' starts."""
+    return np.cumsum(np.unpackbits(np.frombuffer(bits, np.uint8), count=n)) - 1
+
+
+def _changes(*columns) -> np.ndarray:
+    """Where rows differ from the row before."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
 
+_DEALT = "part int, run string, words binary, starts binary, contexts binary, at binary, n binary"
+_SENT = "to int, part int, cells string, state string, words binary, sent binary, contexts binary, tables binary, counts binary, customers binary"
+_TOLD = "to int, part int, cells string, state string, sent binary, seated binary, tables binary, counts binary, customers binary"
+
+
+def deal(docs: DataFrame, parts: int, folder: str) -> DataFrame:
+    """For each partition of cells and run of texts a row with the run's cells there, in order of
+    word and context: the words, where each begins, the contexts, which of them each cell has,
+    and training tokens. A run's documents and the cells of its tokens are in its file."""
+
+    def scan(batches):
         held: list = []
         size = 0
-        counted: list = []
-
-        def send():
-            if counted:
-                cells, n = np.unique(np.concatenate(counted), return_counts=True)
-                yield -1, cells.astype(np.int32), n.astype(np.int64), np.zeros(0, np.uint8)
-            if held:
-                docs_, words, contexts = (np.concatenate([h[k] for h in held]) for k in range(3))
-                to = ((words >> U(24)) % U(parts)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                cuts = np.searchsorted(to[order], np.arange(parts + 1))
-                for p in range(parts):
-                    own = order[cuts[p] : cuts[p + 1]]
-                    if len(own):
-                        yield p, docs_[own], words[own], contexts[own]
 
         def told():
-            for p, a, b, c in send():
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([a.tobytes()], pa.binary()), pa.array([b.tobytes()], pa.binary()), pa.array([c.tobytes()], pa.binary())], ["part", "a", "b", "c"])
+            if not held:
+                return
+            ids, train, sizes, tokens, contexts = (np.concatenate([h[k] for h in held]) for k in range(5))
+            held.clear()
+            known = np.repeat(train, sizes)
+            part = places(tokens, contexts, parts)
+            order = np.lexsort((contexts, tokens, part))
+            tokens, contexts, part = tokens[order], contexts[order], part[order]
+            new = _changes(tokens, contexts)
+            number = np.cumsum(new) - 1
+            place = np.empty(len(order), np.uint32)
+            place[order] = number
+            n = np.bincount(number, known[order]).astype(np.uint32)
+            path = save(folder, "run", ids, train, sizes, place)
+            tokens, contexts, part = tokens[new], contexts[new], part[new]
+            del order, number, place, known, new
+            cuts = np.searchsorted(part, np.arange(parts + 1))
+            for p in range(parts):
+                own = slice(cuts[p], cuts[p + 1])
+                if own.start < own.stop:
+                    starts = _changes(tokens[own])
+                    table, at = np.unique(contexts[own], return_inverse=True)
+                    yield _row(schema, (p, path, rising(tokens[own][starts]), _bits(starts), rising(table), at.astype(np.uint16 if len(table) <= 1 << 16 else np.uint32), n[own]))
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             train = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             for first, last, tokens, contexts, offsets in tokens_of(batch.column(1).to_pylist()):
-                known = np.repeat(train[first:last], np.diff(offsets))
-                at = np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)
-                is_heavy = heavy[at] == tokens
-                both = is_heavy & known
-                counted.append(at[both].astype(np.int64) * (CONTEXTS + 1) + contexts[both])
-                rest = ~is_heavy
-                held.append((np.repeat(ids[first:last], np.diff(offsets))[rest], tokens[rest], (contexts | (known.astype(np.uint8) << 7))[rest]))
+                held.append((ids[first:last], train[first:last], np.diff(offsets), tokens, contexts))
                 size += len(tokens)
                 if size > GATHER:
                     yield from told()
-                    held, counted, size = [], [], 0
+                    size = 0
         yield from told()
 
-    return docs.select("doc_id", "text", "train").mapInArrow(scan, "part int, a binary, b binary, c binary")
+    schema = _schema(_DEALT)
+    return docs.select("doc_id", "text", "train").mapInArrow(lean(scan), _DEALT)
+
+
+def _owners(keys: np.ndarray, parts: int):
+    """Order of keys by their owner, and where each owner's begin."""
+    to = ((mix(keys) >> U(24)) % U(parts)).astype(np.uint32)
+    order = np.argsort(to, kind="stable")
+    return order, np.searchsorted(to[order], np.arange(parts + 1))
+
+
+def _messages(p: int, path: str, state: str, parts: int, words, contexts, sent, tables, counts, customers):
+    """Rows of a partition to the owners of its words and contexts."""
+    schema, none = _schema(_SENT), np.zeros(0, np.int64)
+    by_word, w = _owners(words, parts)
+    by_context, c = _owners(contexts, parts)
+    for q in range(parts):
+        own, other = by_word[w[q] : w[q + 1]], by_context[c[q] : c[q + 1]]
+        if len(own) or len(other):
+            yield _row(schema, (q, p, path, state, rising(words[own]), sent[own], rising(contexts[other]), tables[other], none if counts is None else counts[own], none if customers is None else customers[other]))
+
 
+def _sum(at, values, n: int) -> np.ndarray:
+    return np.bincount(at, values, n).astype(np.int64)
 
-def gathered(dealt: DataFrame, parts: int) -> DataFrame:
-    """One row per partition of words: its occurrences in order of word and context, as the
-    table of documents, each occurrence's place in it, marks and contexts. For partition
-    -1 the summed counts of heavy cells."""
+
+def gathered(dealt: DataFrame, parts: int, folder: str) -> DataFrame:
+    """Writes each partition's cells, and where those of each run are among them; returns the
+    first sums: one table for each cell with customers."""
 
     def scan(batches):
-        import pyarrow as pa
+        held: dict[int, list] = {}
+        for p, *row in _rows(batches):
+            held.setdefault(p, []).append(row)
+        for p, rows in held.items():
+            runs, words, contexts, n = [], [], [], []
+            while rows:
+                run, w, starts, table, at, count = rows.pop()
+                n.append(np.frombuffer(count, np.uint32))
+                table = risen(table)
+                words.append(risen(w)[_numbers(starts, len(n[-1]))])
+                contexts.append(table[np.frombuffer(at, np.uint16 if len(table) <= 1 << 16 else np.uint32)])
+                runs.append(run)
+            sizes = np.array([len(x) for x in n], np.int64)
+            words, contexts, n = np.concatenate(words), np.concatenate(contexts), np.concatenate(n)
+            order = np.lexsort((contexts, words))
+            words, contexts = words[order], contexts[order]
+            new = _changes(words, contexts)
+            number = np.cumsum(new) - 1
+            customers = _sum(number, n[order], int(number[-1]) + 1)
+            place = np.empty(len(order), np.int64)
+            place[order] = number
+            del order, number, n
+            # A run's cells are in this order too, so steps between them are small.
+            steps = np.diff(place, prepend=0)
+            words, contexts = words[new], contexts[new]
+            starts = _changes(words)
+            table, at = np.unique(contexts, return_inverse=True)
+            word = np.cumsum(starts) - 1
+            path = save(f"{folder}/cells", "cells", words[starts], _bits(starts), table, at.astype(np.uint32), customers, np.frombuffer("\n".join(runs).encode(), np.uint8), sizes, steps)
+            first = np.minimum(customers, 1)
+            words = words[starts]
+            yield from _messages(p, path, "", parts, words, table, _sum(word, first, len(words)), _sum(at, first, len(table)), _sum(word, customers, len(words)), _sum(at, customers, len(table)))
+
+    return dealt.repartitionById(parts, F.col("part")).mapInArrow(lean(scan), _SENT)
+
+
+def answered(sent: DataFrame, parts: int, sweep: int, root: float) -> DataFrame:
+    """Owners' answers: sums for the words and contexts that a partition has sent, in the order
+    sent, and tables of words at the parent; to -1 the totals of customers and tables there, and of
+    words in training."""
 
+    def scan(batches):
         held: dict[int, list] = {}
-        for batch in batches:
-            for p, a, b, c in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                held.setdefault(p, []).append((a, b, c))
+        for q, *row in _rows(batches):
+            held.setdefault(q, []).append(row)
+        schema, numbers = _schema(_TOLD), stirling(PARENT_DISCOUNT, EXACT)
+        for q, rows in held.items():
+            got = {k: [risen(r[k]) if k in (3, 5) else np.frombuffer(r[k], np.int64) for r in rows] for k in range(3, 9)}
+            words, at = np.unique(np.concatenate(got[3]), return_inverse=True)
+            contexts, at_context = np.unique(np.concatenate(got[5]), return_inverse=True)
+            customers = _sum(at, np.concatenate(got[4]), len(words))
+            seated = np.minimum(customers, 1) if not sweep else sample_tables(customers, np.full(len(words), root), PARENT_DISCOUNT, numbers, chances(words, sweep)).astype(np.int64)
+            tables = _sum(at_context, np.concatenate(got[6]), len(contexts))
+            counts, everyone = np.concatenate(got[7]), np.concatenate(got[8])
+            counts, everyone = (_sum(at, counts, len(words)), _sum(at_context, everyone, len(contexts))) if not sweep else (None, None)
+            totals = np.array([customers.sum(), seated.sum(), 0 if sweep else (counts > 0).sum(), 0 if sweep else counts.sum()], np.int64)
+            none = np.zeros(0, np.int64)
+            yield _row(schema, (-1, -1, "", "", totals, none, none, none, none))
+            x = y = 0
+            for k, (p, path, state, *_) in enumerate(rows):
+                own, other = at[x : x + len(got[3][k])], at_context[y : y + len(got[5][k])]
+                x, y = x + len(own), y + len(other)
+                yield _row(schema, (p, q, path, state, customers[own], seated[own], tables[other], none if sweep else counts[own], none if sweep else everyone[other]))
+
+    return sent.repartitionById(parts, F.col("to")).mapInArrow(lean(scan), _TOLD)
+
+
+_SCORED = "part int, run string, score binary, n binary"
+
+
+def swept(told: DataFrame, parts: int, folder: str, sweep: int, totals: tuple) -> DataFrame:
+    """Partitions' sums after one more sweep; behind the last one, for each run the scores of
+    the cells that it has sent, log10 of the averaged predictive probabilities, and their words' counts."""
+    all_sent, all_tables, base = totals
+    last = sweep == BURN + SAMPLES
+
+    def scan(batches):
+        held: dict[int, list] = {}
+        for p, *row in _rows(batches):
+            held.setdefault(p, []).append(row)
+        numbers, schema = stirling(DISCOUNT, EXACT), _schema(_SCORED)
         for p, rows in held.items():
-            if p < 0:
-                cells = np.frombuffer(b"".join(r[0] for r in rows), np.int32)
-                n = np.frombuffer(b"".join(r[1] for r in rows), np.int64)
-                found, at = np.unique(cells, return_inverse=True)
-                summed = np.zeros(len(found), np.int64)
-                np.add.at(summed, at, n)
-                out = (found.tobytes(), summed.tobytes(), b"", b"")
+            # Owners in order are the order in which the keys were sent.
+            rows.sort(key=lambda r: r[0])
+            path, state = rows[0][1:3]
+            back = [np.concatenate([np.frombuffer(r[k], np.int64) for r in rows]) for k in range(3, 8)]
+            rows.clear()
+            words, starts, contexts, at, customers, runs, sizes, steps = load(folder, path, U, np.uint8, U, np.uint32, np.int64, np.uint8, np.int64, np.int64)
+            word = _numbers(starts, len(at))
+            by_word, by_context = _owners(words, parts)[0], _owners(contexts, parts)[0]
+
+            def placed(values, order):
+                out = np.empty(len(order), np.int64)
+                out[order] = values
+                return out
+
+            sent, seated, sums = placed(back[0], by_word), placed(back[1], by_word), placed(back[2], by_context)
+            if sweep:
+                tables, total, counts, everyone = load(folder, state, np.int64, np.float32, np.int64, np.int64)
             else:
-                ids, words, contexts = (np.frombuffer(b"".join(r[k] for r in rows), kind) for k, kind in enumerate((np.int64, U, np.uint8)))
-                rows.clear()
-                # By word, then context, then document: an order that no task's timing changes.
-                order = np.lexsort((ids, contexts & 127, words))
-                words, contexts, ids = words[order], contexts[order], ids[order]
-                new = np.concatenate(([True], words[1:] != words[:-1]))
-                table, place = np.unique(ids, return_inverse=True)
-                out = (table.tobytes(), place.astype(np.uint32).tobytes(), np.packbits(new).tobytes(), contexts.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32())] + [pa.array([x], pa.binary()) for x in out], ["part", "docs", "place", "new", "contexts"])
-
-    # A partition's number is where it goes; the heavy counts go behind the last.
-    target = F.when(F.col("part") < 0, F.lit(parts)).otherwise(F.col("part"))
-    return dealt.repartitionById(parts + 1, target).mapInArrow(scan, "part int, docs binary, place binary, new binary, contexts binary")
-
-
-def _unpack(part, place, new, contexts, settings):
-    """(seating, cell of every occurrence, word of every cell, customers of every word)."""
-    marks = np.frombuffer(contexts, np.uint8)
-    context, train = marks & 127, marks >> 7
-    starts = np.unpackbits(np.frombuffer(new, np.uint8), count=len(marks)).astype(bool)
-    word = np.cumsum(starts) - 1
-    fresh = starts | np.concatenate(([True], context[1:] != context[:-1]))
-    cell = np.cumsum(fresh) - 1
-    customers = np.bincount(cell, train).astype(np.int64)
-    seating = Seating(int(word[-1]) + 1, word[fresh], context[fresh].astype(np.int64), customers, settings, 1_000_003 + part)
-    return seating, cell, np.bincount(word, train)
-
-
-def _tail_totals(table: DataFrame, settings: dict, history: list) -> np.ndarray:
-    """Totals of all partitions after the sweeps of `history`, then the words in training."""
+                tables, total, counts, everyone = np.minimum(customers, 1), np.zeros(len(at), np.float32), placed(back[3], by_word), placed(back[4], by_context)
+            new = (STRENGTH + DISCOUNT * sums)[at] * at_parent(sent, seated, all_sent, all_tables, base)[word]
+            if sweep > BURN:
+                total = (total + (customers - DISCOUNT * tables + new) / (STRENGTH + everyone)[at]).astype(np.float32)
+            if not last:
+                tables = sample_tables(customers, new, DISCOUNT, numbers, chances(pair_keys(words[word], contexts[at]), sweep + 1)).astype(np.int64)
+                del new
+                state = save(f"{folder}/state-{sweep}", "state", tables, total, counts, everyone)
+                yield from _messages(p, path, state, parts, words, contexts, _sum(word, tables, len(words)), _sum(at, tables, len(contexts)), None, None)
+                continue
+            score, seen, upto, begin = np.log10(total / np.float32(SAMPLES)), counts[word], np.cumsum(steps), 0
+            for run, n in zip(runs.tobytes().decode().split("\n"), sizes.tolist()):
+                cells = upto[begin : begin + n]
+                begin += n
+                yield _row(schema, (p, run, score[cells], seen[cells]))
+
+    made = told.where("to >= 0").repartitionById(parts, F.col("to"))
+    return made.mapInArrow(lean(scan), _SCORED if last else _SENT)
+
+
+def summed(scored: DataFrame, parts: int, folder: str, below: float) -> DataFrame:
+    """Sums of each document of each run."""
+    kind = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
     def scan(batches):
+        from itertools import groupby
+
         import pyarrow as pa
 
-        for batch in batches:
-            for p, place, new, contexts in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                seating, _, counts = _unpack(p, place, new, contexts, settings)
-                seating.replay(history)
-                got = np.concatenate((seating.totals(), [(counts > 0).sum()]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(got), dtype=np.int32)), pa.array(got)], ["k", "n"])
-
-    found = table.where("part >= 0").select("part", "place", "new", "contexts").mapInArrow(scan, "k int, n double").groupBy("k").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(CONTEXTS + 3)
-    for r in found:
-        out[r.k] = r.n
-    return out
+        for run, rows in groupby(_rows(batches), key=lambda r: r[1]):
+            found = [(np.frombuffer(score, np.float32), np.frombuffer(n, np.int64)) for _, _, score, n in rows]
+            score, n = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            ids, train, sizes, place = load(folder, run, np.int64, bool, np.int64, np.uint32)
+            starts = np.cumsum(sizes) - sizes
+            add = [np.add.reduceat(x[place], starts) for x in ((n > 0).astype(np.int64), np.log10((n + 1) / below), score.astype(np.float64))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, ~train, sizes, *add)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    # Cells of a run are numbered by partition, so its answers in that order are all of them.
+    return scored.repartition(4 * parts, "run").sortWithinPartitions("run", "part").mapInArrow(lean(scan), kind)
 
 
 def language_scores(docs: DataFrame, train) -> DataFrame:
@@ -327,103 +483,35 @@ def language_scores(docs: DataFrame, train) -> DataFrame:
     ignored. Without training tokens every probability is the base distribution's."""
     spark = docs.sparkSession
     folder = work_dir(spark, "lm")
-    rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"))
-    settings, heavy = corpus_totals(rows)
-    parts = max(1, -(-settings["tokens"] // PER_PART))
-    table = store(gathered(deal(rows, heavy, parts), parts), folder, "words")
-    # The table of heavy cells is bounded: 2 / HEAVY words by the contexts.
-    cells, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for r in table.where("part < 0").select("docs", "place").collect():
-        cells, counts = np.frombuffer(bytes(r.docs), np.int32).astype(np.int64), np.frombuffer(bytes(r.place), np.int64)
-    settings["base"] = 1.0
-    by_word = np.bincount(cells // (CONTEXTS + 1), counts, len(heavy))
-    vocabulary = int(_tail_totals(table, settings, [])[-1] + (by_word > 0).sum())
-    settings["base"] = 1.0 / (vocabulary + 1)
-    # Cells of all heavy words, met or not, so that every one of them has a score.
-    grid = np.zeros(len(heavy) * (CONTEXTS + 1), np.int64)
-    grid[cells] = counts
-    every = np.arange(len(grid))
-
-    def seated():
-        return Seating(len(heavy), every // (CONTEXTS + 1), every % (CONTEXTS + 1), grid, settings, 1_000_002)
-
-    history: list = []
-    for _ in range(1 + BURN + SAMPLES):
-        own = seated()
-        own.replay(history)
-        history.append((_tail_totals(table, settings, history)[:-1] + own.totals()).tolist())
-    heavy_scores = spark.sparkContext.broadcast(seated().scores(history).reshape(len(heavy), CONTEXTS + 1).astype(np.float64))
-    below = settings["trained"] + vocabulary + 1
-
-    def packed(ids, *sums):
-        # One row for each range of documents, whatever their number.
-        to = (mix(ids.view(U)) % U(parts)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        cuts = np.searchsorted(to[order], np.arange(parts + 1))
-        for k in range(parts):
-            own = order[cuts[k] : cuts[k + 1]]
-            if len(own):
-                yield (k, ids[own].tobytes(), *(x[own].astype(np.float64).tobytes() for x in sums))
-
-    def tail(batches):
-        for batch in batches:
-            for p, ids, place, new, contexts in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                seating, cell, counts = _unpack(p, place, new, contexts, settings)
-                score = seating.scores(history)[cell]
-                own = counts[seating.word[cell]]
-                documents, at = np.frombuffer(ids, np.int64), np.frombuffer(place, np.uint32)
-                sums = [np.bincount(at, x, len(documents)) for x in (np.log10((own + 1) / below), score, own > 0)]
-                none = np.zeros(len(documents))
-                yield from _batches(packed(documents, none, none, none, *sums))
-
-    def common(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            held = 1.0 - batch.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
-            sums: list = [[], [], [], []]
-            for first, last, tokens, contexts, offsets in tokens_of(batch.column(1).to_pylist()):
-                at = np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)
-                is_heavy = heavy[at] == tokens
-                at = np.where(is_heavy, at, 0)
-                seen = by_word[at] * is_heavy
-                sums[0].append(np.diff(offsets))
-                for k, x in enumerate((np.log10((seen + 1) / below) * is_heavy, heavy_scores.value[at, contexts] * is_heavy, (seen > 0) * 1.0), 1):
-                    sums[k].append(np.add.reduceat(x, offsets[:-1]))
-            yield from _batches(packed(ids, np.ones(len(ids)), held, *(np.concatenate(x) for x in sums)))
-
-    def added(batches):
-        import pyarrow as pa
-
-        rows_: dict[int, list] = {}
-        for batch in batches:
-            for k, *row in zip(*(batch.column(c).to_pylist() for c in range(8))):
-                rows_.setdefault(k, []).append(row)
-        for k in sorted(rows_):
-            # In one order whatever the tasks': sums of floats then agree between runs.
-            columns = [np.frombuffer(b"".join(r[c] for r in rows_[k]), np.int64 if c == 0 else np.float64) for c in range(7)]
-            order = np.lexsort((columns[5], columns[4], columns[0]))
-            ids, at = np.unique(columns[0][order], return_inverse=True)
-            copies, held, n, base, score, known = (np.bincount(at, c[order], len(ids)) for c in columns[1:])
-            n, base, score, known = (x / copies for x in (n, base, score, known))
-            out = [pa.array(ids), pa.array(held > 0), pa.array(np.round(n).astype(np.int64)), pa.array(np.round(known).astype(np.int64)), pa.array(base), pa.array(score), pa.array(10.0 ** np.minimum(-score / n, 300.0))]
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "perplexity"])
-
-    schema = "part int, ids binary, copies binary, held binary, n binary, base binary, score binary, known binary"
-    scored = table.where("part >= 0").select("part", "docs", "place", "new", "contexts").mapInArrow(tail, schema)
-    sums = scored.union(rows.select("doc_id", "text", "train").mapInArrow(common, schema)).repartitionById(parts, F.col("part"))
-    found = sums.mapInArrow(added, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, perplexity double")
-    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(settings["trained"]).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
-
-
-def _batches(rows):
-    """Record batches of one row each: (part, documents, six arrays of floats) as bytes."""
-    import pyarrow as pa
-
-    names = ["part", "ids", "copies", "held", "n", "base", "score", "known"]
-    for k, *values in rows:
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32())] + [pa.array([v], pa.binary()) for v in values], names)
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // PART_BYTES))
+    fs, base = filesystem(folder)
+    for name in ("cells", *(f"state-{k}" for k in range(BURN + SAMPLES))):
+        fs.create_dir(f"{base}/{name}", recursive=True)
+    with batch_rows(spark, WIDE_ROWS):
+        sent = store(gathered(deal(rows, parts, folder), parts, folder), folder, "sent-0")
+        remove(spark)
+        root, uniform, trained, vocabulary = 0.0, 1.0, 0, 0
+        for sweep in range(1 + BURN + SAMPLES):
+            told = store(answered(sent, parts, sweep, root), folder, f"told-{sweep}")
+            remove(spark, f"{folder}/sent-{sweep}")
+            totals = sum((np.frombuffer(bytes(r.sent), np.int64) for r in told.where("to < 0").select("sent").collect()), np.zeros(4, np.int64)).tolist()
+            if not sweep:
+                vocabulary, trained = totals[2:]
+                uniform = 1.0 / (vocabulary + 1)
+            root = (PARENT_STRENGTH + PARENT_DISCOUNT * totals[1]) * uniform
+            made = swept(told, parts, folder, sweep, (totals[0], totals[1], uniform))
+            if sweep < BURN + SAMPLES:
+                sent = store(made, folder, f"sent-{sweep + 1}")
+                remove(spark, f"{folder}/told-{sweep}", *([f"{folder}/state-{sweep - 1}"] if sweep else []))
+        each = store(summed(made, parts, folder, trained + vocabulary + 1), folder, "documents")
+    remove(spark, *(f"{folder}/{name}" for name in ("cells", f"told-{sweep}", f"state-{sweep - 1}")))
+    # Sums of an id's rows are rounded, so that they don't depend on the order of the tasks.
+    means = [F.round(F.avg(c)).cast("long").alias(c) for c in ("n_tokens", "n_known")] + [F.round(F.avg(c), 9).alias(c) for c in ("base_score", "score")]
+    found = each.groupBy("doc_id").agg(F.max("held_out").alias("held_out"), *means)
+    perplexity = F.pow(F.lit(10.0), F.least(-F.col("score") / F.col("n_tokens"), F.lit(300.0)))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(trained).cast("long").alias("train_tokens"), "base_score", "score", perplexity.alias("perplexity"))
 
 
 def language_model_scores(docs: DataFrame) -> DataFrame:

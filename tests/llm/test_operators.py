@@ -539,3 +539,52 @@ def test_documents_outside_a_main_component_meet_all_others(spark):
     wanted = {(a[1], b[1]) for node in (1, 2) for a in rows for b in rows if a[0] == b[0] == node and a[1] < b[1] and a[2] != b[2]}
     assert wanted <= met
     assert max(map(len, blocks.values())) < 1200
+
+
+class _Drawn:
+    """The same chances that tasks draw: a sweep asks for its cells', then for its words'."""
+
+    def __init__(self, *keys):
+        self.keys, self.asked = keys, 0
+
+    def random(self, n):
+        keys, sweep = self.keys[self.asked % 2], self.asked // 2 + 1
+        self.asked += 1
+        return lm_score.chances(keys, sweep)
+
+
+def test_contexts_are_whole_words(docs, texts, monkeypatch):
+    monkeypatch.setattr(lm_score, "GATHER", 700)
+    monkeypatch.setattr(lm_score, "PART_BYTES", 20_000)
+    tokens = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    spelt, customers = {}, collections.Counter()
+    for i in [r[0] for r in corpus()]:
+        (_, _, words, before, _), = lm_score.tokens_of([tokens[i]])
+        plain = (tokens[i] or "").encode().lower().split()
+        spelt[i] = list(zip(words.tolist(), ["start", *plain], before.tolist()))
+        for w, _, c in spelt[i]:
+            customers[w, c] += zlib.crc32(str(i).encode()) % 7 != 2
+    # One context for each spelling.
+    pairs = {(c, s) for rows in spelt.values() for _, s, c in rows}
+    assert len({c for c, _ in pairs}) == len({s for _, s in pairs}) == len(pairs)
+    cells = sorted(customers)
+    words, contexts = (sorted({x[k] for x in cells}) for k in (0, 1))
+    word, context = (np.array([{x: n for n, x in enumerate(names)}[x[k]] for x in cells]) for k, names in ((0, words), (1, contexts)))
+    n = np.array([customers[x] for x in cells])
+    settings = {"base": 1 / ((np.bincount(word, n) > 0).sum() + 1), "customers": np.bincount(context, n).tolist()}
+    keys = lm_score.pair_keys(*(np.array([x[k] for x in cells], np.uint64) for k in (0, 1)))
+
+    def new():
+        out = lm_score.Seating(len(words), word, context, n, settings, 0)
+        out.rng = _Drawn(keys, np.array(words, np.uint64))
+        return out
+
+    history = []
+    for _ in range(1 + lm_score.BURN + lm_score.SAMPLES):
+        own = new()
+        own.replay(history)
+        history.append(own.totals().tolist())
+    score = dict(zip(cells, new().scores(history)))
+    for r in lm_score.language_model_scores(docs).collect():
+        # Cells' probabilities are kept in single precision.
+        assert abs(r.score - sum(score[w, c] for w, _, c in spelt[r.doc_id])) < 2e-7 * r.n_tokens
