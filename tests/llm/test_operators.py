@@ -588,3 +588,16 @@ def test_contexts_are_whole_words(docs, texts, monkeypatch):
     for r in lm_score.language_model_scores(docs).collect():
         # Cells' probabilities are kept in single precision.
         assert abs(r.score - sum(score[w, c] for w, _, c in spelt[r.doc_id])) < 2e-7 * r.n_tokens
+
+
+def test_a_worker_keeps_few_chunks_between_tasks(monkeypatch):
+    encoder = token_output.ChunkEncoder(vocabulary())
+    texts = [f"Often seen, word{k} and\n more{k * 7}: the  end." for k in range(400)] + ["", None]
+    before = encoder.encode_all(texts)
+    monkeypatch.setattr(token_output, "KEPT_CHUNKS", 60)
+    encoder.settle()
+    assert len(encoder.cache) <= 61 and not encoder.again
+    assert encoder.encode_all(texts) == before
+    # A worker's next task gets what is left.
+    assert token_output.ChunkEncoder(vocabulary()).cache is encoder.cache
+    shared.worker_cache("")
